@@ -29,7 +29,8 @@ from ..functions import calendar as cal
 from ..functions.scalar import SECONDS_PER_YEAR, normal_ppf, quantize, two_sided_p
 
 BLOCK_ROWS = 512
-VALUE_BLOCKS = 64
+VALUE_BLOCKS = 1024
+VALUE_BLOCK_ROWS = 4096
 SHIFTS = (44, 22, 0)
 SIGMA_LEVELS = (68.27, 95.45, 99.73)
 MIN_SAMPLES = 10
@@ -53,22 +54,22 @@ def tie_statistics(df: DataFrame, keys: Sequence[str], strat: str, t: str, y: st
     """Counts, spans and tie sums per stratum: equal values (v*) and equal times (t*)."""
     obs = df.where(F.col(y).isNotNull())
     marks = F.array(
-        F.struct(F.lit("v").alias("kind"), quantize(y, resolution).alias("x")),
-        F.struct(F.lit("t").alias("kind"), F.col(t).cast("double").alias("x")),
+        F.struct(F.lit("v").alias("_k"), quantize(y, resolution).alias("_x_")),
+        F.struct(F.lit("t").alias("_k"), F.col(t).cast("double").alias("_x_")),
     )
-    c = F.col("c").cast("double")
-    groups = obs.select(*keys, strat, F.inline(marks)).groupBy(*keys, strat, "kind", "x").agg(F.count(F.lit(1)).alias("c"))
+    c = F.col("_c").cast("double")
+    groups = obs.select(*keys, strat, F.inline(marks)).groupBy(*keys, strat, "_k", "_x_").agg(F.count(F.lit(1)).alias("_c"))
     aggs = []
     for kind in ("v", "t"):
-        is_k = F.col("kind") == kind
+        is_k = F.col("_k") == kind
         aggs += [
             F.sum(F.when(is_k, c * (c - 1) * (c * 2 + 5))).alias(f"{kind}5"),
             F.sum(F.when(is_k, c * (c - 1) * (c - 2))).alias(f"{kind}3"),
             F.sum(F.when(is_k, c * (c - 1))).alias(f"{kind}2"),
-            F.min(F.when(is_k, F.col("x"))).alias(f"{kind}min"),
-            F.max(F.when(is_k, F.col("x"))).alias(f"{kind}max"),
+            F.min(F.when(is_k, F.col("_x_"))).alias(f"{kind}min"),
+            F.max(F.when(is_k, F.col("_x_"))).alias(f"{kind}max"),
         ]
-    return groups.groupBy(*keys, strat).agg(F.sum(F.when(F.col("kind") == "v", F.col("c"))).alias("n"), *aggs)
+    return groups.groupBy(*keys, strat).agg(F.sum(F.when(F.col("_k") == "v", F.col("_c"))).alias("n"), *aggs)
 
 
 def kendall_variance(n: Column, v5: Column, v3: Column, v2: Column, t5: Column, t3: Column, t2: Column) -> Column:
@@ -84,15 +85,17 @@ def pair_counts(df: DataFrame, keys: Sequence[str], strat: str, t: str, y: str,
     """Kendall's S per stratum, by dyadic splits of time (see the module text)."""
     keys = list(keys)
     ties = ties if ties is not None else tie_statistics(df, keys, strat, t, y, resolution)
-    span = ties.where("n >= 2").select(*keys, strat, "tmin", "tmax", "vmin", "vmax")
+    span = ties.where("n >= 2").select(*keys, strat, "n", "tmin", "tmax", "vmin", "vmax")
     width = F.greatest(F.col("vmax") - F.col("vmin"), F.lit(1.0))
+    # long series are also split by value, so that no running count covers a whole hot series in one task
+    n_vb = F.least(F.lit(VALUE_BLOCKS), F.ceil(F.col("n") / VALUE_BLOCK_ROWS))
     rows = (
         df.where(F.col(y).isNotNull())
         .select(*keys, strat, (F.col(t)).alias("_t"), quantize(y, resolution).alias("_q"))
         .join(span, [*keys, strat])
         .select(
             *keys, strat, "_q", (F.col("_t") - F.col("tmin").cast("bigint")).alias("_d"),
-            F.least(F.lit(VALUE_BLOCKS - 1), F.floor((F.col("_q") - F.col("vmin")) / width * VALUE_BLOCKS)).cast("int").alias("_vb"),
+            F.least(n_vb - 1, F.floor((F.col("_q") - F.col("vmin")) / width * n_vb)).cast("int").alias("_vb"),
             F.length(F.bin((F.col("tmax") - F.col("tmin")).cast("bigint"))).alias("_bits"),
         )
         .withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)))
@@ -232,7 +235,8 @@ def _locate(bins: DataFrame, ranks: DataFrame, part: list[str], payload: str) ->
         F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("bigint").alias("_r"))
     r = ranks.select(*part, (F.col("_r") + F.lit(0.5)).alias("_pos"),
                      F.lit(None).cast(b.schema["_bin"].dataType).alias("_bin"), "k", "_r")
-    found = F.first("_bin", ignorenulls=True).over(w.orderBy("_pos").rowsBetween(0, W.unboundedFollowing))
+    # running from the top: a frame that grows is linear, one that shrinks would be quadratic
+    found = F.last("_bin", ignorenulls=True).over(w.orderBy(F.desc("_pos")).rowsBetween(W.unboundedPreceding, 0))
     return (
         b.unionByName(r).withColumn("_hit", found).where(F.col("k").isNotNull())
         .withColumn("_r", F.col("_r") - F.col("_hit.before")).withColumn("hit", F.col("_hit.hit"))
@@ -547,3 +551,53 @@ def decide_3pw(stats: DataFrame, keys: Sequence[str], alpha: float = 95.0) -> Da
     a, b = F.col("_p1") <= lim, F.col("_p2") <= lim
     ss = F.when(a & b, int(alpha)).when(~a & b, -1).when(a & ~b, -2).otherwise(0)
     return d.withColumn("p", F.greatest("_p1", "_p2")).withColumn("ss", ss).drop("_p1", "_p2")
+
+
+def trend_table(
+    df: DataFrame, keys: Sequence[str], time: str = "date", value: str = "value", instrument: str | None = "instrument",
+    sigma_levels: Sequence[float] = SIGMA_LEVELS, **options,
+) -> DataFrame:
+    """Site trends as one wide row per series: sample days, p, slope, 1-sigma half width and bounds."""
+    keys = list(keys)
+    fit = mann_kendall(df, keys, time, value, instrument, alphas=sigma_levels, **options)
+    days = df.groupBy(*keys).agg(F.countDistinct(F.when(F.col(value).isNotNull(), F.to_date(time))).alias("n_days"))
+    ends = {}
+    for i in range(len(sigma_levels)):
+        ends[f"lower_{i + 1}s"] = F.col("ci")[i]["lower"]
+        ends[f"upper_{i + 1}s"] = F.col("ci")[i]["upper"]
+    out = fit.withColumns(ends).withColumn("std", (F.col("upper_1s") - F.col("lower_1s")) / 2.0).drop("ci")
+    return days.join(out, keys, "left")
+
+
+def segment_array(date: str = "date") -> Column:
+    return F.array(
+        F.struct(F.lit("month").alias("kind"), F.month(date).cast("string").alias("segment")),
+        F.struct(F.lit("season").alias("kind"), cal.season(date).alias("segment")))
+
+
+def segment_trends(
+    df: DataFrame, keys: Sequence[str], date: str = "date", value: str = "value", instrument: str | None = "instrument",
+    min_days: int = 10, alphas: Sequence[float] = SIGMA_LEVELS, **options,
+) -> DataFrame:
+    """Trends of every month and season of every series in one job; segments need more than ``min_days`` days."""
+    keys = list(keys)
+    seg = [*keys, "kind", "segment"]
+    d = df.select("*", F.inline(segment_array(date)))
+    enough = d.groupBy(*seg).agg(F.countDistinct(F.when(F.col(value).isNotNull(), F.col(date))).alias("_n")).where(F.col("_n") > min_days).drop("_n")
+    return mann_kendall(cut(d.join(enough, seg, "left_semi")), seg, date, value, instrument, by_season=False, alphas=alphas, **options)
+
+
+def segment_grid(sites: DataFrame) -> DataFrame:
+    """Every site with the 12 months and 4 seasons (a fixed list per row)."""
+    segs = [("month", str(m)) for m in range(1, 13)] + [("season", s) for s in ("DJF", "MAM", "JJA", "SON")]
+    return sites.select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("segment")) for k, s in segs])))
+
+
+def relative(
+    trends: DataFrame, clim: DataFrame, keys: Sequence[str], signed: Sequence[str], unsigned: Sequence[str] = (), value: str = "value"
+) -> DataFrame:
+    """Trend, bounds (signed) and widths (by the absolute value) divided by the climatology of the same keys."""
+    c = clim.select(*keys, F.col(value).alias("_clim"))
+    cols = {f"{n}_rel": F.try_divide(F.col(n), F.col("_clim")) for n in signed}
+    cols |= {f"{n}_rel": F.try_divide(F.col(n), F.abs("_clim")) for n in unsigned}
+    return trends.join(c, list(keys), "left").withColumns(cols).drop("_clim")
