@@ -10,6 +10,19 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once and use it many times inside lambdas.
+
+    The optimizer inlines columns into lambda bodies, where they would be
+    evaluated per element; a one-element array keeps the value outside.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def pack(**cols: Column) -> Column:
+    return F.struct(*[c.alias(n) for n, c in cols.items()])
+
+
 def indices(a: Column) -> Column:
     """0-based index array (empty for an empty array)."""
     return F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
@@ -21,32 +34,32 @@ def array_sum(a: Column) -> Column:
 
 def array_median(a: Column) -> Column:
     """Median of the non-null entries (mean of the middle two), NULL if none."""
-    s = F.array_sort(F.filter(a, lambda x: x.isNotNull()))
-    n = F.size(s)
-    lo = F.get(s, F.floor((n - 1) / 2).cast("int"))
-    hi = F.get(s, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (lo + hi) / 2.0)
+    def mid(v):
+        n = F.size(v)
+        return F.when(n > 0, (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2.0)
+
+    return let(F.array_sort(F.filter(a, lambda x: x.isNotNull())), mid)
 
 
 def diffs(a: Column) -> Column:
     """next - current, one entry shorter."""
-    n = F.size(a)
-    return F.when(
-        n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.get(a, i + 1) - F.get(a, i))
-    ).otherwise(F.array().cast("array<double>"))
+    return F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: y - x)
 
 
 def nearest_index(a: Column, target: Column) -> Column:
     """0-based index of the entry nearest to a value; the first one on a tie."""
-    return F.array_min(F.transform(a, lambda x, i: F.struct(F.abs(x - target).alias("d"), i.alias("i"))))["i"]
+    return let(target, lambda t: F.array_min(F.transform(a, lambda x, i: F.struct(F.abs(x - t).alias("d"), i.alias("i"))))["i"])
 
 
 def var_pop(a: Column) -> Column:
     """Population variance of the non-null entries (two passes over the array)."""
     v = F.filter(a, lambda x: x.isNotNull())
-    n = F.size(v)
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
-    return F.when(n > 0, F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+
+    def spread(m):
+        return F.aggregate(m["v"], F.lit(0.0), lambda s, x: s + (x - m["m"]) * (x - m["m"])) / F.size(m["v"])
+
+    return let(v, lambda v: F.when(F.size(v) > 0, let(pack(v=v, m=mean(v)), spread)))
 
 
 def longest_true_run(flags: Column) -> Column:

@@ -7,6 +7,8 @@ from statistics import NormalDist
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 SECONDS_PER_YEAR = 31557600.0
 EARTH_RADIUS_M = 6371000.0
 
@@ -33,17 +35,19 @@ def normal_ppf(p: float) -> float:
 
 def erf(x: Column, terms: int = 140) -> Column:
     """Error function from its all-positive series exp(-x^2) * sum x^(2n+1)/Gamma(n+3/2)."""
-    a = F.least(F.abs(x), F.lit(6.0))
-    s = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)),
-        F.struct((a * 1.1283791670955126).alias("t"), (a * 1.1283791670955126).alias("s")),
-        lambda acc, n: F.struct(
-            (acc["t"] * a * a / (n + F.lit(0.5))).alias("t"),
-            (acc["s"] + acc["t"] * a * a / (n + F.lit(0.5))).alias("s"),
-        ),
-        lambda acc: acc["s"],
-    )
-    return F.signum(x) * F.exp(-a * a) * s
+    def series(a):
+        s = F.aggregate(
+            F.sequence(F.lit(1), F.lit(terms)),
+            F.struct((a * 1.1283791670955126).alias("t"), (a * 1.1283791670955126).alias("s")),
+            lambda acc, n: F.struct(
+                (acc["t"] * a * a / (n + F.lit(0.5))).alias("t"),
+                (acc["s"] + acc["t"] * a * a / (n + F.lit(0.5))).alias("s"),
+            ),
+            lambda acc: acc["s"],
+        )
+        return F.exp(-a * a) * s
+
+    return F.signum(x) * let(F.least(F.abs(x), F.lit(6.0)), series)
 
 
 def normal_cdf(z: Column | str) -> Column:
