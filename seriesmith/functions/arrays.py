@@ -20,7 +20,7 @@ def let(value: Column, body) -> Column:
 
 
 def pack(**cols: Column) -> Column:
-    return F.struct(*[c.alias(n) for n, c in cols.items()])
+    return F.named_struct(*[x for n, c in cols.items() for x in (F.lit(n), c)])
 
 
 def indices(a: Column) -> Column:

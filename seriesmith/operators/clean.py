@@ -278,3 +278,37 @@ def map_class(key: Column | str, classes: dict[str, str], default: str | None =
     key = F.col(key) if isinstance(key, str) else key
     lits = [x for k, v in classes.items() for x in (F.lit(k), F.lit(v))]
     return F.coalesce(F.create_map(*lits)[key], F.lit(default).cast("string"))
+
+
+# --- composed chains ------------------------------------------------------------------------------------
+
+
+def preprocess(
+    df: DataFrame, profile_keys: Sequence[str], file_keys: Sequence[str], order: str, scaling: Column, calibration: Column, network: Column,
+    smooth: bool = False, fog_limit: float = 1e-3, noise_min: float = 1e-9, keep_above: float = 8e-6, sunbeam_above: float = 10000.0,
+) -> DataFrame:
+    """Raw profiles -> screened, calibrated, range-corrected profiles with fog flags.
+
+    First row per profile time, empty profiles and empty top gates removed,
+    range correction, calibration, sunbeam screening, fog flags, then
+    (optionally smoothed) noise filtering.
+    """
+    from . import profile as pf
+
+    d = dedup_time(df, list(profile_keys), order) if order not in profile_keys else df
+    d = drop_empty_profiles(d)
+    d = trim_top(d, file_keys)
+    d = d.withColumn("beta_raw", pf.range_correct(F.col("beta_raw"), F.col("range"), F.col("range_corrected"))).withColumn("range_corrected", F.lit(True))
+    d = calibrate(d, scaling, calibration, network)
+    d = d.where(sunbeam_ok(above=sunbeam_above))
+    d = d.withColumn("fog_flag", pf.fog_by_sum(F.col("beta_raw"), limit=fog_limit))
+    if smooth:
+        d = pf.gaussian_smooth(d, file_keys)
+        return pf.filter_chain(d, screen="beta_smooth", noise_min=noise_min, keep_above=keep_above)
+    return pf.filter_chain(d, noise_min=noise_min, keep_above=keep_above)
+
+
+def with_calibration_factors(df: DataFrame, beta: str, factors: Sequence[float]) -> DataFrame:
+    """Each profile once per factor of a short fixed list, its backscatter scaled."""
+    d = df.withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
+    return d.withColumn(beta, F.transform(beta, lambda x: x * F.col("factor")))
