@@ -228,15 +228,14 @@ def extract_1d(df: DataFrame) -> DataFrame:
     return df.select(*[f.name for f in df.schema.fields if f.dataType.typeName() != "array"])
 
 
-# Names of averaged flags that do not follow the flag -> cover rule.
-SPECIAL_COVER = {"fog_flag": "fog_fraction", "low_cloud_and_fog_flag": "low_cloud_and_fog_cover"}
-QC_ONLY = ("cleaned_negative_profile_flag",)
+# Quality-control variables that are not aggregated.
+QC_ONLY = ("upper_level_cloud_cover_obs", "upper_level_cloud_cover_adj")
 
 
 def flags_to_covers(df: DataFrame) -> DataFrame:
-    """Names of averaged flags; quality-control-only variables go."""
+    """Names of averaged flags (flag -> cover); quality-control-only variables go."""
     df = df.drop(*[c for c in QC_ONLY if c in df.columns])
-    return df.withColumnsRenamed({c: SPECIAL_COVER.get(c, c[: -len("_flag")] + "_cover") for c in df.columns if c.endswith("_flag")})
+    return df.withColumnsRenamed({c: c[: -len("_flag")] + "_cover" for c in df.columns if c.endswith("_flag")})
 
 
 def series_identity(df: DataFrame, path: str = "path") -> DataFrame:

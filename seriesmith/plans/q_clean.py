@@ -65,13 +65,13 @@ CATALOG = "ic AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {s!r}::DOUBLE, {
 
 
 @query("prj_calibrate", with_(PF, LAB_SQL, CATALOG, f"pi AS (SELECT k AS id, {INST_SQL} AS instrument FROM lb)") +
-       f"SELECT id, i - 1 AS gate, {R('b * 1e6 * coalesce(scaling, 1e0) * 1.1e0 * coalesce(network, 1e0)', 9)} AS v FROM g JOIN pi USING (id) LEFT JOIN ic USING (instrument)")
+       f"SELECT id, i - 1 AS gate, {R('b * 1e6 * coalesce(scaling, 1e0) * 1.1e0 * coalesce(network, 1e0)', 4)} AS v FROM g JOIN pi USING (id) LEFT JOIN ic USING (instrument)")
 def prj_calibrate(spark, sf):
     inst = _labels(spark, sf).select(F.col("k").alias("id"), cl.resolve_instrument("label").alias("name"))
     cat = F.broadcast(cl.instruments(spark).select("name", "scaling", "network_calibration"))  # eleven fixed rows
     p = profiles(spark, sf).join(inst, "id").join(cat, "name", "left").withColumn("beta_raw", F.transform("beta_raw", lambda x: x * 1e6))
     one = F.lit(1.0)
-    return gates(cl.calibrate(p, F.coalesce("scaling", one), F.lit(1.1), F.coalesce("network_calibration", one)), "beta_raw", n=9)
+    return gates(cl.calibrate(p, F.coalesce("scaling", one), F.lit(1.1), F.coalesce("network_calibration", one)), "beta_raw", n=4)
 
 
 NETWORKS = ["cloudnet", "knmi", "fmi", "ceda", "niwa", "arm", "metno", "meteoswiss"]
@@ -235,11 +235,11 @@ def prj_extract_1d(spark, sf):
     return cl.extract_1d(profiles(spark, sf)).select("id", "site", "day", "fog_flag")
 
 
-@query("prj_flag_to_cover", f"SELECT event_type AS site, {R('avg(CASE WHEN value > 20 THEN 1e0 ELSE 0e0 END)')} AS low_cloud_cover, {R('avg(CASE WHEN value > 50 THEN 1e0 ELSE 0e0 END)')} AS fog_fraction FROM events GROUP BY ALL")
+@query("prj_flag_to_cover", f"SELECT event_type AS site, {R('avg(CASE WHEN value > 20 THEN 1e0 ELSE 0e0 END)')} AS low_cloud_cover, {R('avg(CASE WHEN value > 50 THEN 1e0 ELSE 0e0 END)')} AS fog_cover FROM events GROUP BY ALL")
 def prj_flag_to_cover(spark, sf):
     e = event_samples(spark, sf)
     f = lambda t: r6(F.avg((F.col("value") > t).cast("double")))
-    a = e.groupBy("site").agg(f(20).alias("low_cloud_flag"), f(50).alias("fog_flag"), f(5).alias("cleaned_negative_profile_flag"))
+    a = e.groupBy("site").agg(f(20).alias("low_cloud_flag"), f(50).alias("fog_flag"), f(5).alias("upper_level_cloud_cover_obs"))
     return cl.flags_to_covers(a)
 
 
