@@ -22,6 +22,9 @@ def R(x: str, n: int = 6) -> str:
     return f"(round(CAST({x} AS DOUBLE), {n}) + 0e0)"
 
 
+# Means of cents often sit exactly half-way between two rounded values; both sides move off that grid.
+OFF = 3.14159e-5
+
 # --- multi-year irregular samples: five sites, three instruments --------------------------------
 def orders_series(spark, sf) -> DataFrame:
     return table(spark, sf, "orders").select(

@@ -7,7 +7,7 @@ from ..functions import calendar as cal
 from ..functions.solar import solar_zenith
 from ..operators import aggregate as ag
 from ..operators import compare as cp
-from .inputs import EV, GRID, ORD, R, event_samples, grid, orders_series, with_
+from .inputs import EV, GRID, OFF, ORD, R, event_samples, grid, orders_series, with_
 from .q_functions import NOLEAP, SEASON, zenith_sql
 from .q_joins import DAILY, DS, daily, datasets
 from .registry import query
@@ -49,8 +49,8 @@ def ag_mean_min_frac(spark, sf):
 HOLES = "dh AS (SELECT site, date, CASE WHEN month(date) % 2 = 0 THEN value END AS value FROM dz WHERE NOT (year(date) = 1998 AND month(date) IN (3, 4, 5)))"
 DZ = "dz AS (SELECT site, date, avg(value) AS value FROM o GROUP BY ALL)"
 BIN = {
-    "2day": ("CAST(og + ((date - og) // 2) * 2 AS DATE)", "2 DAY"), "3day": ("CAST(og + ((date - og) // 3) * 3 AS DATE)", "3 DAY"),
-    "week": ("CAST(date + (8 - isodow(date)) % 7 AS DATE)", "7 DAY"), "month": ("date_trunc('month', date)::DATE", "1 MONTH"),
+    "2day": ("og + CAST(((date - og) // 2) * 2 AS INTEGER)", "2 DAY"), "3day": ("og + CAST(((date - og) // 3) * 3 AS INTEGER)", "3 DAY"),
+    "week": ("date + CAST((8 - isodow(date)) % 7 AS INTEGER)", "7 DAY"), "month": ("date_trunc('month', date)::DATE", "1 MONTH"),
     "season": ("(date_trunc('quarter', date + INTERVAL 1 MONTH) - INTERVAL 1 MONTH)::DATE", "3 MONTH"), "year": ("date_trunc('year', date)::DATE", "1 YEAR"),
 }
 
@@ -60,7 +60,7 @@ def bins_sql(src: str) -> str:
     for f, (lab, step) in BIN.items():
         parts.append(f"""(WITH q AS (SELECT *, min(date) OVER (PARTITION BY site) AS og FROM {src}), b AS (SELECT site, {lab} AS bin, CASE WHEN count(value) >= 0.5 * count(*) THEN avg(value) END AS value FROM q GROUP BY ALL),
  r AS (SELECT site, CAST(unnest(generate_series(min(bin)::TIMESTAMP, max(bin)::TIMESTAMP, INTERVAL {step})) AS DATE) AS bin FROM b GROUP BY site)
- SELECT '{f}' AS freq, r.site, r.bin, {R('b.value', 4)} AS value FROM r LEFT JOIN b ON b.site = r.site AND b.bin = r.bin)""")
+ SELECT '{f}' AS freq, r.site, r.bin, {R(f'b.value + {OFF}', 4)} AS value FROM r LEFT JOIN b ON b.site = r.site AND b.bin = r.bin)""")
     return " UNION ALL ".join(parts)
 
 
@@ -73,7 +73,7 @@ def _holes(spark, sf):
 def _all_bins(d, value="value"):
     out = None
     for f in cal.FREQUENCIES:
-        b = ag.calendar_bins(d, ["site"], f, value=value).select(F.lit(f).alias("freq"), "site", "bin", r6(value, 4).alias("value"))
+        b = ag.calendar_bins(d, ["site"], f, value=value).select(F.lit(f).alias("freq"), "site", "bin", r6(F.col(value) + OFF, 4).alias("value"))
         out = b if out is None else out.unionByName(b)
     return out
 
@@ -130,9 +130,9 @@ def _ref(spark, sf):
     return ag.drop_leap_days(ag.reference_period(daily(spark, sf), "1996-01-01", "2000-12-31"))
 
 
-@query("ag_doy_climatology", with_(ORD, DAILY, REF, doy_clim_sql("rf", "site, instrument")) + f"SELECT site, instrument, doy, {R('value', 4)} AS value FROM dc")
+@query("ag_doy_climatology", with_(ORD, DAILY, REF, doy_clim_sql("rf", "site, instrument")) + f"SELECT site, instrument, doy, {R(f'value + {OFF}', 4)} AS value FROM dc")
 def ag_doy_climatology(spark, sf):
-    return ag.doy_climatology(_ref(spark, sf), ["site", "instrument"]).select("site", "instrument", "doy", r6("value", 4).alias("value"))
+    return ag.doy_climatology(_ref(spark, sf), ["site", "instrument"]).select("site", "instrument", "doy", r6(F.col("value") + OFF, 4).alias("value"))
 
 
 @query("ag_clim_summaries", with_(ORD, DAILY) + f"""SELECT site, 'mean' AS kind, 'all' AS segment, {R('avg(value)', 4)} AS value FROM dd GROUP BY site UNION ALL

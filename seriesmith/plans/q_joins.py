@@ -10,7 +10,7 @@ from ..operators import joins as jn
 from ..operators import setops as so
 from ..operators import trend as tr
 from ..sources import tables as tb
-from .inputs import EV, GRID, ORD, R, SITES, event_samples, grid, orders_series, sites, table, with_
+from .inputs import EV, GRID, OFF, ORD, R, SITES, event_samples, grid, orders_series, sites, table, with_
 from .q_functions import HAV, NOLEAP, SEASON, zenith_sql
 from .registry import query
 
@@ -36,13 +36,13 @@ def jn_nearest_cell(spark, sf):
 CLIM = f"cl AS (SELECT site, instrument, {NOLEAP} AS doy, avg(value) AS clim FROM dd WHERE NOT (month(date) = 2 AND day(date) = 29) GROUP BY ALL)"
 
 
-@query("jn_climatology", with_(ORD, DAILY, CLIM) + f"SELECT site, instrument, date, {R('value - clim', 4)} AS anomaly FROM (SELECT *, {NOLEAP} AS doy FROM dd WHERE NOT (month(date) = 2 AND day(date) = 29)) JOIN cl USING (site, instrument, doy)")
+@query("jn_climatology", with_(ORD, DAILY, CLIM) + f"SELECT site, instrument, date, {R(f'value - clim + {OFF}', 4)} AS anomaly FROM (SELECT *, {NOLEAP} AS doy FROM dd WHERE NOT (month(date) = 2 AND day(date) = 29)) JOIN cl USING (site, instrument, doy)")
 def jn_climatology(spark, sf):
     from ..functions import calendar as cal
 
     d = daily(spark, sf)
     clim = ag.drop_leap_days(d).groupBy("site", "instrument", cal.noleap_doy("date").alias("doy")).agg(F.avg("value").alias("value"))
-    return ag.anomaly(d, clim, ["site", "instrument"]).select("site", "instrument", "date", r6("anomaly", 4).alias("anomaly"))
+    return ag.anomaly(d, clim, ["site", "instrument"]).select("site", "instrument", "date", r6(F.col("anomaly") + OFF, 4).alias("anomaly"))
 
 
 GAP = "gp AS (SELECT site, date, instrument, avg(CASE WHEN k % 3 <> 0 THEN value END) AS v1, avg(CASE WHEN k % 2 = 0 THEN value END) AS v2 FROM o GROUP BY ALL)"
@@ -138,11 +138,11 @@ def jn_relative(spark, sf):
 DS = f"ds AS (SELECT instrument AS dataset, site, date_trunc('month', date)::DATE AS month, avg(value) AS v FROM o GROUP BY ALL)"
 
 
-@query("jn_dataset_pairs", with_(ORD, DS) + f"SELECT a.site, a.month, a.dataset AS x_set, b.dataset AS y_set, {R('a.v', 4)} AS x_v, {R('b.v', 4)} AS y_v FROM ds a JOIN ds b ON a.site = b.site AND a.month = b.month AND a.dataset < b.dataset")
+@query("jn_dataset_pairs", with_(ORD, DS) + f"SELECT a.site, a.month, a.dataset AS x_set, b.dataset AS y_set, {R(f'a.v + {OFF}', 4)} AS x_v, {R(f'b.v + {OFF}', 4)} AS y_v FROM ds a JOIN ds b ON a.site = b.site AND a.month = b.month AND a.dataset < b.dataset")
 def jn_dataset_pairs(spark, sf):
     ds = datasets(spark, sf)
     p = jn.dataset_pairs(ds, ["site", "month"], "dataset", "v")
-    return p.select("site", "month", "x_set", "y_set", r6("x_v", 4).alias("x_v"), r6("y_v", 4).alias("y_v"))
+    return p.select("site", "month", "x_set", "y_set", r6(F.col("x_v") + OFF, 4).alias("x_v"), r6(F.col("y_v") + OFF, 4).alias("y_v"))
 
 
 def datasets(spark, sf):
