@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..core import r6
 from ..operators import calibrate as ca
-from .inputs import ORD, R, orders_series, with_
+from .inputs import OFF, ORD, R, orders_series, with_
 from .registry import query
 
 # candidates: orders above 150 000 of two of the three instruments, value / 1e4 as ratio; the largest key of a date wins
@@ -58,10 +58,10 @@ def interp_sql(src: str, keys: list[str]) -> str:
 DV = "dv AS (SELECT site, instrument, date, avg(CASE WHEN k % 4 = 0 THEN value END) AS v FROM o GROUP BY ALL)"
 
 
-@query("win_time_interpolate", with_(ORD, DV, interp_sql("dv", KEYS)) + f"SELECT site, instrument, date, {R('iv', 4)} AS value, CASE WHEN v IS NOT NULL THEN 'valid' WHEN iv IS NOT NULL THEN 'interpolated' ELSE 'missing' END AS status FROM it")
+@query("win_time_interpolate", with_(ORD, DV, interp_sql("dv", KEYS)) + f"SELECT site, instrument, date, {R(f'iv + {OFF}', 4)} AS value, CASE WHEN v IS NOT NULL THEN 'valid' WHEN iv IS NOT NULL THEN 'interpolated' ELSE 'missing' END AS status FROM it")
 def win_time_interpolate(spark, sf):
     d = orders_series(spark, sf).groupBy(*KEYS, "date").agg(F.avg(F.when(F.pmod("k", F.lit(4)) == 0, F.col("value"))).alias("v"))
-    return ca.time_interpolate(d, KEYS, "date", "v").select(*KEYS, "date", r6("interpolated", 4).alias("value"), "status")
+    return ca.time_interpolate(d, KEYS, "date", "v").select(*KEYS, "date", r6(F.col("interpolated") + OFF, 4).alias("value"), "status")
 
 
 FACT = """tg AS (SELECT DISTINCT site, instrument, date FROM o),
