@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..core import cut
 from ..functions.arrays import let, pack
@@ -57,7 +58,10 @@ def n_columns(terms: int, interactions: bool = False) -> int:
     return 3 + terms * (3 if interactions else 1)
 
 
-@F.pandas_udf("struct<coef: array<double>, var: array<double>>")
+SOLUTION = T.StructType([T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("var", T.ArrayType(T.DoubleType()))])
+
+
+@F.pandas_udf(SOLUTION)
 def _solve(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Solve one small symmetric system per row (upper triangle by rows); singular ones give NULL."""
     coef, var = [], []
