@@ -9,7 +9,7 @@ from .inputs import R, table, with_
 from .q_functions import NOLEAP, PI
 from .registry import query
 
-RG = f"""rg0 AS (SELECT o_orderpriority AS site, o_orderstatus AS instrument, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 6e5 AS y, avg(o_custkey % 30) + month(o_orderdate) AS temperature, CAST(count(*) AS DOUBLE) AS n_samples FROM orders GROUP BY ALL),
+RG = f"""rg0 AS (SELECT o_orderpriority AS site, o_orderstatus AS instrument, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 6e5 AS y, avg(o_custkey % 30) + any_value(month(o_orderdate)) AS temperature, CAST(count(*) AS DOUBLE) AS n_samples FROM orders GROUP BY ALL),
 rg AS (SELECT *, (date - DATE '1995-01-01') / 365.25e0 AS time, {NOLEAP} AS doy FROM rg0)"""
 
 
