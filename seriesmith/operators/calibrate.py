@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..core import cut
+from ..functions import arrays as ar
 from .joins import segment_of
 
 # Windows in years with their labels, quantile, counts and the multiple-scattering factor.
@@ -41,19 +43,28 @@ def rolling_quantile(
     The frame of width w around t is (t - w/2, t + w/2].
     """
     us = F.unix_micros(F.col(date).cast("timestamp"))
-    order = W.partitionBy(*keys).orderBy("_us")
+    half = lambda years: int(years * YEAR_US / 2)
+    # the widest frame is collected once (daily candidates: at most some 1500 values); narrower ones are cut out of it
+    widest = half(max(y for y, _ in WINDOWS))
+    w = W.partitionBy(*keys).orderBy("_us").rangeBetween(-widest + 1, widest)
     d = df.withColumn("_us", us)
-    picks = []
-    for years, label in WINDOWS:
-        half = int(years * YEAR_US / 2)
-        w = order.rangeBetween(-half + 1, half)
-        c = f"_q{int(years)}"
-        d = d.withColumn(c, F.when(F.count(value).over(w) >= window_min, F.percentile(value, q).over(w)))
-        picks.append((c, label))
-    label = F.lit(None).cast("string")
-    for c, lab in reversed(picks):
-        label = F.when(F.col(c).isNotNull(), lab).otherwise(label)
-    return d.withColumn("rolling", F.coalesce(*[c for c, _ in picks])).withColumn("label", label).drop("_us", *[c for c, _ in picks])
+    d = d.withColumn("_l", F.collect_list(F.when(F.col(value).isNotNull(), F.struct("_us", F.col(value).alias("v")))).over(w))
+
+    def quantile(years: float, label: str) -> Column:
+        h = half(years)
+        near = ar.let(F.col("_us"), lambda t: F.filter("_l", lambda s: (s["_us"] > t - h) & (s["_us"] <= t + h)))
+
+        def at(v):
+            pos = (F.size(v) - 1) * F.lit(q)
+            i = F.floor(pos).cast("int")
+            x0, x1 = F.get(v, i), F.get(v, F.least(i + 1, F.size(v) - 1))
+            return F.when(F.size(v) >= window_min, F.struct((x0 + (x1 - x0) * (pos - i)).alias("rolling"), F.lit(label).alias("label")))
+
+        return ar.let(F.sort_array(F.transform(near, lambda s: s["v"])), at)
+
+    # coalesce stops at the first window with enough values
+    d = d.withColumn("_p", F.coalesce(*[quantile(y, lab) for y, lab in WINDOWS]))
+    return d.withColumn("rolling", F.col("_p.rolling")).withColumn("label", F.col("_p.label")).drop("_us", "_l", "_p")
 
 
 def interpolate(df: DataFrame, keys: Sequence[str], date: str, value: str) -> Column:
@@ -85,7 +96,7 @@ def calibration_factors(
     cand = prepare_candidates(candidates, keys, order=order)
     total = cand.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n_valid_candidate_lidar_ratios"))
     cand = segment_of(cand, breakpoints, keys)
-    roll = rolling_quantile(cand, g, window_min=window_min)
+    roll = cut(rolling_quantile(cand, g, window_min=window_min))  # daily rows, read twice below
     seg = roll.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.count("rolling").alias("_nr"), F.percentile("lidar_ratio", 0.5).alias("_med"))
     tgt = segment_of(prepare_targets(targets, keys), breakpoints, keys).withColumn("_t", F.lit(True))
     both = roll.join(tgt, [*g, "date"], "full")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core import cut
 from ..functions import scalar as fn
 from ..functions.scalar import interp_even
 from .joins import dataset_pairs
@@ -144,64 +145,63 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 200) -
 
 
 def xy_error_line(
-    pairs: DataFrame, keys: Sequence[str], x: str, y: str, sx: str, sy: str, floor: float | None = None, rounds: int = 30
+    pairs: DataFrame, keys: Sequence[str], x: str, y: str, sx: str, sy: str, floor: float | None = None, max_rounds: int = 50, tol: float = 1e-11
 ) -> DataFrame:
     """Straight line with errors in both axes: slope, intercept and their deviations per pair of datasets.
 
-    York's fixed-point iteration. The number of sites of a pair is bounded by
-    the station list, so a pair's points travel as one array and the rounds
-    are a fold inside the row instead of repeated jobs.
+    York's fixed point, from the OLS slope. A round is one grouped aggregate
+    of weighted sums of the centred points, so any number of points fits; the
+    state is one row per key.
     """
+    keys = list(keys)
     f = lambda c: F.greatest(F.col(c), F.lit(floor)) if floor is not None else F.col(c)
-    pts = F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.pow(f(sx), F.lit(2.0)).alias("vx"), F.pow(f(sy), F.lit(2.0)).alias("vy")))
-    g = pairs.groupBy(*keys).agg(pts.alias("_p"), F.regr_slope(y, x).alias("_b0"), F.count(F.lit(1)).alias("n")).where("n >= 2 and _b0 is not null")
-
-    from ..functions.arrays import let, pack
-
-    def total(p, term):
-        return F.aggregate(p, F.lit(0.0), lambda a, s: a + term(s))
-
-    def one(p, b):
-        """Weighted means and the next slope for a slope b."""
-        w = lambda s, b: F.lit(1.0) / (s["vy"] + b * b * s["vx"])
-
-        def means(c):
-            sw = total(c["p"], lambda s: w(s, c["b"]))
-            return pack(p=c["p"], b=c["b"], mx=total(c["p"], lambda s: w(s, c["b"]) * s["x"]) / sw, my=total(c["p"], lambda s: w(s, c["b"]) * s["y"]) / sw, sw=sw)
-
-        def nxt(m):
-            u, v = (lambda s: s["x"] - m["mx"]), (lambda s: s["y"] - m["my"])
-            beta = lambda s: w(s, m["b"]) * (s["vy"] * u(s) + m["b"] * s["vx"] * v(s))
-            num = total(m["p"], lambda s: w(s, m["b"]) * beta(s) * v(s))
-            den = total(m["p"], lambda s: w(s, m["b"]) * beta(s) * u(s))
-            return pack(b=num / den, mx=m["mx"], my=m["my"], sw=m["sw"])
-
-        return let(let(pack(p=p, b=b), means), nxt)
-
-    slope = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("_b0"), lambda b, _: one(F.col("_p"), b)["b"])
-    g = g.withColumn("slope", slope).withColumn("_m", one(F.col("_p"), F.col("slope")))
-
-    def spread(c):
-        """Deviations from the adjusted points, scaled by the residual variance."""
-        w = lambda s: F.lit(1.0) / (s["vy"] + c["b"] * c["b"] * s["vx"])
-        adj = lambda s: c["mx"] + w(s) * (s["vy"] * (s["x"] - c["mx"]) + c["b"] * s["vx"] * (s["y"] - c["my"]))
-
-        def sums(d):
-            xm = total(d["p"], lambda s: w(s) * adj(s)) / d["sw"]
-            sxx = let(xm, lambda m: total(d["p"], lambda s: w(s) * F.pow(adj(s) - m, F.lit(2.0))))
-            res = total(d["p"], lambda s: w(s) * F.pow(s["y"] - c["my"] - c["b"] * (s["x"] - c["mx"]), F.lit(2.0)))
-            return pack(xm=xm, sxx=sxx, res=res, sw=d["sw"])
-
-        return let(c, sums)
-
-    st = let(pack(p=F.col("_p"), b=F.col("slope"), mx=F.col("_m.mx"), my=F.col("_m.my"), sw=F.col("_m.sw")), spread)
-    g = g.withColumn("_s", st).withColumn("intercept", F.col("_m.my") - F.col("slope") * F.col("_m.mx"))
-    scale = F.try_divide(F.col("_s.res"), F.when(F.col("n") > 2, F.col("n") - 2))
-    return g.withColumns({
-        "slope_sd": F.sqrt(F.try_divide(scale, F.col("_s.sxx"))),
-        "intercept_sd": F.sqrt(scale * (F.lit(1.0) / F.col("_s.sw") + F.col("_s.xm") * F.col("_s.xm") / F.col("_s.sxx"))),
-        "residual_variance": scale,
-    }).drop("_p", "_b0", "_m", "_s")
+    d = pairs.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), F.pow(f(sx), F.lit(2.0)).alias("_vx"), F.pow(f(sy), F.lit(2.0)).alias("_vy"))
+    d = d.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    mean = d.groupBy(*keys).agg(
+        F.avg("_x").alias("_cx"), F.avg("_y").alias("_cy"), F.regr_slope("_y", "_x").alias("b"), F.count(F.lit(1)).alias("n"))
+    mean = cut(mean.where("n >= 2 and b is not null"))
+    d = cut(d.join(mean.select(*keys, "_cx", "_cy"), keys).select(
+        *keys, (F.col("_x") - F.col("_cx")).alias("_x"), (F.col("_y") - F.col("_cy")).alias("_y"), "_vx", "_vy"))
+    xc, yc = F.col("_x"), F.col("_y")
+    w = F.lit(1.0) / (F.col("_vy") + F.col("b") * F.col("b") * F.col("_vx"))
+
+    def sums(name: str, c: Column) -> list[Column]:
+        terms = {"": F.lit(1.0), "x": xc, "y": yc, "xx": xc * xc, "xy": xc * yc, "yy": yc * yc}
+        return [F.sum(c * v).alias(f"_{name}{k}") for k, v in terms.items()]
+
+    def moment(p: str, u: str, v: str) -> Column:
+        """Sum of p (u - mu)(v - mv) from the plain sums."""
+        c = lambda k: F.col(f"_{p}{k}")
+        m = {"x": F.col("_mx"), "y": F.col("_my")}
+        return c("".join(sorted(u + v))) - m[u] * c(v) - m[v] * c(u) + m[u] * m[v] * c("")
+
+    state = mean.select(*keys, "b", F.col("b").alias("_prev"))
+    for i in range(max_rounds):
+        r = d.join(state, keys)
+        g = r.groupBy(*keys).agg(*sums("w", w)[:3], *sums("a", w * w * F.col("_vy")), *sums("c", w * w * F.col("b") * F.col("_vx")), F.max("b").alias("_b"), F.max("_prev").alias("_prev"))
+        g = g.withColumn("_mx", F.col("_wx") / F.col("_w")).withColumn("_my", F.col("_wy") / F.col("_w"))
+        nxt = (moment("a", "x", "y") + moment("c", "y", "y")) / (moment("a", "x", "x") + moment("c", "x", "y"))
+        g = g.withColumn("_n", nxt)
+        new, bend = F.col("_n"), F.col("_n") - F.col("_b") * 2 + F.col("_prev")
+        if i % 3 == 2:  # extrapolate from three iterates; the plain step converges slowly on scattered points
+            new = F.coalesce(new - F.try_divide(F.pow(new - F.col("_b"), F.lit(2.0)), bend), new)
+        state = cut(g.select(*keys, new.alias("b"), F.col("_b").alias("_prev"), F.abs(F.col("_n") - F.col("_b")).alias("_step"), "_mx", "_my", F.col("_w").alias("_sw")))
+        if (state.agg(F.max(F.col("_step") / F.greatest(F.abs("b"), F.lit(1e-300)))).first()[0] or 0.0) < tol:
+            break
+    r = d.join(state, keys)
+    adj = F.col("_mx") + w * (F.col("_vy") * (xc - F.col("_mx")) + F.col("b") * F.col("_vx") * (yc - F.col("_my")))
+    res = yc - F.col("_my") - F.col("b") * (xc - F.col("_mx"))
+    s = r.withColumn("_a", adj).withColumn("_w", w).groupBy(*keys).agg(
+        (F.sum(F.col("_w") * F.col("_a")) / F.sum("_w")).alias("_am"), F.sum(F.col("_w") * F.col("_a") * F.col("_a")).alias("_aa"),
+        F.sum("_w").alias("_sw2"), F.sum(F.col("_w") * res * res).alias("_res"))
+    out = mean.drop("b").join(state.drop("_step", "_prev"), keys).join(s, keys)
+    scale = F.try_divide(F.col("_res"), F.when(F.col("n") > 2, F.col("n") - 2))
+    sxx = F.col("_aa") - F.col("_sw2") * F.col("_am") * F.col("_am")
+    return out.select(
+        *keys, "n", F.col("b").alias("slope"), (F.col("_my") + F.col("_cy") - F.col("b") * (F.col("_mx") + F.col("_cx"))).alias("intercept"),
+        F.sqrt(F.try_divide(scale, sxx)).alias("slope_sd"),
+        F.sqrt(scale * (F.lit(1.0) / F.col("_sw2") + F.pow(F.col("_am") + F.col("_cx"), F.lit(2.0)) / sxx)).alias("intercept_sd"),
+        scale.alias("residual_variance"))
 
 
 def drift_effect(df: DataFrame, keys: Sequence[str], drift: str = "drift", trend: str = "trend", lower: str = "lower", upper: str = "upper") -> DataFrame:

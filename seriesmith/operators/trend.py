@@ -409,7 +409,8 @@ def prewhitening_variants(
     )
     first = d.groupBy(*g).agg(_finite(F.corr(y, "_ly")).alias("_r1"), F.count(y).alias("_n"), F.var_samp(y).alias("_vy"))
     usable = _significant(F.col("_r1"), F.col("_n"), alpha) & (F.col("_r1") < 1.0 - MIN_DENOMINATOR)
-    first = first.withColumn("_use", usable).join(group_slope(df, g, t, y, unit, "_b0"), g, "left")
+    # one row per group, read by every later step
+    first = cut(first.withColumn("_use", usable).join(group_slope(df, g, t, y, unit, "_b0"), g, "left"))
     d = d.join(first, g).withColumn("_dt", F.col(y) - F.col("_b0") * F.col("_tr")).withColumn(
         "_ldt", F.col("_ly") - F.col("_b0") * F.col("_ltr"))
     second = d.groupBy(*g).agg(_finite(F.corr("_dt", "_ldt")).alias("_r2"))
@@ -516,9 +517,10 @@ def fit_parts(
     base, unit = prepare(df, keys, time, value, instrument, by_instrument, by_season)
     var = prewhitening_variants(base, keys, "_inst", "_t", "_y", unit, alpha_ak, method == "tfpw_ws")
     names = ["pw", "tfpw_y", "vctfpw"] if method == "3pw" else [method]
-    long = var.select(*keys, "_strat", "_t", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("variant"), F.col(n).alias("_x")) for n in names])))
-    stats = mk_test(mk_series(long, [*keys, "variant"], "_strat", "_t", "_x", resolution), alpha_mk)
+    # series-sized tables that several later jobs read: written once
+    long = cut(var.select(*keys, "_strat", "_t", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("variant"), F.col(n).alias("_x")) for n in names]))))
+    stats = cut(mk_test(mk_series(long, [*keys, "variant"], "_strat", "_t", "_x", resolution), alpha_mk))
     return long, stats, names[-1], unit
 
 

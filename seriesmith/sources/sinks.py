@@ -13,10 +13,13 @@ from ..core import scratch_path
 def write_table(df: DataFrame, name: str, partitions: Sequence[str] = (), path: str | None = None, mode: str = "overwrite") -> str:
     """Write parquet, replacing only the partitions that are present, and return the path.
 
-    Rows are not regrouped first: a hot partition value stays spread over the
-    tasks that hold it.
+    Rows are rebalanced by the partition columns first, so a partition value
+    does not leave one small file per task; adaptive execution splits a hot
+    value over several tasks again.
     """
     path = path or scratch_path(df.sparkSession, name)
+    if partitions:
+        df = df.hint("rebalance", *[F.col(p) for p in partitions])
     w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     if partitions:
         w = w.partitionBy(*partitions)
