@@ -221,7 +221,7 @@ def cat_upsert(spark, sf):
 @query("win_latest_per_key", with_(LIST) + "SELECT path, max(k) AS k, arg_max(length, k) AS length FROM fl GROUP BY path")
 def win_latest_per_key(spark, sf):
     fl = listing(spark, sf)
-    return cat.upsert(fl.limit(0), fl, "path", "k").select("path", "k", "length")
+    return cat.upsert(None, fl, "path", "k").select("path", "k", "length")
 
 
 @query("cat_incremental", with_(LIST, SITES, "sg AS (SELECT sha256(string_agg(site, chr(10) ORDER BY site)) AS signature FROM (SELECT DISTINCT site FROM st))") +

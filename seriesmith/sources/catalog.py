@@ -93,9 +93,11 @@ def product_files(listing: DataFrame, prefix: str) -> DataFrame:
         "product_version", F.regexp_extract("product_dir", r"\.(.+)$", 1))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """Old and new catalogue merged by source path; the newest generation wins, then the largest order value."""
-    both = old.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)), allowMissingColumns=True)
+def upsert(old: DataFrame | None, new: DataFrame, key: str, order: str) -> DataFrame:
+    """Old (if any) and new catalogue merged by source path; the newest generation wins, then the largest order value."""
+    both = new.withColumn("_gen", F.lit(1))
+    if old is not None:
+        both = old.withColumn("_gen", F.lit(0)).unionByName(both, allowMissingColumns=True)
     rest = [c for c in both.columns if c not in (key, "_gen")]
     best = F.max_by(F.struct(*rest), F.struct(F.col("_gen"), F.col(order)))
     return both.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")

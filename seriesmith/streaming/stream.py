@@ -43,7 +43,7 @@ def incremental_ingest(
     job can be restarted at any time. ``read_catalog`` merges the generations.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        cat.upsert(batch.limit(0), batch, key, order).write.mode("overwrite").parquet(os.path.join(root, "data", f"gen={batch_id}"))
+        cat.upsert(None, batch, key, order).write.mode("overwrite").parquet(os.path.join(root, "data", f"gen={batch_id}"))
 
     return (
         source.writeStream.foreachBatch(merge).option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start())
