@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..core import scratch_path
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,3 +33,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that a caller's extra columns can't clash with those an operator adds."""
     return df.select(*[df[n] for n in names])
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written once as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
