@@ -48,10 +48,11 @@ def cuts(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edge), [len(keys)]])
 
 
-def request(blk: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits: int, buckets: int) -> Iterator[tuple]:
+def request(blk: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits: int, buckets: int, every: bool = False) -> Iterator[tuple]:
+    """Rows of sorted keys by bucket. ``every``: also empty ones, so that the block learns every bucket's total."""
     at = cuts(keys, bits, buckets)
     for i in range(buckets):
-        if at[i] < at[i + 1]:
+        if every or at[i] < at[i + 1]:
             part = slice(at[i], at[i + 1])
             yield i, blk, kind, int(counts[part].sum()), scan.pack_sorted(keys[part]), squeeze(counts[part])
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ngram_join, quality
+from . import bpe, decontaminate, language_model, ngram_join, quality
 from .common import ORACLES, QUERIES, query, table  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,3 +77,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_jaccard")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+SQL_LM = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, p, ws[p] AS g1, CASE WHEN p > 1 THEN ws[p - 1] || ' ' || ws[p] END AS g2,
+             CASE WHEN p > 2 THEN ws[p - 2] || ' ' || ws[p - 1] || ' ' || ws[p] END AS g3
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d)),
+c AS (SELECT doc_id, p, count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY doc_id, g1) AS c1,
+             CASE WHEN g2 IS NOT NULL THEN count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY doc_id, g2) END AS c2,
+             CASE WHEN g3 IS NOT NULL THEN count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY doc_id, g3) END AS c3,
+             count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS total FROM w),
+x AS (SELECT *, lag(c1) OVER q AS b1, lag(c2) OVER q AS b2 FROM c WINDOW q AS (PARTITION BY doc_id ORDER BY p)),
+s AS (SELECT doc_id, CASE WHEN c3 > 0 THEN ln(c3 / b2) WHEN c2 > 0 THEN ln(c2 / b1) + CASE WHEN c3 = 0 THEN ln(0.4) ELSE 0 END
+             ELSE ln(greatest(c1, 0.4) / greatest(total, 1)) + ln(0.4) * ((c3 IS NOT NULL)::INT + (c2 IS NOT NULL)::INT) END AS l,
+             coalesce(c3 = 0, false) OR coalesce(c2 = 0, false) AND NOT coalesce(c3 > 0, false) AS back FROM x)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_back, 0) AS n_backed_off, round(coalesce(ls, 0), 4) AS log_score,
+       round(CASE WHEN len(ws) > 0 THEN ls / len(ws) END, 4) AS mean_log_score
+FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE back) AS n_back, sum(l) AS ls FROM s GROUP BY doc_id) USING (doc_id)"""
+
+
+@query("op1_stupid_backoff", SQL_LM)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_model.score(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 4).alias("mean_log_score"))
