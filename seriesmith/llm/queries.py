@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_model, ngram_join, quality
+from ..core import cut
+from . import bpe, decontaminate, language_model, ngram_join, quality, toxicity
 from .common import ORACLES, QUERIES, query, table  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -102,3 +103,11 @@ FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE back) AS n_back, sum(l)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_model.score(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 4).alias("mean_log_score"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(cut(toxicity.training_rows(docs, table(spark, sf_dir, "labels"))))
+    scored = toxicity.score(docs, model)
+    return scored.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
