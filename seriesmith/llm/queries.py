@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import cut
-from . import bpe, decontaminate, language_model, ngram_join, quality, toxicity
+from . import bpe, decontaminate, language_model, licenses, ngram_join, quality, toxicity
 from .common import ORACLES, QUERIES, query, table  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -111,3 +111,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(cut(toxicity.training_rows(docs, table(spark, sf_dir, "labels"))))
     scored = toxicity.score(docs, model)
     return scored.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_license_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.find_licenses(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct("matches.license"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"),
+                      F.coalesce(F.array_max("matches.percent"), F.lit(0)).alias("best_percent"))
