@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core import cut
-from . import bpe, decontaminate, language_model, licenses, ngram_join, quality, toxicity
+from ..core import cut, scratch_path
+from . import bpe, decontaminate, language_model, licenses, ngram_join, quality, toxicity, warc
 from .common import ORACLES, QUERIES, query, table  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -119,3 +119,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array_sort(F.array_distinct("matches.license"))
     return out.select(F.col("id").alias("doc_id"), "n_words", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"),
                       F.coalesce(F.array_max("matches.percent"), F.lit(0)).alias("best_percent"))
+
+
+SQL_WARC = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
+SELECT page_id, n AS payload_bytes, p.h AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.h = f.h"""
+
+
+@query("op5_warc", SQL_WARC)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    rows = warc.read(spark, folder, with_payload=False).filter("type in ('response', 'revisit')")
+    return rows.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("long"))
