@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import cut, scratch_path
-from . import bpe, decontaminate, language_model, licenses, ngram_join, quality, toxicity, warc
+from . import bpe, decontaminate, language_model, licenses, line_dedup, ngram_join, quality, toxicity, warc
 from .common import ORACLES, QUERIES, query, table  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -135,3 +135,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write(table(spark, sf_dir, "pages"), folder)
     rows = warc.read(spark, folder, with_payload=False).filter("type in ('response', 'revisit')")
     return rows.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("long"))
+
+
+SQL_LINES = r"""
+WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+c AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM l WHERE length(line) >= 20 GROUP BY line),
+k AS (SELECT line, first, n, n // 2 AS x, unnest([n // 2, CASE WHEN n % 2 = 0 THEN n // 2 - 1 ELSE n // 2 + 1 END]) AS h FROM c),
+pre AS (SELECT DISTINCT a.line, a.first FROM k a JOIN k b ON a.h = b.h AND left(a.line, a.h) = left(b.line, b.h)
+        WHERE b.first < a.first AND abs(a.n - b.n) <= 1 AND levenshtein(a.line, b.line) = 1),
+suf AS (SELECT DISTINCT a.line, a.first FROM k a JOIN k b ON a.h = b.h AND right(a.line, a.h) = right(b.line, b.h)
+        WHERE b.first < a.first AND abs(a.n - b.n) <= 1 AND levenshtein(a.line, b.line) = 1),
+near AS (SELECT line FROM pre UNION SELECT line FROM suf),
+j AS (SELECT l.doc_id, l.pos, l.line, c.line IS NULL OR (c.first = (l.doc_id, l.pos) AND near.line IS NULL) AS keep
+      FROM l LEFT JOIN c ON l.line = c.line LEFT JOIN near ON l.line = near.line)
+SELECT d.doc_id, count(j.pos) AS n_lines, count(*) FILTER (WHERE NOT keep) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE keep), '')) AS kept_sha256
+FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id GROUP BY d.doc_id"""
+
+
+@query("op9_line_dedup", SQL_LINES)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
