@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import cut, scratch_path
-from . import bpe, decontaminate, language_model, licenses, line_dedup, ngram_join, quality, toxicity, warc
+from . import bpe, decontaminate, language_model, licenses, line_dedup, ngram_join, quality, repeats, toxicity, warc
 from .common import ORACLES, QUERIES, query, table  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -157,3 +157,9 @@ FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id GROUP BY d.doc_id"""
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.dedup_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
