@@ -9,7 +9,8 @@ sees the global counts of all its items, aligned with its own sorted items.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,64 +49,68 @@ def cuts(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edge), [len(keys)]])
 
 
-def request(blk: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits: int, buckets: int, every: bool = False) -> Iterator[tuple]:
-    """Rows of sorted keys by bucket. ``every``: also empty ones, so that the block learns every bucket's total."""
-    at = cuts(keys, bits, buckets)
-    for i in range(buckets):
-        if every or at[i] < at[i + 1]:
-            part = slice(at[i], at[i + 1])
-            yield i, blk, kind, int(counts[part].sum()), scan.pack_sorted(keys[part]), squeeze(counts[part])
+@dataclass
+class Items:
+    """What a block asks for: sorted distinct keys of so many bits, and how often it has each."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    bits: int
 
 
-REQUEST = "bucket int, blk int, kind int, total long, keys binary, counts binary"
-RESPONSE = "blk int, bucket int, kind int, total long, counts binary"
+REQUEST = pa.schema([("bucket", pa.int32()), ("blk", pa.int32()), ("total", pa.list_(pa.int64())), ("keys", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary()))])
+RESPONSE = pa.schema([("blk", pa.int32()), ("bucket", pa.int32()), ("total", pa.list_(pa.int64())), ("counts", pa.list_(pa.binary()))])
+ASKED = "bucket int, blk int, total array<long>, keys array<binary>, counts array<binary>"
+ANSWERED = "blk int, bucket int, total array<long>, counts array<binary>"
 
 
-def rows_to_table(rows: list[tuple], schema: str) -> pa.Table:
-    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
-    cols = [c.strip().split(" ") for c in schema.split(",")]
-    data = list(zip(*rows, strict=True)) if rows else [[] for _ in cols]
-    return pa.table([pa.array(d, types[t]) for d, (_, t) in zip(data, cols, strict=True)], [n for n, _ in cols])
+def requests(blk: int, kinds: list[Items], buckets: int) -> pa.Table:
+    """One row per bucket with the keys of all kinds; empty parts too, so that a block learns every bucket's total."""
+    at = [cuts(k.keys, k.bits, buckets) for k in kinds]
+    rows: dict[str, list] = {"bucket": list(range(buckets)), "blk": [blk] * buckets, "total": [], "keys": [], "counts": []}
+    for i in range(buckets):
+        parts = [slice(a[i], a[i + 1]) for a in at]
+        rows["total"].append([int(k.counts[p].sum()) for k, p in zip(kinds, parts, strict=True)])
+        rows["keys"].append([scan.pack_sorted(k.keys[p]) for k, p in zip(kinds, parts, strict=True)])
+        rows["counts"].append([squeeze(k.counts[p]) for k, p in zip(kinds, parts, strict=True)])
+    return pa.table(rows, REQUEST)
 
 
-def exchange(docs: DataFrame, ask: Callable[[int, pa.Table, int], Iterator[tuple]], use: Callable[[int, pa.Table, dict[int, np.ndarray], dict[int, int]], pa.Table],
+def exchange(docs: DataFrame, ask: Callable[[pa.Table], list[Items]], use: Callable[[pa.Table, list[np.ndarray], list[int]], pa.Table],
              schema: str, code: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """``ask`` yields requests of a block; ``use`` gets the block again with its answers by kind.
+    """``ask`` gives a block's items, kind by kind; ``use`` gets the block again with the global counts of those items.
 
-    ``docs`` comes from ``blocked``. ``code`` turns global counts into what is sent back. ``use`` also gets, by kind,
-    the sum of all counts of that kind in the buckets of the block (all buckets, if each holds the block).
+    ``docs`` comes from ``blocked``. ``code`` turns global counts into what is sent back. ``use`` also gets, for each
+    kind, the sum of all counts.
     """
     buckets = shuffle_partitions(docs.sparkSession)
 
     def asking(t: pa.Table) -> pa.Table:
-        return rows_to_table(list(ask(t.column("blk")[0].as_py(), t, buckets)), REQUEST)
+        return requests(t.column("blk")[0].as_py(), ask(t), buckets)
 
     def answering(t: pa.Table) -> pa.Table:
-        out = []
-        kinds = t.column("kind").to_numpy()
-        for kind in np.unique(kinds).tolist():
-            part = t.filter(pa.array(kinds == kind))
-            keys = [scan.unpack_sorted(b.as_py()) for b in part.column("keys")]
-            counts = np.concatenate([unsqueeze(b.as_py()) for b in part.column("counts")])
-            _, back = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(back, counts).astype(np.int64)[back]
-            del back
-            whole = int(counts.sum())
+        totals, keys, counts = (t.column(c).to_pylist() for c in ("total", "keys", "counts"))
+        kinds = len(totals[0])
+        answers: list[list[bytes]] = [[] for _ in totals]
+        whole = []
+        for kind in range(kinds):
+            part = [scan.unpack_sorted(k[kind]) for k in keys]
+            number = np.concatenate([unsqueeze(c[kind]) for c in counts])
+            _, back = np.unique(np.concatenate(part), return_inverse=True)
+            total = np.bincount(back, number).astype(np.int64)[back]
+            whole.append(int(number.sum()))
             if code:
                 total = code(total)
-            ends = np.cumsum([len(k) for k in keys])
-            for blk, bucket, a, b in zip(part.column("blk").to_pylist(), part.column("bucket").to_pylist(), ends - [len(k) for k in keys], ends, strict=True):
-                out.append((blk, bucket, kind, whole, squeeze(total[a:b])))
-        return rows_to_table(out, RESPONSE)
+            ends = np.cumsum([len(k) for k in part])
+            for row, a, b in zip(answers, ends - [len(k) for k in part], ends, strict=True):
+                row.append(squeeze(total[a:b]))
+        return pa.table({"blk": t.column("blk"), "bucket": t.column("bucket"), "total": [whole] * len(answers), "counts": answers}, RESPONSE)
 
     def using(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return use(0, left, {}, {})
-        got: dict[int, list] = {}
-        for kind, bucket, total, counts in sorted(zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "total", "counts")), strict=True), key=lambda r: r[:2]):
-            got.setdefault(kind, []).append((total, unsqueeze(counts)))
-        return use(left.column("blk")[0].as_py(), left, {k: np.concatenate([c for _, c in v]) for k, v in got.items()}, {k: sum(t for t, _ in v) for k, v in got.items()})
-
-    asked = docs.groupBy("blk").applyInArrow(asking, REQUEST)
-    answered = asked.groupBy("bucket").applyInArrow(answering, RESPONSE)
+        rows = sorted(zip(*(right.column(c).to_pylist() for c in ("bucket", "total", "counts")), strict=True), key=lambda r: r[0])
+        kinds = len(rows[0][1])
+        return use(left, [np.concatenate([unsqueeze(c[k]) for _, _, c in rows]) for k in range(kinds)], [sum(t[k] for _, t, _ in rows) for k in range(kinds)])
+
+    asked = docs.groupBy("blk").applyInArrow(asking, ASKED)
+    answered = asked.groupBy("bucket").applyInArrow(answering, ANSWERED)
     return docs.groupBy("blk").cogroup(answered.groupBy("blk")).applyInArrow(using, schema)

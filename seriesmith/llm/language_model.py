@@ -16,8 +16,6 @@ apart by 56-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,44 +40,52 @@ def grams(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, n
     return w.doc, place, keys
 
 
-def lookup(keys: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Counts of keys in a sorted table; 0 where the table lacks the key."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, counts[at], 0)
-
-
-def own_counts(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """How often the n-gram at each place occurs in its own row."""
-    _, back, times = np.unique(scan.in_row(keys, doc), return_inverse=True, return_counts=True)
-    return times[back]
+def others(keys: np.ndarray, doc: np.ndarray, answers: np.ndarray, exclude_own: bool) -> np.ndarray:
+    """Count of the n-gram at each place (0 where there is none), without the row's own occurrences if asked.
 
-
-def row_scores(doc: np.ndarray, place: np.ndarray, keys: list[np.ndarray], counts: list[np.ndarray], own: list[np.ndarray] | None,
-               total: np.ndarray, rows: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    ``answers`` are the counts of the distinct keys in rising order. One stable sort serves both: rows rise with the
+    places, so the occurrences of one row stand together within a key.
+    """
+    at = np.flatnonzero(keys)
+    at = at[np.argsort(keys[at], kind="stable")]
+    if not at.size:
+        return np.zeros(len(keys), np.int64)
+    k = keys[at]
+    new = np.ones(len(at), bool)
+    new[1:] = k[1:] != k[:-1]
+    got = answers[np.cumsum(new) - 1]
+    if exclude_own:
+        d = doc[at]
+        new[1:] |= d[1:] != d[:-1]
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(at)))
+        got = got - np.repeat(size, size)
+    out = np.zeros(len(keys), np.int64)
+    out[at] = got
+    return out
+
+
+def row_scores(doc: np.ndarray, place: np.ndarray, counts: list[np.ndarray], total: np.ndarray, rows: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """Summed natural logarithms of the scores, and words that were backed off, for each row.
 
-    ``counts`` and ``own`` are by order; the context of an n-gram is the one of the order below at the word before.
+    ``counts`` are by order; the context of an n-gram is the one of the order below at the word before.
     """
-    order, n = len(keys), len(doc)
-    less = own or [np.zeros(n, np.int64)] * order
+    order, n = len(counts), len(doc)
     logs = np.full(n, np.nan)
     backed = np.zeros(n, bool)
     steps = np.zeros(n, np.int64)
     for k in range(order, 1, -1):
         can = (place >= k - 1) & np.isnan(logs)
-        seen = counts[k - 1] - less[k - 1]
+        seen = counts[k - 1]
         before = np.zeros(n, np.int64)
-        # the context's own count leaves out the row's occurrences as well
-        before[1:] = (counts[k - 2] - less[k - 2])[:-1]
+        before[1:] = counts[k - 2][:-1]
         hit = can & (seen > 0)
         logs[hit] = np.log(seen[hit] / before[hit]) + steps[hit] * np.log(alpha)
         miss = can & ~hit
         steps[miss] += 1
         backed |= miss
     left = np.isnan(logs)
-    seen = (counts[0] - less[0])[left]
+    seen = counts[0][left]
     logs[left] = np.where(seen > 0, np.log(np.maximum(seen, 1)), np.log(alpha)) - np.log(np.maximum(total[doc[left]], 1)) + steps[left] * np.log(alpha)
     return np.bincount(doc, logs, minlength=rows)[:rows], np.bincount(doc, backed, minlength=rows)[:rows].astype(np.int64)
 
@@ -89,36 +95,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     src = blocks.blocked(docs, id_col, text_col)
     kind = dict(src.dtypes)["id"]
 
-    def ask(blk: int, t: pa.Table, buckets: int) -> Iterator[tuple]:
-        parts: list[list[np.ndarray]] = [[] for _ in range(order)]
-        for _, _, data, offs in scan.pieces(t.column("text")):
-            _, _, keys = grams(data, offs, order)
-            for have, k in zip(parts, keys, strict=True):
-                have.append(k[k > 0])
-        for i, have in enumerate(parts):
-            if have and sum(map(len, have)):
-                keys, times = np.unique(np.concatenate(have), return_counts=True)
-                have.clear()
-                yield from blocks.request(blk, i, keys, times, BITS, buckets, every=i == 0)
-
-    def use(blk: int, t: pa.Table, answers: dict, totals: dict) -> pa.Table:
-        out = []
-        tables: list[list[np.ndarray]] = [[] for _ in range(order)]
-        for _, _, data, offs in scan.pieces(t.column("text")):
-            for have, k in zip(tables, grams(data, offs, order)[2], strict=True):
-                have.append(np.unique(k[k > 0]))
-        known = [np.unique(np.concatenate(have)) if have else np.zeros(0, np.uint64) for have in tables]
-        for a, b, data, offs in scan.pieces(t.column("text")):
-            doc, place, keys = grams(data, offs, order)
-            rows = b - a
-            n = np.bincount(doc, minlength=rows)[:rows]
-            counts = [lookup(k, known[i], answers.get(i, np.zeros(0, np.int64))) for i, k in enumerate(keys)]
-            own = [own_counts(doc, k) for k in keys] if exclude_own else None
-            total = totals.get(0, 0) - (n if exclude_own else np.zeros(rows, np.int64))
-            got, backed = row_scores(doc, place, keys, counts, own, total, rows, alpha)
-            out.append(pa.table([t.column("id").slice(a, rows), pa.array(n, pa.int64()), pa.array(backed, pa.int64()), pa.array(got)],
-                                ["id", "n_words", "n_backed_off", "log_score"]))
-        return pa.concat_tables(out) if out else pa.table([t.column("id"), *[pa.array([], x) for x in (pa.int64(), pa.int64(), pa.float64())]], ["id", "n_words", "n_backed_off", "log_score"])
+    def block(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        parts = [(a, grams(data, offs, order)) for a, _, data, offs in scan.pieces(t.column("text"))]
+        doc = np.concatenate([np.zeros(0, np.int64), *[a + g[0] for a, g in parts]])
+        place = np.concatenate([np.zeros(0, np.int64), *[g[1] for _, g in parts]])
+        return doc, place, [np.concatenate([np.zeros(0, np.uint64), *[g[2][i] for _, g in parts]]) for i in range(order)]
+
+    def ask(t: pa.Table) -> list[blocks.Items]:
+        return [blocks.Items(*np.unique(k[k > 0], return_counts=True), BITS) for k in block(t)[2]]
+
+    def use(t: pa.Table, answers: list, totals: list) -> pa.Table:
+        rows = t.num_rows
+        doc, place, keys = block(t)
+        n = np.bincount(doc, minlength=rows)
+        counts = []
+        for i in range(order):
+            counts.append(others(keys[i], doc, answers[i], exclude_own))
+            keys[i] = None
+        got, backed = row_scores(doc, place, counts, totals[0] - (n if exclude_own else np.zeros(rows, np.int64)), rows, alpha)
+        return pa.table([t.column("id"), pa.array(n, pa.int64()), pa.array(backed, pa.int64()), pa.array(got)], ["id", "n_words", "n_backed_off", "log_score"])
 
     scored = blocks.exchange(src, ask, use, f"id {kind}, n_words long, n_backed_off long, log_score double")
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -90,12 +90,11 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int)
     src = blocks.blocked(docs, id_col, text_col)
     kind = dict(src.dtypes)["id"]
 
-    def ask(blk: int, t: pa.Table, buckets: int) -> Iterator[tuple]:
+    def ask(t: pa.Table) -> list[blocks.Items]:
         _, h = _block_sets(t, k)
-        keys, counts = np.unique(h >> np.uint64(64 - KEY_BITS), return_counts=True)
-        yield from blocks.request(blk, 0, keys, counts, KEY_BITS, buckets)
+        return [blocks.Items(*np.unique(h >> np.uint64(64 - KEY_BITS), return_counts=True), KEY_BITS)]
 
-    def use(blk: int, t: pa.Table, answers: dict, totals: dict) -> pa.Table:
+    def use(t: pa.Table, answers: list, totals: list) -> pa.Table:
         rows = t.num_rows
         doc, h = _block_sets(t, k)
         code = np.zeros(0, np.int64)

@@ -6,6 +6,7 @@ Texts are UTF-8 bytes; all separators are ASCII, so bytes decide word boundaries
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -177,19 +178,21 @@ def in_row(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def pack_sorted(a: np.ndarray) -> bytes:
-    """Sorted unsigned integers as byte planes of their differences."""
+    """Sorted unsigned integers as byte planes of their differences; the highest, mostly small values, is compressed."""
     if not len(a):
         return b""
     d = np.diff(a, prepend=U(0))
     width = max(1, (int(d.max()).bit_length() + 7) // 8)
-    return bytes([width]) + d.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    planes = d.view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + np.uint32(len(a)).tobytes() + planes[:-1].tobytes() + zlib.compress(planes[-1].tobytes(), 1)
 
 
 def unpack_sorted(b: bytes) -> np.ndarray:
     if not b:
         return np.zeros(0, U)
-    width = b[0]
-    planes = np.frombuffer(b, np.uint8, offset=1).reshape(width, -1)
-    d = np.zeros((planes.shape[1], 8), np.uint8)
-    d[:, :width] = planes.T
+    width, n = b[0], int(np.frombuffer(b, np.uint32, 1, 1)[0])
+    low = (width - 1) * n
+    d = np.zeros((n, 8), np.uint8)
+    d[:, : width - 1] = np.frombuffer(b, np.uint8, low, 5).reshape(width - 1, n).T
+    d[:, width - 1] = np.frombuffer(zlib.decompress(b[5 + low :]), np.uint8)
     return np.cumsum(d.view(U).ravel(), dtype=U)
