@@ -78,7 +78,7 @@ def frequency_code(df: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.rint(8 * np.log2(df))).astype(np.int64)
 
 
-SETS = "n long, hi long, lo long, shared boolean, cost double, prefix binary, shingles binary"
+SETS = "n long, hi long, lo long, alone long, shared boolean, cost double, prefix binary, shingles binary"
 
 
 def signed(h: np.ndarray) -> list[int]:
@@ -111,7 +111,8 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int)
             sums.append(total[bounds[1:]] - total[bounds[:-1]])
         reach = n - (-(-pct * n // 100)) + 1
         alone = np.concatenate([[0], np.cumsum(code == 0)])
-        shared = (n > 0) & ((alone[bounds[1:]] - alone[bounds[:-1]]) < reach)
+        alone = alone[bounds[1:]] - alone[bounds[:-1]]
+        shared = (n > 0) & (alone < reach)
         weight = np.concatenate([[0.0], np.cumsum(np.exp2(code / 8))])
         hi, lo = signed(sums[0]), signed(sums[1])
         prefix, sets, cost, seen = [None] * rows, [None] * rows, np.zeros(rows), set()
@@ -123,7 +124,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int)
             prefix[i] = h[a:b][code[a:b] > 0].tobytes()
             cost[i] = weight[b] - weight[a]
             sets[i] = np.sort(h[a : bounds[i + 1]]).tobytes()
-        return pa.table([t.column("id"), pa.array(n), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(shared), pa.array(cost),
+        return pa.table([t.column("id"), pa.array(n), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(alone), pa.array(shared), pa.array(cost),
                          pa.array(prefix, pa.binary()), pa.array(sets, pa.binary())], ["id", *[c.split(" ")[0] for c in SETS.split(", ")]])
 
     return blocks.exchange(src, ask, use, f"id {kind}, {SETS}", frequency_code)
@@ -174,12 +175,14 @@ def subset_links(classes: DataFrame, pct: int, top: int) -> DataFrame:
 
 
 def _emit_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """List entries of prefixes: shingle, class, its size, the shingle's place in its order and its share of unshared shingles."""
     for batch in batches:
-        data, offs = scan.utf8(batch.column(2))
+        node, n, alone = (batch.column(i).to_numpy() for i in range(3))
+        data, offs = scan.utf8(batch.column(3))
         each = np.diff(offs) // 8
-        h = np.frombuffer(data.tobytes(), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h), pa.array(np.repeat(batch.column(0).to_numpy(), each)), pa.array(np.repeat(batch.column(1).to_numpy(), each))], ["h", "node", "n"])
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - alone, each)
+        cols = [np.frombuffer(data.tobytes(), np.int64), np.repeat(node, each), np.repeat(n, each), place, np.repeat(1000 * alone // np.maximum(n, 1), each)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "node", "n", "place", "odd"])
 
 
 def verified(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
@@ -205,27 +208,35 @@ def verified(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _fits(pct: int):
-    return 100 * F.least("n", "m") >= pct * F.greatest("n", "m")
+def _may_link(pct: int):
+    """Sizes, and what can still follow the two places in the common order, allow a link.
+
+    At the first shingle that two linked sets share in that order this always holds.
+    """
+    return (100 * F.least("n", "m") >= pct * F.greatest("n", "m")) & (
+        (100 + pct) * F.least(F.col("n") - F.col("place"), F.col("m") - F.col("place2")) >= pct * (F.col("n") + F.col("m")))
 
 
 def links(classes: DataFrame, pct: int) -> DataFrame:
     """Verified links (u, v) between classes whose components are the true ones."""
     top = boundary(classes, pct)
-    postings = cut(classes.filter(100 * F.col("n") >= pct * (top + 1)).select("node", "n", "prefix").mapInArrow(_emit_postings, "h long, node long, n long"))
-    # lists of one class can't link
-    first = postings.groupBy("h").agg(F.min(F.struct("n", "node")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    stars = postings.join(first.select("h", F.col("p.n").alias("m"), F.col("p.node").alias("pivot")), "h").filter((F.col("node") != F.col("pivot")) & _fits(pct))
+    postings = cut(classes.filter(100 * F.col("n") >= pct * (top + 1)).select("node", "n", "alone", "prefix").mapInArrow(
+        _emit_postings, "h long, node long, n long, place long, odd long"))
+    # the centre of a list is the member with the smallest share of shingles that no one else has: of variants of one
+    # text it is the one nearest to all; lists of one class can't link
+    centre = postings.groupBy("h").agg(F.min(F.struct("odd", "n", "node", "place")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    centre = centre.select("h", F.col("p.n").alias("m"), F.col("p.node").alias("pivot"), F.col("p.place").alias("place2"))
+    stars = postings.join(centre, "h").filter((F.col("node") != F.col("pivot")) & _may_link(pct))
     pairs = stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).union(subset_links(classes, pct, top)).distinct()
     tested = cut(verified(pairs, classes, pct))
     known = tested.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     comp = cut(connected_components(known))
-    held = postings.join(comp, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("comp"))
+    held = postings.join(comp, "node", "left").select("h", "node", "n", "place", F.coalesce("component", "node").alias("comp"))
     mixed = held.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("h")
     open_ = cut(held.join(mixed, "h", "left_semi"))
-    other = open_.select("h", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-    rest = open_.join(other, "h").filter((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & _fits(pct)).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-    rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    other = open_.select("h", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("comp").alias("comp2"), F.col("place").alias("place2"))
+    met = open_.join(other, "h").filter((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & _may_link(pct))
+    rest = met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     return known.union(verified(cut(rest), classes, pct).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
@@ -234,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(document_sets(docs, id_col, text_col, k, pct), "ngram-sets")
     shared = sets.filter("shared")
     least = shared.groupBy("hi", "lo").agg(F.min("id").alias("least"))
-    whole = sets.filter(F.col("shingles").isNotNull()).dropDuplicates(["hi", "lo"]).select("hi", "lo", "n", "cost", "prefix", "shingles")
+    whole = sets.filter(F.col("shingles").isNotNull()).dropDuplicates(["hi", "lo"]).select("hi", "lo", "n", "alone", "cost", "prefix", "shingles")
     classes = stored(whole.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
     comp = connected_components(cut(links(classes, pct)))
     named = classes.select("hi", "lo", "node").join(comp, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("comp"))
