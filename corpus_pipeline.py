@@ -1,31 +1,82 @@
-"""From raw to training-ready documents: each stage applies one of the numbered operators to what the last one kept.
+"""From raw to training-ready documents: each stage applies one of the numbered operators to all that the last one kept.
 
-Every stage's result is written as Parquet in the shared folder and read again by the next. ``run`` returns the
-rows of the last stage.
+Every stage's result is written as Parquet in the shared folder and read again as the next one's documents. All stages
+but the last return the columns of ``documents``. Rows are told apart by id and text, so rows that repeat an id with
+another text are judged on their own, and a null id is an id like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seriesmith.core import scratch_path
-from seriesmith.llm import quality
+from seriesmith.llm import bpe, decontaminate, line_dedup, ngram_join, quality
 from seriesmith.llm.common import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key of id and text."""
+    return docs.select(*COLUMNS, F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")).alias("row_key"))
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Documents whose key is not in ``rejected`` (key columns i and h)."""
+    gone = rejected.distinct()
+    same = docs["row_key"]["h"].eqNullSafe(gone["h"]) & docs["row_key"]["i"].eqNullSafe(gone["i"])
+    return docs.join(gone, same, "left_anti").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or stand on a rejected host, go."""
-    judged = quality.judge(docs).filter("kept").select("id").distinct()
-    return docs.join(judged, docs["doc_id"].eqNullSafe(judged["id"]), "left_semi").select(*COLUMNS)
+    docs = _keyed(docs)
+    return _without(docs, quality.judge(docs, id_col="row_key").filter("not kept").select("id.i", "id.h"))
+
+
+def line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line go; documents of which nothing is left go with them."""
+    found = line_dedup.dedup_lines(docs, keep_cols=("lang", "source"))
+    stay = found.filter((F.col("n_removed") == 0) | (F.length("text") > 0))
+    return stay.select(F.col("id").alias("doc_id"), "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays; rows that repeat id and text become one."""
+    found = ngram_join.near_duplicates(docs).filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
+    stay = docs.join(found, docs["doc_id"].eqNullSafe(found["id"]), "left_anti")
+    return stay.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).select(*COLUMNS)
+
+
+def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated with benchmark passages go."""
+    docs = _keyed(docs)
+    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), id_col="row_key")
+    return _without(docs, judged.filter("contaminated").select("id.i", "id.h"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit), and whether they decode to the text."""
+    ranks = bpe.load_ranks(public_tokenizers.path(VOCABULARY))
+    key = F.struct("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).alias("key")
+    out = bpe.decode(bpe.encode(docs.select(key, "text"), ranks, id_col="key"), ranks)
+    return out.select("id.doc_id", "id.lang", "id.source", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("id.digest")).alias("round_trip"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality rules", quality_rules)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_copies),
+    ("byte-level BPE", tokens),
+]
 
-#: The last stages (tokenizer merges, links) can't be written as SQL; tests compare with a brute-force version.
+#: Links and tokens can't be written as SQL; the tests compare the stages with a brute-force version.
 ORACLE_SQL: str | None = None
 
 

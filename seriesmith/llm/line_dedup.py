@@ -20,6 +20,8 @@ separate documents, ordered by a hash; an empty table gives an empty table; extr
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,9 @@ MIN_CHARS = 20
 BROADCAST_KEYS = 500_000
 
 
-def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[id_col], docs[text_col]).alias("dk"))
+def documents(docs: DataFrame, id_col: str, text_col: str, keep_cols: Sequence[str] = ()) -> DataFrame:
+    kept = [docs[c].alias(f"kept_{c}") for c in keep_cols]
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[id_col], docs[text_col]).alias("dk"), *kept)
 
 
 def lines(src: DataFrame) -> DataFrame:
@@ -132,8 +135,9 @@ def near_copies(src: DataFrame, found: DataFrame, min_chars: int) -> DataFrame:
     return met.filter(F.levenshtein("x", "y", 1) >= 0).select("later.h1", "later.h2").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per document row: id, text of the lines that stay, n_lines, n_removed."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
+                keep_cols: Sequence[str] = ()) -> DataFrame:
+    """One row per document row: id, text of the lines that stay, n_lines, n_removed, and ``keep_cols`` as they are."""
     src = documents(docs, id_col, text_col)
     found = cut(classes(src, min_chars))
     near = near_copies(src, found, min_chars)
@@ -142,8 +146,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     flags = every.union(stay).groupBy("id", "dk", "pos").agg(F.max("keep").alias("keep"))
     flags = flags.groupBy(F.col("id").alias("fid"), F.col("dk").alias("fdk")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "keep"))).alias("flags"), F.count_if(~F.col("keep")).alias("n_removed"))
-    met = src.join(flags, F.col("dk").eqNullSafe(F.col("fdk")) & F.col("id").eqNullSafe(F.col("fid")), "left")
+    whole = documents(docs, id_col, text_col, keep_cols)
+    met = whole.join(flags, F.col("dk").eqNullSafe(F.col("fdk")) & F.col("id").eqNullSafe(F.col("fid")), "left")
     parts = F.arrays_zip(F.split("text", "\n").alias("line"), F.col("flags.keep").alias("keep"))
     kept = F.array_join(F.transform(F.filter(parts, lambda p: p["keep"]), lambda p: p["line"]), "\n")
     return met.select("id", F.when(F.coalesce("n_removed", F.lit(0)) == 0, F.col("text")).otherwise(kept).alias("text"),
-                      F.when(F.col("text").isNull(), 0).otherwise(F.size("flags")).cast("long").alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"))
+                      F.when(F.col("text").isNull(), 0).otherwise(F.size("flags")).cast("long").alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), *[F.col(f"kept_{c}").alias(c) for c in keep_cols])
