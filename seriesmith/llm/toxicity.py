@@ -2,7 +2,7 @@
 
 Features are the presence of lower-cased words and of their first four and six bytes. A logistic model is fitted on
 labelled rows with a penalty on the squared change of the score when identity terms of a text are swapped for other
-terms of the same group, so that naming a group does not by itself raise the score.
+terms of the same group, or left out, so that naming a group does not by itself raise the score.
 
 Only the fit is bounded: it uses at most ``max_rows`` labelled rows (those with the smallest hash of id), and the
 ``max_features`` features most associated with the label, both documented parameters. All documents are scored over
@@ -71,12 +71,13 @@ def row_features(data: np.ndarray, offs: np.ndarray, keep: np.ndarray | None) ->
 
 
 def identity_features(groups: Sequence[Sequence[str]]) -> dict[bytes, list[tuple[np.ndarray, np.ndarray]]]:
-    """For each term: its features, and those of each other term of its group."""
+    """For each term: its features, and those of each other term of its group and of no term at all."""
     def of(term: str) -> np.ndarray:
         data = np.frombuffer(term.encode(), np.uint8)
         return np.array([f[0] for f in word_features(data, np.array([0]), np.array([len(data)]))])
 
-    return {t.encode(): [(of(t), of(o)) for o in g if o != t] for g in groups for t in g}
+    none = np.zeros(0, np.uint64)
+    return {t.encode(): [*[(of(t), of(o)) for o in g if o != t], (of(t), none)] for g in groups for t in g}
 
 
 def terms_in(text: bytes, swaps: dict[bytes, list[tuple[np.ndarray, np.ndarray]]]) -> list[str]:
@@ -170,7 +171,7 @@ def train(labelled: DataFrame, max_features: int = 2048, groups: Sequence[Sequen
     size = np.array([len(x) for x in got.column("f")], np.int64)
     cols = np.array(got.column("f").combine_chunks().flatten().to_numpy(), np.int64) if got.num_rows else np.zeros(0, np.int64)
     y = got.column("y").to_numpy().astype(float)
-    index = lambda h: np.unique(np.searchsorted(keep, h))
+    index = lambda h: np.unique(np.searchsorted(keep, h)).astype(np.int64)
     pairs = [(index(b), index(a)) for terms in got.column("terms").to_pylist() for t in terms for a, b in swaps[t.encode()]]
     w, bias = fit(np.repeat(np.arange(len(y)), size), cols, y, len(keep), pairs, fairness=fairness)
     return keep, w, bias
