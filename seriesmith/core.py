@@ -32,12 +32,14 @@ def get_session(name: str = "seriesmith", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder (``spark.checkpoint.dir``).
 
-    A machine-local folder is used only where the setting is absent, as in
-    single-machine tests.
+    Without the setting, a temporary folder serves a ``local`` master, where driver and executors are one
+    process; on a cluster that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="spark-seriesmith-")
         spark.sparkContext.setCheckpointDir(d)

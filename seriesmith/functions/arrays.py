@@ -46,9 +46,12 @@ def diffs(a: Column) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: y - x)
 
 
-def nearest_index(a: Column, target: Column) -> Column:
-    """0-based index of the entry nearest to a value; the first one on a tie."""
-    return let(target, lambda t: F.array_min(F.transform(a, lambda x, i: F.struct(F.abs(x - t).alias("d"), i.alias("i"))))["i"])
+def nearest_index(a: Column, target: Column, tie: str = "first") -> Column:
+    """0-based index of the entry nearest to a value; on a tie the first one, or the larger value (``tie="larger"``)."""
+    if tie not in ("first", "larger"):
+        raise ValueError(f"unknown tie rule {tie!r}")
+    key = (lambda x, i: -x) if tie == "larger" else (lambda x, i: i)
+    return let(target, lambda t: F.array_min(F.transform(a, lambda x, i: F.struct(F.abs(x - t).alias("d"), key(x, i).alias("k"), i.alias("i"))))["i"])
 
 
 def var_pop(a: Column) -> Column:

@@ -25,10 +25,10 @@ SCATTERING = 0.78
 YEAR_US = int(365.25 * 86400 * 1_000_000)
 
 
-def prepare_candidates(df: DataFrame, keys: Sequence[str], date: str = "date", ratio: str = "lidar_ratio", order: str | None = None) -> DataFrame:
-    """One positive candidate per date, the last one wins."""
+def prepare_candidates(df: DataFrame, keys: Sequence[str], date: str = "date", ratio: str = "lidar_ratio", *, order: str) -> DataFrame:
+    """One positive candidate per date; of several the last one by ``order`` wins."""
     ok = df.where(F.col(date).isNotNull() & (F.col(ratio) > 0))
-    return ok.groupBy(*keys, date).agg(F.max_by(ratio, F.col(order or ratio)).alias(ratio))
+    return ok.groupBy(*keys, date).agg(F.max_by(ratio, F.col(order)).alias(ratio))
 
 
 def prepare_targets(df: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:

@@ -145,10 +145,16 @@ def drop_empty_profiles(df: DataFrame, beta: str = "beta_raw") -> DataFrame:
 
 
 def trim_top(df: DataFrame, keys: Sequence[str], beta: str = "beta_raw", arrays: Sequence[str] = ("range", "height")) -> DataFrame:
-    """Cut gates above the highest one that has data in any profile of the day."""
-    last = F.coalesce(
-        F.array_max(F.transform(F.col(beta), lambda x, i: F.when(x.isNotNull() & (x != 0), i + 1))), F.lit(0))
-    top = df.groupBy(*keys).agg(F.max(last).alias("_top"))
+    """Cut gates above the highest one that is neither zero in all profiles of the day nor missing in all."""
+    def highest(ok):
+        return F.max(F.coalesce(F.array_max(F.transform(F.col(beta), lambda x, i: F.when(ok(x), i + 1))), F.lit(0)))
+
+    # zero in some profiles and missing in others: neither all zero nor all missing
+    used = df.groupBy(*keys).agg(highest(lambda x: x.isNotNull() & (x != 0)).alias("_used"))
+    gates = df.select(*keys, F.posexplode(beta).alias("_i", "_x"))
+    part = gates.groupBy(*keys, "_i").agg(F.count_if(F.col("_x").isNull()).alias("_null"), F.count_if(F.col("_x") == 0).alias("_zero"))
+    part = part.where("_null > 0 and _zero > 0").groupBy(*keys).agg((F.max("_i") + 1).alias("_mixed"))
+    top = used.join(part, list(keys), "left").select(*keys, F.greatest("_used", F.coalesce("_mixed", F.lit(0))).alias("_top"))
     cut = lambda c: F.slice(c, F.lit(1), F.col("_top"))
     cols = [beta, *[a for a in arrays if a in df.columns]]
     return df.join(top, list(keys)).withColumns({c: cut(c) for c in cols}).drop("_top")
@@ -284,27 +290,35 @@ def map_class(key: Column | str, classes: dict[str, str], default: str | None =
 
 def preprocess(
     df: DataFrame, profile_keys: Sequence[str], file_keys: Sequence[str], order: str, scaling: Column, calibration: Column, network: Column,
-    smooth: bool = False, fog_limit: float = 1e-3, noise_min: float = 1e-9, keep_above: float = 8e-6, sunbeam_above: float = 10000.0,
+    instrument: str | None = None, status: str | None = None, status_limit: float | None = None, fog_limit: float = 1e-3, noise_min: float = 1e-9,
+    keep_above: float = 8e-6, sunbeam_above: float = 10000.0,
 ) -> DataFrame:
     """Raw profiles -> screened, calibrated, range-corrected profiles with fog flags.
 
-    First row per profile time, empty profiles and empty top gates removed,
-    range correction, calibration, sunbeam screening, fog flags, then
-    (optionally smoothed) noise filtering.
+    First row per profile time, profiles with a bad status, empty profiles and empty top gates removed, range correction
+    of the profiles that are not corrected yet (a NULL flag counts as not corrected), calibration, sunbeam screening,
+    fog flags, then noise filtering: on the smoothed signal for the instrument types that are smoothed (by the
+    ``instrument`` column), on the signal itself for all others.
     """
     from . import profile as pf
 
     d = dedup_time(df, list(profile_keys), order) if order not in profile_keys else df
-    d = drop_empty_profiles(d)
+    if status is not None and status_limit is not None:
+        d = d.withColumn("beta_raw", status_mask("beta_raw", [status], status_limit))
+    d = drop_empty_profiles(d.where(F.col("beta_raw").isNotNull()))
     d = trim_top(d, file_keys)
-    d = d.withColumn("beta_raw", pf.range_correct(F.col("beta_raw"), F.col("range"), F.col("range_corrected"))).withColumn("range_corrected", F.lit(True))
+    done = F.coalesce(F.col("range_corrected"), F.lit(False))
+    d = d.withColumn("beta_raw", F.when(done, F.col("beta_raw")).otherwise(pf.range_correct(F.col("beta_raw"), F.col("range")))).withColumn(
+        "range_corrected", F.lit(True))
     d = calibrate(d, scaling, calibration, network)
     d = d.where(sunbeam_ok(above=sunbeam_above))
     d = d.withColumn("fog_flag", pf.fog_by_sum(F.col("beta_raw"), limit=fog_limit))
-    if smooth:
-        d = pf.gaussian_smooth(d, file_keys)
-        return pf.filter_chain(d, screen="beta_smooth", noise_min=noise_min, keep_above=keep_above)
-    return pf.filter_chain(d, noise_min=noise_min, keep_above=keep_above)
+    if instrument is None:
+        return pf.filter_chain(d, noise_min=noise_min, keep_above=keep_above)
+    named = F.coalesce(F.col(instrument).isin(*SMOOTHED_TYPES), F.lit(False))
+    smooth = pf.gaussian_smooth(d.where(named), file_keys)
+    smooth = pf.filter_chain(smooth, screen="beta_smooth", noise_min=noise_min, keep_above=keep_above).drop("beta_smooth")
+    return smooth.unionByName(pf.filter_chain(d.where(~named), noise_min=noise_min, keep_above=keep_above), allowMissingColumns=True)
 
 
 def with_calibration_factors(df: DataFrame, beta: str, factors: Sequence[float]) -> DataFrame:

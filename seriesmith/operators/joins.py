@@ -13,21 +13,31 @@ from ..functions.scalar import haversine_m
 
 # Days on either side in which a lower-ranked instrument is dropped.
 OVERLAP_WINDOW = {"daily": 0, "3day": 2, "weekly": 3, "monthly": 13}
-MAX_AXIS = 100_000
 
 
-def _axis(grid: DataFrame, col: str) -> Column:
-    """Sorted coordinate axis as a scalar subquery; its size is bounded by the grid's resolution and checked."""
-    a = grid.select(col).distinct().agg(F.array_sort(F.collect_set(col)).alias("a"), F.count(F.lit(1)).alias("n"))
-    err = F.raise_error(F.lit(f"grid axis {col} has more than {MAX_AXIS} values")).cast("array<double>")
-    return a.select(F.when(F.col("n") <= MAX_AXIS, F.col("a")).otherwise(err)).scalar()
+def _axis(grid: DataFrame, col: str) -> tuple[DataFrame, Column]:
+    """Coordinates by whole degree (one row and one short list per degree), and the ends of all lists as one array.
+
+    There are at most 541 degrees; a list holds what the grid's resolution puts into one degree. The nearest
+    coordinate of any place is in the list of its own degree or an end of another list.
+    """
+    per = cut(grid.select(col).where(F.col(col).isNotNull()).groupBy(F.floor(col).alias("_deg")).agg(F.collect_set(col).alias("_own")))
+    ends = per.agg(F.flatten(F.collect_list(F.array(F.array_min("_own"), F.array_max("_own")))).alias("e")).scalar()
+    return per, ends
 
 
 def _nearest(axis: Column, x: Column) -> Column:
-    """Value of a sorted axis nearest to x (the lower one on a tie)."""
+    """Entry of an array nearest to x (the larger one on a tie)."""
     below = F.array_max(F.filter(axis, lambda v: v <= x))
     above = F.array_min(F.filter(axis, lambda v: v >= x))
-    return F.when(below.isNull() | (above - x < x - below), above).otherwise(below)
+    return F.when(below.isNull() | (above - x <= x - below), above).otherwise(below)
+
+
+def _snap(sites: DataFrame, grid: DataFrame, col: str, x: str, out: str) -> DataFrame:
+    per, ends = _axis(grid, col)
+    s = sites.withColumns({"_deg": F.floor(x), "_ends": ends}).join(per, "_deg", "left")
+    s = s.withColumn("_own", F.concat(F.coalesce("_own", F.array().cast("array<double>")), "_ends"))
+    return s.withColumn(out, _nearest(F.col("_own"), F.col(x))).drop("_deg", "_own", "_ends")
 
 
 def nearest_cell(grid: DataFrame, sites: DataFrame) -> DataFrame:
@@ -36,10 +46,8 @@ def nearest_cell(grid: DataFrame, sites: DataFrame) -> DataFrame:
     Each site picks its cell from the two axes, then one equi-join fetches the
     rows; sites and grid are never multiplied.
     """
-    s = sites.select("site", F.col("lat").alias("_slat"), F.col("lon").alias("_slon"))
-    s = s.withColumns({"_alat": _axis(grid, "lat"), "_alon": _axis(grid, "lon")})
-    s = s.withColumn("_cl", _nearest(F.col("_alat"), F.col("_slat"))).withColumn(
-        "_cn", _nearest(F.col("_alon"), F.pmod("_slon", F.lit(360.0)))).drop("_alat", "_alon")
+    s = sites.select("site", F.col("lat").alias("_slat"), F.col("lon").alias("_slon"), F.pmod("lon", F.lit(360.0)).alias("_x"))
+    s = _snap(_snap(s, grid, "lat", "_slat", "_cl"), grid, "lon", "_x", "_cn").drop("_x")
     j = grid.join(s, (F.col("lat") == F.col("_cl")) & (F.col("lon") == F.col("_cn")))
     dist = haversine_m("_slat", "_slon", "lat", "lon") / 1000.0
     return j.withColumn("distance_km", dist).drop("_slat", "_slon", "_cl", "_cn")

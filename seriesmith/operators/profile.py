@@ -291,7 +291,7 @@ def _smooth_block(keys: list[str]):
         to = np.arange(blk * SMOOTH_BLOCK, min(n, (blk + 1) * SMOOTH_BLOCK))
         acc, total = np.zeros((to.size, x.shape[1])), 0.0
         for k in range(-radius, radius + 1):
-            wgt = np.exp(-(k * k) / (2.0 * sigma * sigma))
+            wgt = np.exp(-(k * k) / (2.0 * sigma * sigma)) if k else 1.0
             m = np.mod(to + k, 2 * n)
             src = np.where(m < n, m, 2 * n - 1 - m)
             acc += wgt * x[np.searchsorted(have, src)]
@@ -322,7 +322,8 @@ def gaussian_smooth(
     )
     clamp = F.transform("_u", lambda x: F.when(x > strong, _d(strong)).otherwise(x))
     sr = _d(sigma_m) / ar.array_median(ar.diffs(F.col(rng)))
-    st = _d(sigma_s) / F.col("_dt")
+    # a file of one profile, or of equal times, has no time step: it is not smoothed in time
+    st = F.when(F.col("_dt") > 0, _d(sigma_s) / F.col("_dt")).otherwise(_d(0.0))
     radius = F.floor(st * 4.0 + 0.5)
     first = F.greatest(_d(0), F.floor((F.col("_row") - radius) / SMOOTH_BLOCK))
     last = F.least(F.floor((F.col("_n") - 1) / SMOOTH_BLOCK), F.floor((F.col("_row") + radius) / SMOOTH_BLOCK))
@@ -347,7 +348,7 @@ def candidate_peak(beta: Column, rng: Column, lo: float = 1000.0, hi: float = 20
 
 def contrast_nearest(peak: Column, beta: Column, rng: Column, distance: float = 300.0, factor: float = 20.0) -> Column:
     def ok(c, t):
-        return F.coalesce(c["p"]["beta"] >= F.get(c["b"], ar.nearest_index(c["r"], t)) * factor, F.lit(False))
+        return F.coalesce(c["p"]["beta"] >= F.get(c["b"], ar.nearest_index(c["r"], t, "larger")) * factor, F.lit(False))
 
     return ar.let(ar.pack(p=peak, b=beta, r=rng), lambda c: ok(c, c["p"]["range"] + distance) & ok(c, c["p"]["range"] - distance))
 

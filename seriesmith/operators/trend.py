@@ -503,7 +503,9 @@ def prepare(
     t, unit = ticks(df, time)
     inst = F.coalesce(F.col(instrument).cast("string"), F.lit(MISSING)) if instrument else F.lit(MISSING)
     strat = stratum(inst if by_instrument else None, cal.season(time) if by_season else None)
-    return df.select(*keys, inst.alias("_inst"), strat.alias("_strat"), t.alias("_t"), F.col(value).alias("_y")), unit
+    y = F.col(value).cast("double")  # NaN and infinite values are missing
+    y = F.when(~F.isnan(y) & (F.abs(y) < float("inf")), y)
+    return df.select(*keys, inst.alias("_inst"), strat.alias("_strat"), t.alias("_t"), y.alias("_y")), unit
 
 
 def fit_parts(
@@ -539,20 +541,25 @@ def mann_kendall(
     final = sen_slope(
         long.where(F.col("variant") == last), keys, "_strat", "_t", "_x", stats.where(F.col("variant") == last).drop("variant"),
         unit, alphas)
-    final = final.withColumn("slope", F.when(F.col("reason").isNull(), F.col("slope")))
-    if method != "3pw":
-        return final.select(*keys, "n", "p", "ss", "slope", "ci", "reason")
-    return final.drop("p", "ss").join(decide_3pw(stats, keys, alpha_mk), keys).select(*keys, "n", "p", "ss", "slope", "ci", "reason")
+    if method == "3pw":
+        final = final.drop("p", "ss").join(decide_3pw(stats, keys, alpha_mk), keys).withColumn("reason", F.coalesce("reason", "_why"))
+    # a rejected fit has no results at all
+    out = ["p", "ss", "slope", "ci"]
+    return final.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in out}).select(*keys, "n", *out, "reason")
 
 
 def decide_3pw(stats: DataFrame, keys: Sequence[str], alpha: float = 95.0) -> DataFrame:
-    """Combine the pw and tfpw_y tests: larger p; flag alpha both, -1 only tfpw_y, -2 only pw, else 0."""
+    """Combine the pw and tfpw_y tests: larger p; flag alpha both, -1 only tfpw_y, -2 only pw, else 0.
+
+    If one variant of the series is too short, p and flag are NULL and ``_why`` tells the reason.
+    """
     lim = 1.0 - alpha / 100.0
     d = stats.groupBy(*keys).agg(
-        F.max(F.when(F.col("variant") == "pw", F.col("p"))).alias("_p1"), F.max(F.when(F.col("variant") == "tfpw_y", F.col("p"))).alias("_p2"))
+        F.max(F.when(F.col("variant") == "pw", F.col("p"))).alias("_p1"), F.max(F.when(F.col("variant") == "tfpw_y", F.col("p"))).alias("_p2"), F.min("reason").alias("_why"))
     a, b = F.col("_p1") <= lim, F.col("_p2") <= lim
     ss = F.when(a & b, int(alpha)).when(~a & b, -1).when(a & ~b, -2).otherwise(0)
-    return d.withColumn("p", F.greatest("_p1", "_p2")).withColumn("ss", ss).drop("_p1", "_p2")
+    whole = F.col("_why").isNull()
+    return d.withColumn("p", F.when(whole, F.greatest("_p1", "_p2"))).withColumn("ss", F.when(whole, ss)).drop("_p1", "_p2")
 
 
 def trend_table(

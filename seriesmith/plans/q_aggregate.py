@@ -46,7 +46,7 @@ def ag_mean_min_frac(spark, sf):
     return o.groupBy("site", "instrument", F.trunc("date", "month").alias("month")).agg(r6(ag.mean_min_frac(v, 0.6), 4).alias("value"))
 
 
-HOLES = "dh AS (SELECT site, date, CASE WHEN month(date) % 2 = 0 THEN value END AS value FROM dz WHERE NOT (year(date) = 1998 AND month(date) IN (3, 4, 5)))"
+HOLES = "dh AS (SELECT site, date, CASE WHEN month(date) % 2 = 0 THEN value END AS value FROM dz)"
 DZ = "dz AS (SELECT site, date, avg(value) AS value FROM o GROUP BY ALL)"
 BIN = {
     "2day": ("og + CAST(((date - og) // 2) * 2 AS INTEGER)", "2 DAY"), "3day": ("og + CAST(((date - og) // 3) * 3 AS INTEGER)", "3 DAY"),
@@ -66,7 +66,6 @@ def bins_sql(src: str) -> str:
 
 def _holes(spark, sf):
     d = orders_series(spark, sf).groupBy("site", "date").agg(F.avg("value").alias("value"))
-    d = d.where(~((F.year("date") == 1998) & F.month("date").isin(3, 4, 5)))
     return d.withColumn("value", F.when(F.month("date") % 2 == 0, F.col("value")))
 
 
@@ -219,9 +218,9 @@ r2 AS (SELECT a.site, a.instrument, a.date, a.n, count(b.value) AS c, avg(b.valu
  AND b.i BETWEEN a.i - least(365, a.n) // 2 AND a.i + (least(365, a.n) - 1) // 2 WHERE a.n >= 2 GROUP BY ALL)"""
 
 
-@query("win_running_mean", with_(ORD, DAILY, "rs AS (SELECT site, instrument, date, CASE WHEN value > 200000 THEN value END AS value FROM dd WHERE instrument <> 'F' OR month(date) = 7)", RUNW) +
-       f"SELECT site, instrument, date, {R('CASE WHEN c >= greatest(1, floor(least(365, n) * 0.5)) THEN m END', 3)} AS running FROM r2")
+@query("win_running_mean", with_(ORD, DAILY, "rs AS (SELECT site, instrument, date, CASE WHEN value > 200000 THEN value END AS value FROM dd)", RUNW) +
+       f"SELECT site, instrument, date, {R('CASE WHEN c >= greatest(1, floor(least(365, n) * 0.5)) THEN m + ' + str(OFF) + ' END', 3)} AS running FROM r2")
 def win_running_mean(spark, sf):
-    d = daily(spark, sf).where((F.col("instrument") != "F") | (F.month("date") == 7))
+    d = daily(spark, sf)
     d = d.withColumn("value", F.when(F.col("value") > 200000, F.col("value")))
-    return ag.running_mean(cut(d), ["site", "instrument"]).select("site", "instrument", "date", r6("running", 3).alias("running"))
+    return ag.running_mean(cut(d), ["site", "instrument"]).select("site", "instrument", "date", r6(F.col("running") + OFF, 3).alias("running"))

@@ -7,16 +7,16 @@ from ..operators import calibrate as ca
 from .inputs import OFF, ORD, R, orders_series, with_
 from .registry import query
 
-# candidates: orders above 150 000 of two of the three instruments, value / 1e4 as ratio; the largest key of a date wins
+# candidates: all orders, with a ratio (value / 1e4) only above 150 000 and for some instruments and dates; the largest key of a date wins
 CAND = "cd AS (SELECT site, instrument, date, arg_max(value / 1e4, k) AS lr FROM o WHERE value > 150000 AND NOT (instrument = 'P' AND site >= '3') AND NOT (site < '2' AND date < DATE '1996-03-05') GROUP BY ALL)"
 BP = "bp AS (SELECT DISTINCT site, instrument, date_trunc('year', date)::DATE + 60 AS bp FROM o WHERE year(date) % 3 = 0 AND instrument = 'F')"
 KEYS = ["site", "instrument"]
 
 
 def _candidates(spark, sf):
-    o = orders_series(spark, sf).where("value > 150000").where(~((F.col("instrument") == "P") & (F.col("site") >= "3")))
-    o = o.where(~((F.col("site") < "2") & (F.col("date") < F.lit("1996-03-05").cast("date"))))
-    return o.withColumn("lidar_ratio", F.col("value") / 1e4)
+    o = orders_series(spark, sf)
+    none = (F.col("instrument") == "P") & (F.col("site") >= "3") | (F.col("site") < "2") & (F.col("date") < F.lit("1996-03-05").cast("date"))
+    return o.withColumn("lidar_ratio", F.when((F.col("value") > 150000) & ~none, F.col("value") / 1e4))
 
 
 def _breakpoints(spark, sf):

@@ -65,11 +65,11 @@ CATALOG = "ic AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {s!r}::DOUBLE, {
 
 
 @query("prj_calibrate", with_(PF, LAB_SQL, CATALOG, f"pi AS (SELECT k AS id, {INST_SQL} AS instrument FROM lb)") +
-       f"SELECT id, i - 1 AS gate, {R('b * 1e6 * coalesce(scaling, 1e0) * 1.1e0 * coalesce(network, 1e0)', 4)} AS v FROM g JOIN pi USING (id) LEFT JOIN ic USING (instrument)")
+       f"SELECT id, i - 1 AS gate, {R('b * 1e6 * coalesce(scaling, 1e0) * 1.1e0 * coalesce(network, 1e0)', 4)} AS v FROM g LEFT JOIN pi USING (id) LEFT JOIN ic USING (instrument)")
 def prj_calibrate(spark, sf):
     inst = _labels(spark, sf).select(F.col("k").alias("id"), cl.resolve_instrument("label").alias("name"))
     cat = F.broadcast(cl.instruments(spark).select("name", "scaling", "network_calibration"))  # eleven fixed rows
-    p = profiles(spark, sf).join(inst, "id").join(cat, "name", "left").withColumn("beta_raw", F.transform("beta_raw", lambda x: x * 1e6))
+    p = profiles(spark, sf).join(inst, "id", "left").join(cat, "name", "left").withColumn("beta_raw", F.transform("beta_raw", lambda x: x * 1e6))
     one = F.lit(1.0)
     return gates(cl.calibrate(p, F.coalesce("scaling", one), F.lit(1.1), F.coalesce("network_calibration", one)), "beta_raw", n=4)
 
@@ -259,15 +259,16 @@ def prj_class_map(spark, sf):
 
 
 PRE = """e1 AS (SELECT *, count(*) FILTER (WHERE abs(b) > 0.02e0) OVER (PARTITION BY id) AS c FROM g),
-e2 AS (SELECT id, day, fog_flag, n, i, r, h, b * pow(r / 1000, 2) * 1.2e0 AS b FROM e1 WHERE c > 0),
+e2 AS (SELECT id, day, fog_flag, n, i, r, h, b * CASE WHEN id % 3 = 0 THEN 1e0 ELSE pow(r / 1000, 2) END * 1.2e0 AS b FROM e1 WHERE c > 0),
 pfog AS (SELECT id, abs(sum(b)) > 0.005e0 AS fog FROM e2 WHERE i <= 20 GROUP BY id)"""
 
 
 @query("pipe_preprocess", with_(PF, PRE, U.replace("FROM g", "FROM e2").replace("id, site,", "id,"), CHAIN) +
        f"SELECT f2.id, i - 1 AS gate, fog AS fog_flag, {R('z * pow(r / 1000, 2)', 8)} AS v FROM f2 JOIN pfog USING (id)")
 def pipe_preprocess(spark, sf):
-    """The ordered level-1 chain as composed transforms (the smoothing step is for named types only)."""
-    p = profiles(spark, sf).withColumn("range_corrected", F.lit(False))
+    """The ordered level-1 chain: a third of the profiles is corrected already, a third not, a third has no flag."""
+    third = F.pmod("id", F.lit(3))
+    p = profiles(spark, sf).withColumn("range_corrected", F.when(third == 0, F.lit(True)).when(third == 1, F.lit(False)))
     out = cl.preprocess(p, ["id"], ["day"], order="id", scaling=F.lit(1.0), calibration=F.lit(1.2), network=F.lit(1.0), fog_limit=0.005,
                         noise_min=0.2, keep_above=20.0)
     return gates(out, "beta", ["fog_flag"], 8)

@@ -23,8 +23,8 @@ def daily(spark, sf):
 
 
 CELLS = """lats AS (SELECT DISTINCT lat FROM gr), lons AS (SELECT DISTINCT lon FROM gr),
-sc AS (SELECT st.*, (SELECT arg_min(lat, struct_pack(a := abs(lat - st.lat), b := lat)) FROM lats) AS cell_lat,
- (SELECT arg_min(lon, struct_pack(a := abs(lon - ((st.lon + 360) % 360)), b := lon)) FROM lons) AS cell_lon FROM st)"""
+sc AS (SELECT st.*, (SELECT arg_min(lat, struct_pack(a := abs(lat - st.lat), b := -lat)) FROM lats) AS cell_lat,
+ (SELECT arg_min(lon, struct_pack(a := abs(lon - ((st.lon + 360) % 360)), b := -lon)) FROM lons) AS cell_lon FROM st)"""
 
 
 @query("jn_nearest_cell", with_(GRID, SITES, CELLS) + f"SELECT site, k, layer, {R(HAV.format(a1='sc.lat', a2='sc.lon', b1='gr.lat', b2='gr.lon') + ' / 1000', 3)} AS distance_km FROM gr JOIN sc ON gr.lat = sc.cell_lat AND gr.lon = sc.cell_lon")
@@ -66,26 +66,16 @@ x2 AS (SELECT * FROM d1 WHERE rank = 2 AND NOT EXISTS (SELECT 1 FROM x1 WHERE x1
 x3 AS (SELECT * FROM d1 WHERE rank = 3 AND NOT EXISTS (SELECT 1 FROM x1 WHERE x1.site = d1.site AND abs(x1.date - d1.date) <= 2) AND NOT EXISTS (SELECT 1 FROM x2 WHERE x2.site = d1.site AND abs(x2.date - d1.date) <= 2))"""
 
 
-def _seasonal(spark, sf):
-    """Instruments that are each present part of the time, so that every rank keeps something."""
-    d = daily(spark, sf)
-    m = F.month("date")
-    return d.where(((F.col("instrument") == "F") & m.isin(1, 2, 3, 4)) | ((F.col("instrument") == "O") & m.isin(4, 5, 6, 7)) | (F.col("instrument") == "P") & (m != 6))
-
-
-SEASONAL = "dd AS (SELECT * FROM d0 WHERE (instrument = 'F' AND month(date) IN (1,2,3,4)) OR (instrument = 'O' AND month(date) IN (4,5,6,7)) OR (instrument = 'P' AND month(date) <> 6))"
-
-
-@query("jn_overlap_exclusion", with_(ORD, DAILY.replace("dd AS", "d0 AS"), SEASONAL, RANKS) + "SELECT site, instrument, date FROM x1 UNION ALL SELECT site, instrument, date FROM x2 UNION ALL SELECT site, instrument, date FROM x3")
+@query("jn_overlap_exclusion", with_(ORD, DAILY, RANKS) + "SELECT site, instrument, date FROM x1 UNION ALL SELECT site, instrument, date FROM x2 UNION ALL SELECT site, instrument, date FROM x3")
 def jn_overlap_exclusion(spark, sf):
-    return jn.overlap_exclusion(_seasonal(spark, sf), ["site"], "instrument", jn.OVERLAP_WINDOW["3day"]).select("site", "instrument", "date")
+    return jn.overlap_exclusion(daily(spark, sf), ["site"], "instrument", jn.OVERLAP_WINDOW["3day"]).select("site", "instrument", "date")
 
 
-@query("jn_combine_series", with_(ORD, DAILY.replace("dd AS", "d0 AS"), SEASONAL, RANKS) + """SELECT site, date, instrument, CAST(row_number() OVER (PARTITION BY site ORDER BY date, instrument) AS BIGINT) AS pos
+@query("jn_combine_series", with_(ORD, DAILY, RANKS) + """SELECT site, date, instrument, CAST(row_number() OVER (PARTITION BY site ORDER BY date, instrument) AS BIGINT) AS pos
  FROM (SELECT * FROM x1 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM x3)""")
 def jn_combine_series(spark, sf):
     """Kept instrument series as one labelled series in time order."""
-    kept = jn.overlap_exclusion(_seasonal(spark, sf), ["site"], "instrument", 2)
+    kept = jn.overlap_exclusion(daily(spark, sf), ["site"], "instrument", 2)
     pos = F.row_number().over(W.partitionBy("site").orderBy("date", "instrument")).cast("bigint")
     return kept.select("site", "date", "instrument", pos.alias("pos"))
 
@@ -162,7 +152,7 @@ def jn_missing_sites(spark, sf):
     return so.missing(want, sites(spark, sf), "site")
 
 
-@query("set_difference_sites", with_(SITES) + "SELECT c_name AS site FROM customer WHERE c_custkey < 1000000 EXCEPT SELECT 'Customer#' || substr(site, 10) FROM st")
+@query("set_difference_sites", with_(SITES) + "SELECT c_name AS site FROM customer EXCEPT SELECT 'Customer#' || substr(site, 10) FROM st")
 def set_difference_sites(spark, sf):
     conf = table(spark, sf, "customer").select(F.col("c_name").alias("site"))
     known = sites(spark, sf).select(F.concat(F.lit("Customer#"), F.substring("site", 10, 9)).alias("site"))

@@ -198,7 +198,7 @@ def pf_candidate_peak(spark, sf):
     return p.where("pk is not null").select("id", r6("pk.beta").alias("peak"), F.col("pk.range").alias("peak_range"))
 
 
-CONTR = """cc AS (SELECT cpk.*, (SELECT arg_min(b, struct_pack(a := abs(r - (pr + 55)), b := i)) FROM g WHERE g.id = cpk.id) AS up, (SELECT arg_min(b, struct_pack(a := abs(r - (pr - 55)), b := i)) FROM g WHERE g.id = cpk.id) AS dn FROM cpk)"""
+CONTR = """cc AS (SELECT cpk.*, (SELECT arg_min(b, struct_pack(a := abs(r - (pr + 55)), b := -i)) FROM g WHERE g.id = cpk.id) AS up, (SELECT arg_min(b, struct_pack(a := abs(r - (pr - 55)), b := -i)) FROM g WHERE g.id = cpk.id) AS dn FROM cpk)"""
 
 
 @query("pf_peak_contrast_nearest", with_(PF, CAND, CONTR) + "SELECT id, pb >= 1.2e0 * up AND pb >= 1.2e0 * dn AS ok FROM cc")

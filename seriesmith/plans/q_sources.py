@@ -242,8 +242,8 @@ def cat_quality_gate(spark, sf):
 
 
 @query("pipe_grid_to_sites", with_(GRID, SITES, """lats AS (SELECT DISTINCT lat FROM gr), lons AS (SELECT DISTINCT lon FROM gr)""",
- """sc AS (SELECT st.site, (SELECT arg_min(lat, struct_pack(a := abs(lat - st.lat), b := lat)) FROM lats) AS cell_lat,
- (SELECT arg_min(lon, struct_pack(a := abs(lon - ((st.lon + 360) % 360)), b := lon)) FROM lons) AS cell_lon FROM st)""") +
+ """sc AS (SELECT st.site, (SELECT arg_min(lat, struct_pack(a := abs(lat - st.lat), b := -lat)) FROM lats) AS cell_lat,
+ (SELECT arg_min(lon, struct_pack(a := abs(lon - ((st.lon + 360) % 360)), b := -lon)) FROM lons) AS cell_lon FROM st)""") +
  f"""SELECT site, k, layer, epoch_us(CAST(day AS TIMESTAMP)) + ((CAST(hour_index AS BIGINT) - 1) * 3600 + 1800) * 1000000 AS us, {R('nullif(obs_cld_amount, -999e0) / 100', 5)} AS obs_cloud_cover
  FROM gr JOIN sc ON gr.lat = sc.cell_lat AND gr.lon = sc.cell_lon""")
 def pipe_grid_to_sites(spark, sf):

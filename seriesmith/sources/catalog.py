@@ -59,12 +59,12 @@ GRANULE = r"^CER_([^_]+)_([^_]+)_(Edition[^_]+)_(\d+)\.(\d{8})\.hdf$"
 
 
 def parse_granules(listing: DataFrame, name: str = "file", year: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Product, platforms, edition, granule and date of satellite files; names that do not match go to the second frame."""
-    ok = F.col(name).rlike(GRANULE)
+    """Product, platforms, edition, granule and date of satellite files; names that do not match, or have an impossible date, go to the second frame."""
+    day = F.to_date(F.try_to_timestamp(F.regexp_extract(name, GRANULE, 5), F.lit("yyyyMMdd")))
+    ok = F.coalesce(F.col(name).rlike(GRANULE) & day.isNotNull(), F.lit(False))
     parsed = listing.where(ok).withColumns({
         c: F.regexp_extract(name, GRANULE, i + 1) for i, c in enumerate(("product", "platforms", "edition", "granule"))
-    }).withColumn("time", F.to_date(F.try_to_timestamp(F.regexp_extract(name, GRANULE, 5), F.lit("yyyyMMdd"))))
-    parsed = parsed.where(F.col("time").isNotNull())
+    }).withColumn("time", day)
     if year is not None:
         parsed = parsed.where(F.year("time") == year)
     return parsed, listing.where(~ok)
