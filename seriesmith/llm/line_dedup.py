@@ -73,13 +73,14 @@ def candidates(found: DataFrame) -> DataFrame:
 
 
 def with_text(src: DataFrame, near: DataFrame, min_chars: int) -> DataFrame:
-    """The candidates with their text, read at their earliest place."""
+    """The candidates with their text, read at their earliest place, and a number that rises with that place."""
     wanted = near.select("h1", "h2", "first")
     if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
     rows = lines(src).filter(F.col("n") >= min_chars)
     met = rows.join(wanted, ["h1", "h2"]).filter(F.struct("id", "dk", "pos").eqNullSafe(F.col("first")))
-    return met.select("first", "line", "n", "h1", "h2").dropDuplicates(["h1", "h2"]).withColumn("node", F.struct("first", "h1", "h2"))
+    ordered = met.select("first", "line", "n", "h1", "h2").dropDuplicates(["h1", "h2"]).orderBy("first")
+    return cut(ordered.withColumn("node", F.monotonically_increasing_id()).drop("first"))
 
 
 def _block(m: Column) -> Column:
@@ -114,25 +115,32 @@ def variants(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_pairs(gone: DataFrame, own: DataFrame) -> DataFrame:
-    """later, earlier: each line with the earliest of every key it shares; enough to tell which lines go."""
-    replaced = gone.groupBy("key", "place").agg(F.min("node").alias("earlier"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    """later, earlier: each line with the earliest of every key it shares; enough to tell which lines go.
+
+    A key's lines are the texts that lose one character to become the same string, some for each place and character,
+    so the list of one key is bounded by its length; lists of one line, nearly all, end here.
+    """
+    rows = gone.select("key", "place", "node").union(own.select("key", F.lit(-1).alias("place"), "node"))
+    met = rows.groupBy("key").agg(F.collect_list(F.struct("place", "node")).alias("of")).filter(F.array_min("of.node") < F.array_max("of.node"))
+    met = cut(met.select("key", F.inline("of")))
+    gone, own = met.filter("place >= 0"), met.filter("place < 0").select("key", F.col("node").alias("short"))
+    replaced = gone.groupBy("key", "place").agg(F.min("node").alias("earlier"))
     by_replacing = gone.join(replaced, ["key", "place"]).select(F.col("node").alias("later"), "earlier")
+    # a shorter line goes if the earliest of those longer by one is before it, and a longer one if the shorter is
     longer = gone.groupBy("key").agg(F.min("node").alias("least"))
-    # the shorter line goes if the earliest of those longer by one is before it ...
-    from_longer = own.join(longer, "key").select(F.col("node").alias("later"), F.col("least").alias("earlier"))
-    # ... and each longer line goes if the shorter one is before it
-    from_shorter = gone.select("key", "node").join(own.withColumnRenamed("node", "short"), "key").select(F.col("node").alias("later"), F.col("short").alias("earlier"))
+    from_longer = own.join(longer, "key").select(F.col("short").alias("later"), F.col("least").alias("earlier"))
+    from_shorter = gone.join(own, "key").select(F.col("node").alias("later"), F.col("short").alias("earlier"))
     return by_replacing.union(from_longer).union(from_shorter).filter("earlier < later").distinct()
 
 
 def near_copies(src: DataFrame, found: DataFrame, min_chars: int) -> DataFrame:
     """h1, h2 of distinct lines that an earlier line within one edit replaces, verified on the texts."""
-    texts = cut(with_text(src, cut(candidates(found)), min_chars))
+    texts = with_text(src, cut(candidates(found)), min_chars)
     pairs = near_pairs(*variants(texts))
-    left = texts.select(F.col("node").alias("later"), F.col("line").alias("x"))
+    left = texts.select(F.col("node").alias("later"), F.col("line").alias("x"), "h1", "h2")
     right = texts.select(F.col("node").alias("earlier"), F.col("line").alias("y"))
     met = pairs.join(left, "later").join(right, "earlier")
-    return met.filter(F.levenshtein("x", "y", 1) >= 0).select("later.h1", "later.h2").distinct()
+    return met.filter(F.levenshtein("x", "y", 1) >= 0).select("h1", "h2").distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
