@@ -2,25 +2,23 @@
 
 Every reweighting round is one grouped aggregate of the normal equations
 (map-side combined, so a hot series is no hot task); only the tiny solve per
-group runs in numpy. A replicate is a table of row multiplicities, never a
-copy of the data.
+group runs in numpy. Bootstrap replicates are refitted in chunks from a
+series' daily rows, as row multiplicities.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..core import cut
 from ..functions.arrays import let, pack
 from ..functions.scalar import clip, fourier_basis
-from .compare import uniform
 
 CLIP = (0.01, 0.99)
 
@@ -32,17 +30,6 @@ def linear_trend(df: DataFrame, keys: Sequence[str], time: str = "time", tempera
     return d.withColumn("t_anom", F.col(temperature) - F.col("t_trend")).drop("_s", "_i")
 
 
-def _weighted_trend(df: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """The same with row multiplicities, from centred sums."""
-    w, t, x = F.col(weight), F.col("time"), F.col("temperature")
-    m = df.groupBy(*keys).agg((F.sum(w * t) / F.sum(w)).alias("_mt"), (F.sum(w * x) / F.sum(w)).alias("_mx"))
-    d = df.join(m, keys)
-    s = d.groupBy(*keys).agg(
-        (F.sum(w * (t - F.col("_mt")) * (x - F.col("_mx"))) / F.sum(w * (t - F.col("_mt")) * (t - F.col("_mt")))).alias("_s"))
-    d = d.join(s, keys).withColumn("t_trend", F.col("_mx") + F.col("_s") * (t - F.col("_mt")))
-    return d.withColumn("t_anom", x - F.col("t_trend")).drop("_mt", "_mx", "_s")
-
-
 def design(terms: int, interactions: bool = False, doy: str = "doy") -> Column:
     """[1, trend, anomaly, seasonal basis(, trend x basis, anomaly x basis)] as one array."""
     def build(b):
@@ -89,12 +76,13 @@ def _dot(x: Column, b: Column) -> Column:
 
 def quasibinomial(
     df: DataFrame, keys: Sequence[str], p: int, x: str = "x", y: str = "y", n: str = "n_samples", weight: str | None = None,
-    max_rounds: int = 25, tol: float = 1e-9,
+    max_rounds: int = 100, tol: float = 1e-9,
 ) -> DataFrame:
     """Logit regression with weights ``n`` per key: coefficients, standard errors, dispersion, rows.
 
-    ``weight`` is a row multiplicity. Groups with fewer rows than columns give
-    NULL coefficients. The driver only learns how far the slowest group moved.
+    ``weight`` is a row multiplicity. Groups with fewer rows than columns, singular ones and those that still move
+    after ``max_rounds`` give NULL coefficients and are not ``converged``. A group that has come to rest is not fitted
+    again; the driver only learns how many still move.
     """
     keys = list(keys)
     m = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -115,16 +103,23 @@ def quasibinomial(
         return out.select(*keys, "rows", "_chi", F.when(ok, F.col("_s.coef")).alias("coef"), F.when(ok, F.col("_s.var")).alias("var"))
 
     mu0 = (F.col("_y") + 0.5) / 2.0
-    cur = cut(normal(d, mu0, F.log(mu0 / (F.lit(1.0) - mu0))))
+    moving = cut(normal(d, mu0, F.log(mu0 / (F.lit(1.0) - mu0))))
+    done = [moving.where(F.col("coef").isNull()).withColumn("converged", F.lit(False))]
+    moving = moving.where(F.col("coef").isNotNull())
     for _ in range(max_rounds):
-        prev = cur.where(F.col("coef").isNotNull()).select(*keys, F.col("coef").alias("_c"))
+        prev = moving.select(*keys, F.col("coef").alias("_c"))
         rows = d.join(prev, keys).withColumn("_e", _dot(F.col(x), F.col("_c")))
-        nxt = cut(normal(rows, F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_e"))), F.col("_e")))
-        step = nxt.join(prev, keys).select(F.max(F.array_max(F.zip_with("coef", "_c", lambda a, b: F.abs(a - b)))).alias("s")).first()[0]
-        cur = nxt
-        if step is None or step < tol:
+        nxt = normal(rows, F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_e"))), F.col("_e")).join(prev, keys)
+        step = F.array_max(F.zip_with("coef", "_c", lambda a, b: F.abs(a - b)))
+        nxt = cut(nxt.withColumn("converged", F.coalesce(step < tol, F.lit(False))).drop("_c"))
+        done.append(nxt.where("converged or coef is null"))
+        moving = nxt.where("not converged and coef is not null").drop("converged")
+        if moving.isEmpty():
             break
-    scale = F.col("_chi") / F.when(F.col("rows") > p, F.col("rows") - p)
+    cur = moving.withColumn("converged", F.lit(False)).withColumn("coef", F.lit(None).cast("array<double>")).withColumn("var", F.lit(None).cast("array<double>"))
+    for part in done:
+        cur = cur.unionByName(part)
+    scale = F.when(F.col("converged"), F.col("_chi") / F.when(F.col("rows") > p, F.col("rows") - p))
     return cur.withColumn("dispersion", scale).withColumn("se", F.transform("var", lambda v: F.sqrt(v * F.col("dispersion")))).drop("_chi", "var")
 
 
@@ -148,52 +143,117 @@ def mean_marginal_effects(
         (F.sum(F.col("_m") * F.col("_b") * F.col("_v")) / F.sum("_m")).alias("mme_anom"))
 
 
-def bootstrap_multiplicities(sizes: DataFrame, keys: Sequence[str], n: str, replicates: str, block: int = 60, seed: int = 0) -> DataFrame:
-    """Stationary bootstrap as (keys, replicate, row, multiplicity).
+def _uniform(key: int, replicate: int, n: int, seed: int) -> np.ndarray:
+    """Uniform [0, 1) numbers of the positions of one replicate, from a hash of series, replicate and position."""
+    h = np.arange(n, dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + replicate * 0xD1B54A32D192ED03 + seed * 0x8CB92BA72F3D8DD7) % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0x9E3779B97F4A7C15), (29, 0xD6E8FEB86659FD93)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return ((h ^ (h >> np.uint64(32))) >> np.uint64(12)).astype(float) / float(1 << 52)
+
 
-    Positions open a new block with probability 1/block (the geometric block
-    length); a block is a circular run of rows from a random start. All
-    randomness comes from hashes of (keys, replicate, position), so results
-    do not depend on partitioning.
+def multiplicities(n: int, key: int, replicate: int, block: int = 60, seed: int = 0) -> np.ndarray:
+    """How often each row is drawn in one replicate of the stationary bootstrap.
+
+    Positions open a new block with probability 1/block (the geometric block length); a block is a circular run of
+    rows from a random start. All randomness is a hash of series, replicate and position, so results do not depend on
+    partitioning.
     """
-    keys = list(keys)
-    kc = [F.col(k) for k in keys]
-    rep = sizes.select(*keys, F.col(n).alias("_n"), F.explode(F.sequence(F.lit(0), F.col(replicates) - 1)).alias("replicate"))
-    pos = rep.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    opens = (F.col("_j") == 0) | (uniform(seed, *kc, F.col("replicate"), F.col("_j")) < 1.0 / block)
-    b = pos.where(opens).withColumn(
-        "_s", F.floor(uniform(seed + 1, *kc, F.col("replicate"), F.col("_j")) * F.col("_n")))
-    w = W.partitionBy(*keys, "replicate").orderBy("_j")
-    b = b.withColumn("_e", F.coalesce(F.lead("_j").over(w), F.col("_n")) - F.col("_j"))
-    idx = b.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_e").cast("int") - 1))).select(
-        *keys, "replicate", F.pmod(F.col("_s") + F.col("_k"), F.col("_n")).cast("int").alias("row"))
-    return idx.groupBy(*keys, "replicate", "row").agg(F.count(F.lit(1)).alias("mult"))
+    opens = _uniform(key, replicate, n, 2 * seed) < 1.0 / block
+    opens[:1] = True
+    at = np.flatnonzero(opens)
+    start = np.floor(_uniform(key, replicate, n, 2 * seed + 1)[at] * n).astype(int)
+    which = np.cumsum(opens) - 1
+    return np.bincount((start[which] + np.arange(n) - at[which]) % n, minlength=n)
+
+
+def _fit_replicate(m: np.ndarray, d: dict[str, np.ndarray], terms: int, interactions: bool, max_rounds: int, tol: float) -> list[float | None]:
+    """Trend split, regression and effects of one replicate: slopes and marginal effects, or all None."""
+    use = m > 0
+    w, t, x, y, ns, basis = m[use].astype(float), d["time"][use], d["temperature"][use], d["y"][use], d["n"][use], d["basis"][use]
+    ct, cx = np.average(t, weights=w), np.average(x, weights=w)
+    spread = (w * (t - ct) ** 2).sum()
+    if not spread > 0:
+        return [None] * 4
+    trend = cx + (w * (t - ct) * (x - cx)).sum() / spread * (t - ct)
+    anom = x - trend
+    cols = [np.ones_like(t), trend, anom, *basis.T]
+    if interactions:
+        cols += [*(basis.T * trend), *(basis.T * anom)]
+    a = np.column_stack(cols)
+    if w.sum() < a.shape[1]:
+        return [None] * 4
+    mu = (y + 0.5) / 2.0
+    eta, coef = np.log(mu / (1.0 - mu)), None
+    for _ in range(max_rounds + 1):
+        v = mu * (1.0 - mu)
+        g = w * ns * v
+        normal = (a * g[:, None]).T @ a
+        if not np.isfinite(normal).all() or np.linalg.cond(normal) >= 1e14:
+            return [None] * 4
+        new = np.linalg.solve(normal, (a * g[:, None]).T @ (eta + (y - mu) / v))
+        rest = coef is not None and np.abs(new - coef).max() < tol
+        coef = new
+        eta = a @ coef
+        mu = 1.0 / (1.0 + np.exp(-eta))
+        if rest:
+            break
+    else:
+        return [None] * 4
+    v = mu * (1.0 - mu)
+    effects = []
+    for i, k in ((1, 1), (2, 2)):
+        slope = coef[i] + (basis @ coef[3 + terms * k : 3 + terms * (k + 1)] if interactions else 0.0)
+        effects.append(float((w * slope * v).sum() / w.sum()))
+    return [float(coef[1]), float(coef[2]), *effects]
+
+
+CHUNK = 50
 
 
 def block_bootstrap(
-    df: DataFrame, keys: Sequence[str], terms: int = 2, interactions: bool = False, replicates: int | str = 1000, block: int = 60,
-    seed: int = 0, max_rounds: int = 12,
+    df: DataFrame, keys: Sequence[str], terms: int = 12, interactions: bool = False, replicates: int | str = 1000, block: int = 60,
+    seed: int = 0, max_rounds: int = 100, tol: float = 1e-9,
 ) -> DataFrame:
     """Refits of trend split and regression per replicate: slopes and mean marginal effects; failed ones are NULL.
 
-    ``replicates`` is a number or the name of a column with each series' own number.
+    ``replicates`` is a number or the name of a column with each series' own number. A series' daily rows (bounded by
+    the calendar) become one row of arrays; a task refits a chunk of its replicates, so neither replicates nor
+    resampled rows are shuffled. A replicate that does not come to rest in ``max_rounds`` counts as failed.
     """
     keys = list(keys)
-    w = W.partitionBy(*keys).orderBy("time")
-    rows = cut(df.withColumn("row", F.row_number().over(w) - 1))
     b = F.max(replicates) if isinstance(replicates, str) else F.max(F.lit(replicates))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"), b.cast("int").alias("b"))
-    mult = bootstrap_multiplicities(sizes, keys, "n", "b", block, seed)
-    g = [*keys, "replicate"]
-    d = _weighted_trend(mult.join(rows, [*keys, "row"]), g, "mult")
-    d = cut(d.withColumn("x", design(terms, interactions)).select(*g, "x", "y", "n_samples", "mult"))
-    fit = quasibinomial(d, g, n_columns(terms, interactions), weight="mult", max_rounds=max_rounds)
-    mme = mean_marginal_effects(d, fit.where(F.col("coef").isNotNull()), g, terms, interactions, weight="mult")
-    return fit.select(*g, F.col("coef")[1].alias("slope_trend"), F.col("coef")[2].alias("slope_anom")).join(mme, g, "left")
-
-
-def bootstrap_ci(reps: DataFrame, keys: Sequence[str], values: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """Percentile interval, two-sided p and mean of each replicate statistic (a series has a fixed number of replicates)."""
+    d = df.where(F.col("y").isNotNull() & F.col("n_samples").isNotNull() & F.col("temperature").isNotNull() & F.col("time").isNotNull())
+    row = F.struct(F.col("time").cast("double").alias("t"), F.col("temperature").cast("double").alias("x"), clip("y", *CLIP).alias("y"),
+                   F.col("n_samples").cast("double").alias("n"), fourier_basis("doy", terms).alias("basis"))
+    one = d.select(*keys, *([replicates] if isinstance(replicates, str) else []), row.alias("_row")).groupBy(*keys).agg(
+        F.sort_array(F.collect_list("_row")).alias("_rows"), b.cast("int").alias("_b"))
+    chunks = one.withColumn("_key", F.xxhash64(*keys)).withColumn("_first", F.explode(F.sequence(F.lit(0), F.col("_b") - 1, F.lit(CHUNK))))
+    chunks = chunks.repartition(*keys, "_first")
+    names = ("slope_trend", "slope_anom", "mme_trend", "mme_anom")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                rows = r["_rows"]
+                data = {k: np.array([x[c] for x in rows], float) for k, c in (("time", "t"), ("temperature", "x"), ("y", "y"), ("n", "n"))}
+                data["basis"] = np.array([np.asarray(x["basis"], float) for x in rows]).reshape(len(rows), terms)
+                reps = range(int(r["_first"]), min(int(r["_first"]) + CHUNK, int(r["_b"])))
+                got = [_fit_replicate(multiplicities(len(rows), int(r["_key"]), i, block, seed), data, terms, interactions, max_rounds, tol) for i in reps]
+                out = pd.DataFrame(got, columns=list(names), dtype=object)
+                for k in reversed(keys):
+                    out.insert(0, k, [r[k]] * len(out))
+                out.insert(len(keys), "replicate", list(reps))
+                yield out
+
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("replicate", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]])
+    return chunks.mapInPandas(run, schema)
+
+
+def bootstrap_ci(reps: DataFrame, keys: Sequence[str], values: Sequence[str], alpha: float = 0.05, min_valid: float = 0.0) -> DataFrame:
+    """Percentile interval, two-sided p and mean of each replicate statistic (a series has a fixed number of replicates).
+
+    NULL if fewer than the share ``min_valid`` of the replicates is valid.
+    """
     aggs = []
     for v in values:
         x = F.col(v)
@@ -201,7 +261,9 @@ def bootstrap_ci(reps: DataFrame, keys: Sequence[str], values: Sequence[str], al
         aggs += [
             F.percentile(x, alpha / 2).alias(f"{v}_lower"), F.percentile(x, 1 - alpha / 2).alias(f"{v}_upper"), F.avg(x).alias(f"{v}_mean"),
             F.least(F.lit(1.0), F.least(low, high) * 2.0).alias(f"{v}_p")]
-    return reps.groupBy(*keys).agg(*aggs, F.count(values[0]).alias("n_valid"), F.count(F.lit(1)).alias("n_replicates"))
+    out = reps.groupBy(*keys).agg(*aggs, F.count(values[0]).alias("n_valid"), F.count(F.lit(1)).alias("n_replicates"))
+    enough = F.col("n_valid") >= F.lit(min_valid) * F.col("n_replicates")
+    return out.withColumns({c: F.when(enough, F.col(c)) for v in values for c in (f"{v}_lower", f"{v}_upper", f"{v}_mean", f"{v}_p")})
 
 
 def fit_response(df: DataFrame, keys: Sequence[str], terms: int = 12, interactions: bool = False) -> DataFrame:
@@ -218,7 +280,7 @@ def predict(df: DataFrame, coef: DataFrame, keys: Sequence[str], x: str = "x") -
 
 
 def meta_response(
-    df: DataFrame, site: Sequence[str], instrument: str = "instrument", terms: int = 2, replicates: int = 10_000, min_replicates: int = 100,
+    df: DataFrame, site: Sequence[str], instrument: str = "instrument", terms: int = 12, replicates: int = 10_000, min_replicates: int = 100,
     alpha: float = 0.05, block: int = 60, seed: int = 0,
 ) -> DataFrame:
     """Instruments fitted apart, effects weighted by sample share, replicates (in the same shares) pooled per site."""
@@ -232,5 +294,5 @@ def meta_response(
         (F.sum(F.col("mme_trend") * F.col("_n")) / F.sum("_n")).alias("mme_trend"), (F.sum(F.col("mme_anom") * F.col("_n")) / F.sum("_n")).alias("mme_anom"))
     with_b = df.join(share.select(*keys, "_b"), keys)
     reps = block_bootstrap(with_b, keys, terms, replicates="_b", block=block, seed=seed)
-    ci = bootstrap_ci(reps, site, ["mme_trend", "mme_anom"], alpha).withColumnsRenamed({"mme_trend_mean": "boot_trend", "mme_anom_mean": "boot_anom"})
+    ci = bootstrap_ci(reps, site, ["mme_trend", "mme_anom"], alpha, min_valid=0.5).withColumnsRenamed({"mme_trend_mean": "boot_trend", "mme_anom_mean": "boot_anom"})
     return point.join(ci, site)

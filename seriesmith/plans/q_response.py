@@ -43,9 +43,9 @@ def rg_design(spark, sf):
 @query("rg_quasibinomial")
 def rg_quasibinomial(spark, sf):
     """Iterative weighted fit; no SQL form (checked against numpy in the tests)."""
-    f = rs.fit_response(regression(spark, sf), ["site"], 2)
-    return f.select("site", F.col("rows").cast("bigint").alias("rows"), r6("dispersion").alias("dispersion"), *[r6(F.col("coef")[i]).alias(f"b{i}") for i in range(5)],
-                    *[r6(F.col("se")[i]).alias(f"se{i}") for i in range(5)])
+    f = rs.fit_response(regression(spark, sf), ["site"], 12)
+    return f.select("site", F.col("rows").cast("bigint").alias("rows"), r6("dispersion").alias("dispersion"), "converged", *[r6(F.col("coef")[i]).alias(f"b{i}") for i in range(15)],
+                    *[r6(F.col("se")[i]).alias(f"se{i}") for i in range(15)])
 
 
 COEF = "cf AS (SELECT site, [0.1e0, regr_slope(y, t_trend), regr_slope(y, t_anom), 0.2e0, -0.1e0, 0.01e0, 0.02e0, 0.03e0, 0.04e0] AS c FROM lt GROUP BY site)"
@@ -65,8 +65,8 @@ def rg_mme(spark, sf):
 
 @query("rg_block_bootstrap")
 def rg_block_bootstrap(spark, sf):
-    """40 replicates of every site's whole series (keyed hashes: repeatable, no SQL form)."""
-    b = rs.block_bootstrap(regression(spark, sf), ["site"], replicates=40)
+    """1000 replicates of every site's whole series (keyed hashes: repeatable, no SQL form)."""
+    b = rs.block_bootstrap(regression(spark, sf), ["site"])
     return b.select("site", "replicate", *[r6(c, 8).alias(c) for c in ("slope_trend", "slope_anom", "mme_trend", "mme_anom")])
 
 
@@ -85,6 +85,6 @@ def rg_bootstrap_ci(spark, sf):
 
 @query("rg_meta_instruments")
 def rg_meta_instruments(spark, sf):
-    """Per-instrument fits pooled by site, 30 replicates shared by sample size (at least 8 each)."""
-    m = rs.meta_response(regression(spark, sf), ["site"], replicates=30, min_replicates=8)
+    """Per-instrument fits pooled by site, 10000 replicates shared by sample size (at least 100 each)."""
+    m = rs.meta_response(regression(spark, sf), ["site"])
     return m.select("site", *[r6(c, 8).alias(c) for c in ("mme_trend", "mme_anom", "mme_trend_lower", "mme_trend_upper", "mme_anom_lower", "mme_anom_upper", "mme_trend_p", "mme_anom_p")], "n_replicates")

@@ -200,12 +200,41 @@ def test_quasibinomial_against_numpy(spark):
     assert got.mme_trend == pytest.approx((b[1] * v).mean(), rel=1e-7)
 
 
-def test_bootstrap_multiplicities(spark):
-    s = spark.createDataFrame([("a", 200, 50)], "site string, n int, b int")
-    m = rs.bootstrap_multiplicities(s, ["site"], "n", "b", 20)
-    per = m.groupBy("replicate").agg(F.sum("mult").alias("t"), F.countDistinct("row").alias("d")).collect()
-    assert len(per) == 50 and all(r.t == 200 for r in per) and 60 < np.mean([r.d for r in per]) < 180
-    assert sorted(m.collect()) == sorted(rs.bootstrap_multiplicities(s.repartition(3), ["site"], "n", "b", 20).collect())
+def test_bootstrap_multiplicities():
+    per = [rs.multiplicities(200, 7, i, 20) for i in range(50)]
+    assert all(m.sum() == 200 for m in per) and 60 < np.mean([(m > 0).sum() for m in per]) < 180
+    assert (rs.multiplicities(200, 7, 3, 20) == per[3]).all() and not (rs.multiplicities(200, 8, 3, 20) == per[3]).all()
+    # runs of neighbours: a drawn row's successor is drawn about as often
+    assert np.mean([np.abs(np.diff(m)).mean() for m in per]) < 0.35
+
+
+def test_bootstrap_refits(spark):
+    """With every row drawn once a replicate is the plain fit; a pooled fit of one instrument is its own fit."""
+    rng = np.random.default_rng(4)
+    t = np.arange(200) / 36.5
+    temp = 0.3 * t + rng.normal(size=200)
+    y = 1 / (1 + np.exp(-(0.2 + 0.3 * temp + rng.normal(size=200) * 0.5)))
+    rows = [("a", "x", float(a), float(b), i % 365 + 1, 2.0, float(c)) for i, (a, b, c) in enumerate(zip(t, temp, y, strict=True))]
+    df = spark.createDataFrame(rows, "site string, instrument string, time double, temperature double, doy int, n_samples double, y double")
+    fit = rs.fit_response(df, ["site"], 4).first()
+    basis = np.array(df.select(fn.fourier_basis("doy", 4).alias("b")).toPandas()["b"].tolist())
+    data = {"time": t, "temperature": temp, "y": np.clip(y, 0.01, 0.99), "n": np.full(200, 2.0), "basis": basis}
+    one = rs._fit_replicate(np.ones(200, int), data, 4, False, 100, 1e-9)
+    assert one == pytest.approx([fit.coef[1], fit.coef[2], fit.mme_trend, fit.mme_anom], rel=1e-6)
+    b = rs.block_bootstrap(df, ["site"], terms=4, replicates=120).toPandas()
+    assert sorted(b.replicate) == list(range(120)) and abs(b.slope_anom.mean() - fit.coef[2]) < 0.1
+    m = rs.meta_response(df, ["site"], terms=4, replicates=60, min_replicates=10).first()
+    assert m.mme_anom == pytest.approx(fit.mme_anom, rel=1e-9) and m.n_replicates == 60 and m.mme_anom_lower < m.mme_anom < m.mme_anom_upper
+
+
+def test_separable_series_is_flagged(spark):
+    """A fit that can't come to rest has no coefficients and does not disturb the others."""
+    rng = np.random.default_rng(5)
+    rows = [("flat", [1.0, 1.0], float(rng.uniform(0.2, 0.8)), 3.0) for _ in range(30)] + [("good", [1.0, float(i)], float(rng.uniform(0.2, 0.8)), 3.0) for i in range(30)]
+    f = {r.site: r for r in rs.quasibinomial(spark.createDataFrame(rows, "site string, x array<double>, y double, n_samples double"), ["site"], 2).collect()}
+    assert f["flat"].coef is None and not f["flat"].converged and f["good"].converged and len(f["good"].coef) == 2
+    few = {r.site: r for r in rs.quasibinomial(spark.createDataFrame(rows[30:], "site string, x array<double>, y double, n_samples double"), ["site"], 2, max_rounds=1).collect()}
+    assert few["good"].coef is None and not few["good"].converged
 
 
 def test_bootstrap_p(spark):
