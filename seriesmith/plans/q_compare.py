@@ -93,34 +93,35 @@ def un_quantile_resample(spark, sf):
     return q.select("site", "dataset", F.posexplode("quantiles").alias("point", "v")).select("site", "dataset", "point", r6("v", 4).alias("value"))
 
 
-DRAWS = 2000
+DRAWS = 1_000_000
+ENDS = ("q68_low", "q68_high", "q95_low", "q95_high")
 MC = f"""dr AS (SELECT site, dataset, (unnest(range(0, {DRAWS})) + 0.5e0) / {DRAWS}e0 * 30 AS pos, unnest(range(0, {DRAWS})) AS draw FROM (SELECT DISTINCT site, dataset FROM qf)),
 dl AS (SELECT dr.site, dr.dataset, draw, a.v + (b.v - a.v) * (pos - floor(pos)) AS v FROM dr JOIN rq a ON a.site = dr.site AND a.dataset = dr.dataset AND a.i = least(floor(pos), 29) JOIN rq b ON b.site = dr.site AND b.dataset = dr.dataset AND b.i = least(floor(pos), 29) + 1),
 dm AS (SELECT dataset, draw, avg(v) AS m FROM dl GROUP BY ALL)"""
 
 
-@query("un_mc_mean", with_(ORD, QF, resample_sql(31), MC) + f"SELECT dataset, {R('avg(m)', 3)} AS mean, {R('stddev_samp(m)', 3)} AS std, CAST(5 AS BIGINT) AS n_sites, CAST(count(*) AS BIGINT) AS n_draws FROM dm GROUP BY dataset")
+@query("un_mc_mean", with_(ORD, QF, resample_sql(31), MC) + f"SELECT dataset, {R('avg(m)', 3)} AS mean, {R('stddev_samp(m)', 3)} AS std, (SELECT count(DISTINCT site) FROM qf WHERE qf.dataset = dm.dataset) AS n_sites, CAST(count(*) AS BIGINT) AS n_draws, {', '.join(R(f'quantile_cont(m, {q})', 3) + ' AS ' + n for n, q in zip(ENDS, (0.16, 0.84, 0.025, 0.975), strict=True))} FROM dm GROUP BY dataset")
 def un_mc_mean(spark, sf):
     """Evenly spaced draws (the deterministic mode), so that SQL can repeat them."""
     q = cp.quantile_arrays(_qf(spark, sf), ["site", "dataset"], "p", "q", 31)
     d = cp.monte_carlo_draws(q, ["site", "dataset"], DRAWS, stratified=True)
     m = cp.monte_carlo_mean(d, ["dataset"])
-    return m.select("dataset", r6("mean", 3).alias("mean"), r6("std", 3).alias("std"), "n_sites", "n_draws")
+    return m.select("dataset", r6("mean", 3).alias("mean"), r6("std", 3).alias("std"), "n_sites", "n_draws", *[r6(c, 3).alias(c) for c in ENDS])
 
 
 @query("un_mc_mean_random")
 def un_mc_mean_random(spark, sf):
     """Random draws keyed by (site, dataset, draw): the same for any partitioning."""
     q = cp.quantile_arrays(_qf(spark, sf), ["site", "dataset"], "p", "q", 201)
-    return cp.monte_carlo_mean(cp.monte_carlo_draws(q, ["site", "dataset"], 20_000, seed=7), ["dataset"])
+    return cp.monte_carlo_mean(cp.monte_carlo_draws(q, ["site", "dataset"], DRAWS, seed=7), ["dataset"])
 
 
 KDE = """st AS (SELECT site, min(value) AS lo, max(value) AS hi, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2e0) AS h FROM o GROUP BY site)"""
 
 
-@query("un_kde", with_(ORD, KDE) + f"SELECT site, {R('lo + (hi - lo) * g / 63e0', 3)} AS x, {R('1e6 * sum(exp(-0.5e0 * pow((lo + (hi - lo) * g / 63e0 - value) / h, 2))) / (any_value(n) * any_value(h) * 2.5066282746310002e0)')} AS density FROM o JOIN st USING (site), (SELECT unnest(range(0, 64)) AS g) GROUP BY site, g, lo, hi")
+@query("un_kde", with_(ORD, KDE) + f"SELECT site, {R('lo + (hi - lo) * g / 511e0', 3)} AS x, {R('1e6 * sum(exp(-0.5e0 * pow((lo + (hi - lo) * g / 511e0 - value) / h, 2))) / (any_value(n) * any_value(h) * 2.5066282746310002e0)')} AS density FROM o JOIN st USING (site), (SELECT unnest(range(0, 512)) AS g) GROUP BY site, g, lo, hi")
 def un_kde(spark, sf):
-    k = cp.kernel_density(orders_series(spark, sf), ["site"], "value", 64)
+    k = cp.kernel_density(orders_series(spark, sf), ["site"], "value")
     return k.select("site", r6("x", 3).alias("x"), r6(F.col("density") * 1e6).alias("density"))
 
 

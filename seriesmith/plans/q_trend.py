@@ -7,7 +7,7 @@ from ..functions.scalar import normal_ppf
 from ..operators import aggregate as ag
 from ..operators import trend as tr
 from . import trend_sql as ts
-from .inputs import ORD, R, orders_series, with_
+from .inputs import OFF, ORD, R, orders_series, with_
 from .q_functions import SEASON, cdf_sql
 from .registry import query
 
@@ -231,7 +231,7 @@ def tr_tfpw_ws(spark, sf):
     return v.select("site", F.col("_inst").alias("instrument"), F.col("_t").alias("t"), r6("tfpw_ws", 3).alias("tfpw_ws"))
 
 
-QF_POINTS = 201
+QF_POINTS = 20001
 _eps = 1e-6
 _grid = [min(100.0 - _eps, _eps + (100.0 - 2 * _eps) / (QF_POINTS - 1) * i) for i in range(QF_POINTS)]
 GRID_SQL = "gd AS (SELECT unnest([" + ", ".join(f"{a!r}" for a in _grid) + "]::DOUBLE[]) AS alpha, unnest([" + ", ".join(
@@ -248,13 +248,13 @@ def _quantiles(spark, sf):
     return tr.quantile_function(d, ["site"], "_strat", "_t", "_y", st, QF_POINTS), st
 
 
-@query("tr_quantile_function", QF_SQL + f"SELECT site, {R('pl', 6)} AS probability_level, {R('avg(slope) * ' + ts.YEAR, 3)} AS quantile_value_per_year FROM w JOIN r USING (site, rn) GROUP BY site, pl")
+@query("tr_quantile_function", QF_SQL + f"SELECT site, {R('pl', 6)} AS probability_level, {R('avg(slope) * ' + ts.YEAR + f' + {OFF}', 3)} AS quantile_value_per_year FROM w JOIN r USING (site, rn) GROUP BY site, pl")
 def tr_quantile_function(spark, sf):
     q, _ = _quantiles(spark, sf)
-    return q.select("site", r6("probability_level", 6).alias("probability_level"), r6("quantile_value_per_year", 3).alias("quantile_value_per_year"))
+    return q.select("site", r6("probability_level", 6).alias("probability_level"), r6(F.col("quantile_value_per_year") + OFF, 3).alias("quantile_value_per_year"))
 
 
-@query("snk_distribution", QF_SQL + f"SELECT 'orders' AS dataset, site, '_all' AS suffix, 'raw' AS series_key, {R('pl', 6)} AS probability_level, {R('avg(slope) * ' + ts.YEAR, 3)} AS quantile_value_per_year, CAST(max(k.n_pairs) AS BIGINT) AS n_slopes, CAST(max(k.n) AS BIGINT) AS n_samples, {R('max(k.var)', 3)} AS kendall_variance FROM w JOIN r USING (site, rn) JOIN k USING (site) GROUP BY site, pl")
+@query("snk_distribution", QF_SQL + f"SELECT 'orders' AS dataset, site, '_all' AS suffix, 'raw' AS series_key, {R('pl', 6)} AS probability_level, {R('avg(slope) * ' + ts.YEAR + f' + {OFF}', 3)} AS quantile_value_per_year, CAST(max(k.n_pairs) AS BIGINT) AS n_slopes, CAST(max(k.n) AS BIGINT) AS n_samples, {R('max(k.var)', 3)} AS kendall_variance FROM w JOIN r USING (site, rn) JOIN k USING (site) GROUP BY site, pl")
 def snk_distribution(spark, sf):
     """Distribution table written by dataset and site and read back."""
     from ..sources import sinks
@@ -263,17 +263,17 @@ def snk_distribution(spark, sf):
     out = sinks.distribution_table(q, st, ["site"], "orders", "_all", "raw")
     back = sinks.write_and_read(out, "distribution", ["dataset", "suffix"])
     return back.select("dataset", "site", "suffix", "series_key", r6("probability_level", 6).alias("probability_level"),
-                       r6("quantile_value_per_year", 3).alias("quantile_value_per_year"), "n_slopes", "n_samples", r6("kendall_variance", 3).alias("kendall_variance"))
+                       r6(F.col("quantile_value_per_year") + OFF, 3).alias("quantile_value_per_year"), "n_slopes", "n_samples", r6("kendall_variance", 3).alias("kendall_variance"))
 
 
-@query("src_slope_distribution", QF_SQL + f"SELECT site, {R('pl', 6)} AS probability_level, {R('avg(slope) * ' + ts.YEAR, 3)} AS quantile_value_per_year FROM w JOIN r USING (site, rn) WHERE site = '1-URGENT' GROUP BY site, pl")
+@query("src_slope_distribution", QF_SQL + f"SELECT site, {R('pl', 6)} AS probability_level, {R('avg(slope) * ' + ts.YEAR + f' + {OFF}', 3)} AS quantile_value_per_year FROM w JOIN r USING (site, rn) WHERE site = '1-URGENT' GROUP BY site, pl")
 def src_slope_distribution(spark, sf):
     from ..sources import sinks
 
     q, st = _quantiles(spark, sf)
     path = sinks.write_table(sinks.distribution_table(q, st, ["site"], "orders", "_all", "raw"), "distribution", ["dataset", "suffix", "site"])
     got = sinks.load_distribution(spark, path, "orders", "1-URGENT", "_all")
-    return got.select("site", r6("probability_level", 6).alias("probability_level"), r6("quantile_value_per_year", 3).alias("quantile_value_per_year"))
+    return got.select("site", r6("probability_level", 6).alias("probability_level"), r6(F.col("quantile_value_per_year") + OFF, 3).alias("quantile_value_per_year"))
 
 
 # --- whole trend products: one job for all series ---------------------------------------------------
