@@ -5,8 +5,9 @@ deleted or replaced), stands earlier; earlier means a smaller document id, then
 the input, not on what is left, and shorter lines stay.
 
 1. Equal lines collapse by a 128-bit hash in one map-side combined aggregate; the earliest place stays.
-2. Two lines within one edit share a first or last half up to a shift by one. Lines that share no such half with
-   another line are done; only the few others go on, and only their texts are fetched.
+2. Two lines within one edit share a first or last half up to a shift by one, and of the other half a half again.
+   Lines that share no such part with another line are done; only the few others go on, and only their texts are
+   fetched.
 3. Those emit every variant with one character deleted, as a hashed key that also has the place of the deletion: equal
    keys mean that one replacement, or none, tells the lines apart, so each meets only the earliest of its key. A line
    also emits itself, which meets the variants of lines longer by one. Long lines are hashed in blocks of about the
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import cut
+from .common import stored
 
 MIN_CHARS = 20
 #: Up to so many keys of lines (16 bytes each) are broadcast to fetch texts; more are joined by a shuffle.
@@ -43,15 +45,17 @@ def lines(src: DataFrame) -> DataFrame:
     return out.withColumns({"n": F.length("line"), "h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
-def _halves() -> dict[str, Column]:
-    """Hashes of the first and last half, at the two lengths that a line one longer or shorter may have."""
-    n = F.col("n")
-    sizes = {"a": F.floor(n / 2), "b": F.when(n % 2 == 0, n / 2 - 1).otherwise((n + 1) / 2)}
-    out = {}
-    for k, x in sizes.items():
-        x = x.cast("int")
-        out[f"p{k}"] = F.xxhash64(F.lit(1), x, F.expr("line").substr(F.lit(1), x))
-        out[f"s{k}"] = F.xxhash64(F.lit(2), x, F.expr("line").substr(n - x + 1, x))
+def _sizes(n: Column) -> list[Column]:
+    """Half the length of a string, as it may be for one longer or shorter by a character."""
+    return [F.floor(n / 2).cast("int"), F.when(n % 2 == 0, n / 2 - 1).otherwise((n + 1) / 2).cast("int")]
+
+
+def _half_keys(text: Column, n: Column, *within: Column) -> list[tuple[Column, Column]]:
+    """Hashes of the first and last half at both lengths, each with what of the text it leaves out."""
+    out = []
+    for x in _sizes(n):
+        out.append((F.xxhash64(*within, F.lit(1), x, text.substr(F.lit(1), x)), text.substr(x + 1, n)))
+        out.append((F.xxhash64(*within, F.lit(2), x, text.substr(n - x + 1, x)), text.substr(F.lit(1), n - x)))
     return out
 
 
@@ -60,7 +64,8 @@ HALVES = ("pa", "sa", "pb", "sb")
 
 def classes(src: DataFrame, min_chars: int) -> DataFrame:
     """Distinct lines long enough: hash, half keys, earliest place."""
-    rows = lines(src).filter(F.col("n") >= min_chars).withColumns(_halves())
+    rows = lines(src).filter(F.col("n") >= min_chars)
+    rows = rows.withColumns({k: h for k, (h, _) in zip(HALVES, _half_keys(F.col("line"), F.col("n")), strict=True)})
     return rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "dk", "pos")).alias("first"), *[F.min(k).alias(k) for k in HALVES])
 
 
@@ -83,6 +88,14 @@ def with_text(src: DataFrame, near: DataFrame, min_chars: int) -> DataFrame:
     return cut(ordered.withColumn("node", F.monotonically_increasing_id()).drop("first"))
 
 
+def narrowed(texts: DataFrame) -> DataFrame:
+    """Of the candidates those that also share a half of the other half: one edit leaves three quarters alike."""
+    quarters = [k for h, rest in _half_keys(F.col("line"), F.col("n")) for k, _ in _half_keys(rest, F.length(rest), h)]
+    keys = texts.select("node", F.explode(F.array_distinct(F.array(*quarters))).alias("k"))
+    shared = keys.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k")
+    return cut(texts.join(keys.join(shared, "k", "left_semi").select("node").distinct(), "node", "left_semi"))
+
+
 def _block(m: Column) -> Column:
     return F.greatest(F.lit(32), F.floor(F.sqrt(m))).cast("int")
 
@@ -136,6 +149,7 @@ def near_pairs(gone: DataFrame, own: DataFrame) -> DataFrame:
 def near_copies(src: DataFrame, found: DataFrame, min_chars: int) -> DataFrame:
     """h1, h2 of distinct lines that an earlier line within one edit replaces, verified on the texts."""
     texts = with_text(src, cut(candidates(found)), min_chars)
+    texts = narrowed(texts)
     pairs = near_pairs(*variants(texts))
     left = texts.select(F.col("node").alias("later"), F.col("line").alias("x"), "h1", "h2")
     right = texts.select(F.col("node").alias("earlier"), F.col("line").alias("y"))
@@ -147,7 +161,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keep_cols: Sequence[str] = ()) -> DataFrame:
     """One row per document row: id, text of the lines that stay, n_lines, n_removed, and ``keep_cols`` as they are."""
     src = documents(docs, id_col, text_col)
-    found = cut(classes(src, min_chars))
+    found = stored(classes(src, min_chars), "lines")
     near = near_copies(src, found, min_chars)
     stay = found.join(near, ["h1", "h2"], "left_anti").select("first.id", "first.dk", "first.pos", F.lit(True).alias("keep"))
     every = src.select("id", "dk", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "dk", "pos", (F.length("line") < min_chars).alias("keep"))
