@@ -84,6 +84,15 @@ def span_hash(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix(h ^ ((ends - starts).astype(U) * U(0xD6E8FEB86659FD93)))
 
 
+def rolling_hash(pre: np.ndarray, size: int) -> np.ndarray:
+    """``span_hash`` of the ``size`` bytes at every place."""
+    n = len(pre) - size
+    h = pre[size:] - pre[:n]
+    h *= _geometric(INVERSE, len(pre))[:n]
+    h ^= U((size * 0xD6E8FEB86659FD93) % (1 << 64))
+    return mix(h)
+
+
 def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
