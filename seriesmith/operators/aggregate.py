@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..core import cut
 from ..functions import calendar as cal
 
 DAY_ZENITH = 85.0
@@ -91,15 +92,40 @@ def valid_days(df: DataFrame, keys: Sequence[str], date: str = "date", value: st
     return df.groupBy(*keys).agg(F.countDistinct(F.when(F.col(value).isNotNull(), F.col(date))).alias("valid_days"))
 
 
-def winsor_mean(df: DataFrame, keys: Sequence[str], value: str = "value", lower: float = 0.02, upper: float = 0.98) -> DataFrame:
-    """Mean after clipping to two quantiles of the group (linear interpolation).
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], bins: int = 1024) -> DataFrame:
+    """Exact quantiles (linear interpolation) of groups of any size: keys and ``quantiles``, in the order of ``probs``.
 
-    For groups of bounded size (bins of daily rows): one exchange, quantiles as
-    an unordered window, then the mean on the same partitioning.
+    Every wanted rank has a bracket of values, at first the group's range. A round counts the values of each bracket
+    in even bins (map-side combined) and takes the bin with the rank, shrunk to the values it holds, as the new
+    bracket, until it is one value. Nobody sorts or collects a group; NULLs don't count.
     """
-    q = F.percentile(value, F.array(F.lit(lower), F.lit(upper))).over(W.partitionBy(*keys))
-    clipped = F.when(F.col(value).isNotNull(), F.greatest(F.col("_q")[0], F.least(F.col("_q")[1], F.col(value))))
-    return df.withColumn("_q", q).groupBy(*keys).agg(F.avg(clipped).alias(value))
+    keys = list(keys)
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    st = v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    at = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    want = [F.struct(F.lit(i).alias("_i"), F.lit(side).alias("_side"), F.least(F.floor(x).cast("long") + side, F.col("_n") - 1).alias("_k"), (x - F.floor(x)).alias("_f"))
+            for i, x in enumerate(at) for side in (0, 1)]
+    state = cut(st.select(*keys, "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.inline(F.array(*want))))
+    while not (open_ := state.where("_lo < _hi")).isEmpty():
+        brackets = open_.select(*keys, "_lo", "_hi").distinct()
+        b = F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))
+        inside = v.join(brackets, keys).where("_v >= _lo and _v <= _hi").withColumn("_b", b)
+        c = inside.groupBy(*keys, "_lo", "_hi", "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        w = W.partitionBy(*keys, "_lo", "_hi").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # as many rows as bins
+        c = c.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+        hit = open_.join(c, [*keys, "_lo", "_hi"]).where("_k - _below >= _before and _k - _below < _before + _c")
+        moved = hit.select(*keys, F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), (F.col("_below") + F.col("_before")).alias("_below"), "_i", "_side", "_k", "_f")
+        state = cut(state.where("_lo >= _hi").unionByName(moved))
+    low, high = (F.max(F.when(F.col("_side") == s, F.col("_lo"))) for s in (0, 1))
+    one = state.groupBy(*keys, "_i").agg((low + (high - low) * F.max("_f")).alias("_q"))
+    return one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("quantiles"))
+
+
+def winsor_mean(df: DataFrame, keys: Sequence[str], value: str = "value", lower: float = 0.02, upper: float = 0.98) -> DataFrame:
+    """Mean after clipping to two exact quantiles of the group (linear interpolation); groups may have any size."""
+    q = exact_quantiles(df, keys, value, (lower, upper))
+    clipped = F.when(F.col(value).isNotNull(), F.greatest(F.col("quantiles")[0], F.least(F.col("quantiles")[1], F.col(value))))
+    return df.join(q, list(keys), "left").groupBy(*keys).agg(F.avg(clipped).alias(value))
 
 
 def doy_window(daily: DataFrame, n_days: int = 31, date: str = "date", doy: str = "doy") -> DataFrame:

@@ -158,10 +158,10 @@ def win_demean(spark, sf):
 
 @query("ag_shared_climatology", with_(ORD, DAILY, REF, DEM, doy_clim_sql("dm", "site", "dv"), "sh AS (SELECT site, doy, value - avg(value) OVER (PARTITION BY site) AS shared FROM dc)",
        "bs AS (SELECT site, instrument, avg(value) AS b FROM rf GROUP BY ALL UNION ALL SELECT site, 'site', avg(value) FROM rf GROUP BY ALL)") +
-       f"SELECT site, instrument, doy, {R('shared', 4)} AS shared, {R('shared + b', 4)} AS value FROM sh JOIN bs USING (site)")
+       f"SELECT site, instrument, doy, {R(f'shared + {OFF}', 4)} AS shared, {R(f'shared + b + {OFF}', 4)} AS value FROM sh JOIN bs USING (site)")
 def ag_shared_climatology(spark, sf):
     c = ag.shared_climatology(cut(_ref(spark, sf)), ["site"])
-    return c.select("site", "instrument", "doy", r6("shared", 4).alias("shared"), r6("value", 4).alias("value"))
+    return c.select("site", "instrument", "doy", r6(F.col("shared") + OFF, 4).alias("shared"), r6(F.col("value") + OFF, 4).alias("value"))
 
 
 MON = "mb AS (SELECT site, date_trunc('month', date)::DATE AS date, avg(value) AS anomaly FROM an GROUP BY ALL), gm AS (SELECT site, avg(clim) AS g FROM cq GROUP BY site)"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..core import cut, r6
 from ..functions import calendar as cal
+from ..operators import aggregate as ag
 from ..operators import compare as cp
 from ..operators import joins as jn
 from .inputs import ORD, R, SITES, orders_series, sites, table, with_
@@ -77,7 +78,8 @@ QF = f"qf AS (SELECT site, instrument AS dataset, unnest({LEV!r}::DOUBLE[]) AS p
 
 
 def _qf(spark, sf):
-    a = orders_series(spark, sf).groupBy("site", F.col("instrument").alias("dataset")).agg(F.percentile("value", LEV).alias("_q"))
+    o = orders_series(spark, sf).withColumnRenamed("instrument", "dataset")
+    a = ag.exact_quantiles(o, ["site", "dataset"], "value", LEV).withColumnRenamed("quantiles", "_q")
     return a.select("site", "dataset", F.inline(F.arrays_zip(F.array(*[F.lit(x) for x in LEV]).alias("p"), F.col("_q").alias("q")))).toDF("site", "dataset", "p", "q")
 
 

@@ -6,6 +6,7 @@ from ..core import r6
 from ..functions import calendar as cal
 from ..functions import scalar as fn
 from ..functions.solar import DECLINATION, EQ_TIME, solar_zenith
+from ..operators import aggregate as ag
 from .inputs import EV, ORD, R, SITES, event_samples, orders_series, sites, table, with_
 from .registry import query
 
@@ -131,7 +132,7 @@ def fn_flag_comment(spark, sf):
 def fn_interp(spark, sf):
     o = orders_series(spark, sf)
     ps = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9]
-    tab = o.groupBy("site").agg(F.percentile("value", ps).alias("xp")).withColumn("fp", F.array(*[F.lit(p) for p in ps]))
+    tab = ag.exact_quantiles(o, ["site"], "value", ps).withColumnRenamed("quantiles", "xp").withColumn("fp", F.array(*[F.lit(p) for p in ps]))
     return o.join(tab, "site").select("k", r6(fn.interp("value", "xp", "fp")).alias("p"))
 
 

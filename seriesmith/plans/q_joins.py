@@ -1,6 +1,5 @@
 """Alignments as joins, set operations and sorts."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..core import r6
@@ -76,8 +75,7 @@ def jn_overlap_exclusion(spark, sf):
 def jn_combine_series(spark, sf):
     """Kept instrument series as one labelled series in time order."""
     kept = jn.overlap_exclusion(daily(spark, sf), ["site"], "instrument", 2)
-    pos = F.row_number().over(W.partitionBy("site").orderBy("date", "instrument")).cast("bigint")
-    return kept.select("site", "date", "instrument", pos.alias("pos"))
+    return so.series_positions(kept, ["site"], ["date", "instrument"]).select("site", "date", "instrument", F.col("pos").cast("bigint"))
 
 
 @query("jn_zenith_align", with_(EV, "za AS (SELECT site, time, max(event_id % 100) + 0e0 AS z FROM e WHERE event_id % 4 <> 0 GROUP BY ALL)") + "SELECT event_id, CASE WHEN z > 50 THEN value END AS value FROM e LEFT JOIN za USING (site, time)")

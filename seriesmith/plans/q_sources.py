@@ -112,10 +112,10 @@ def src_catalog_first_per_date(spark, sf):
     return cat.prefer(cat.parse_daily(listing(spark, sf)), ["site", "date"], [], ["path"])
 
 
-@query("so_first_by_priority", with_(LIST, PARSED) + _first("CASE instrument WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END", "site, instrument"))
+@query("so_first_by_priority", with_(LIST, PARSED) + _first("CASE instrument WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END", "site"))
 def so_first_by_priority(spark, sf):
     f = cat.parse_daily(listing(spark, sf))
-    return cat.prefer(f, ["site", "instrument"], [cat.rank_of("instrument", ["O", "F"])], ["path"])
+    return cat.prefer(f, ["site"], [cat.rank_of("instrument", ["O", "F"])], ["path"])
 
 
 @query("src_product_dirs", "SELECT p_partkey, '/' || p_type || '.P' || p_size || '_R0' AS dir, 'P' || p_size || '_R0' AS version FROM part WHERE p_type LIKE 'ECON%'")

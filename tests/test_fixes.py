@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seriesmith.functions import arrays as ar
+from seriesmith.operators import aggregate as ag
 from seriesmith.operators import calibrate as ca
 from seriesmith.operators import clean as cl
 from seriesmith.operators import joins as jn
@@ -113,3 +115,19 @@ def test_last_candidate_needs_an_order(spark):
     assert ca.prepare_candidates(df, ["site"], order="k").first().lidar_ratio == 2.0
     with pytest.raises(TypeError):
         ca.prepare_candidates(df, ["site"])
+
+
+def test_exact_quantiles(spark):
+    """Ties, outliers, one value, NULLs: the same as numpy's linear interpolation, whatever the number of bins."""
+    rng = np.random.default_rng(3)
+    groups = {"ties": rng.integers(0, 5, 301).astype(float), "outlier": np.append(rng.normal(size=200), 1e12), "one": np.array([3.5]), "two": np.array([1.0, 2.0])}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("ties", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = (0.0, 0.02, 0.25, 0.5, 0.98, 1.0)
+    got = {r.g: r.quantiles for r in ag.exact_quantiles(df, ["g"], "v", probs, bins=4).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        assert got[g] == pytest.approx(np.quantile(xs, probs).tolist(), rel=1e-12)
+    w = {r.g: r.v for r in ag.winsor_mean(df, ["g"], "v").collect()}
+    lo, hi = np.quantile(groups["outlier"], (0.02, 0.98))
+    assert w["outlier"] == pytest.approx(np.clip(groups["outlier"], lo, hi).mean()) and w["none"] is None
