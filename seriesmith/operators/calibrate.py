@@ -85,7 +85,7 @@ def time_interpolate(df: DataFrame, keys: Sequence[str], date: str, value: str,
 
 def calibration_factors(
     candidates: DataFrame, targets: DataFrame, breakpoints: DataFrame, keys: Sequence[str], sc_ratio: Column, window_min: int = WINDOW_MIN,
-    min_candidates: int = MIN_CANDIDATES, scattering: float = SCATTERING, order: str | None = None,
+    min_candidates: int = MIN_CANDIDATES, scattering: float = SCATTERING, *, order: str,
 ) -> DataFrame:
     """Factor and status of every target date, never across a breakpoint.
 

@@ -162,7 +162,7 @@ def test_calibration_statuses(spark):
     c = spark.createDataFrame(rows, "site string, date date, lidar_ratio double")
     t = spark.createDataFrame([(s, d(i)) for s in "abcd" for i in (0, 2, 120)], "site string, date date")
     bp = spark.createDataFrame([("d", d(100))], "site string, breakpoint date")
-    f = {(r.site, r.date): r for r in ca.calibration_factors(c, t, bp, ["site"], F.lit(18.8)).collect()}
+    f = {(r.site, r.date): r for r in ca.calibration_factors(c, t, bp, ["site"], F.lit(18.8), order="lidar_ratio").collect()}
     assert f["a", d(0)].factor_status == "rolling_two_year" and f["a", d(2)].factor_status == "interpolated"
     assert f["a", d(0)].autocalibration_factor == pytest.approx(0.78)
     assert f["b", d(2)].factor_status == "candidate_median_fallback" and f["b", d(2)].rolling_median_lidar_ratio == 15.0
