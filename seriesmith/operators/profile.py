@@ -56,21 +56,6 @@ def used_noise(noise: Column, noise_min: float = 1e-9, mode: str = "cap", force:
     return F.when(noise > m, noise).otherwise(m)
 
 
-def negative_run_mask(beta: Column, min_run: int = 5, skip: int = 5, max_gates: int = 95) -> Column:
-    """True from the first gate that closes a run of more than ``min_run`` negatives upwards."""
-    idx = F.transform(beta, lambda x, i: F.coalesce((x < 0) & (i >= skip) & (i < skip + max_gates), F.lit(False)))
-    return F.aggregate(
-        idx,
-        F.struct(_d(0).alias("run"), F.lit(False).alias("hit"), F.array().cast("array<boolean>").alias("out")),
-        lambda a, x: F.struct(
-            F.when(x, a["run"] + 1).otherwise(_d(0)).alias("run"),
-            (a["hit"] | (x & (a["run"] + 1 > min_run))).alias("hit"),
-            F.array_append(a["out"], a["hit"] | (x & (a["run"] + 1 > min_run))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-
-
 def first_negative_gate(beta: Column, min_run: int = 5, skip: int = 5, max_gates: int = 95) -> Column:
     """Index where the removal starts, NULL if it never does (a scalar state instead of a mask array)."""
     end = F.aggregate(

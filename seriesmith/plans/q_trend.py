@@ -321,15 +321,16 @@ SEGS = SER + f""",
 sg AS (SELECT sr.site, 'month' AS kind, CAST(month(date) AS VARCHAR) AS segment, inst, inst AS st, t, y FROM sr UNION ALL
  SELECT sr.site, 'season' AS kind, {SEASON} AS segment, inst, inst AS st, t, y FROM sr),
 sg2 AS (SELECT sg.* FROM sg JOIN (SELECT site, kind, segment FROM sg WHERE y IS NOT NULL GROUP BY ALL HAVING count(DISTINCT t) > 10) USING (site, kind, segment))"""
-SEG_SQL = with_(ORD, SEGS, fit_sql("sg2", "site, kind, segment"), "ci AS (" + ci_sql("k_vctfpw", "r", "site, kind, segment", (68.27,)) + ")",
-                f"""tt AS (SELECT site, kind, segment, n, {R('p')} AS p, ss, {R('slope * ' + ts.YEAR, 3)} AS slope, lower AS lower_1s, upper AS upper_1s
+SEG_SQL = with_(ORD, SEGS, fit_sql("sg2", "site, kind, segment"), "ci0 AS (" + ci_sql("k_vctfpw", "r", "site, kind, segment", tr.SIGMA_LEVELS) + ")",
+                f"ci AS (SELECT site, kind, segment, {WIDE} FROM ci0 GROUP BY ALL)",
+                f"""tt AS (SELECT site, kind, segment, n, {R('p')} AS p, ss, {R('slope * ' + ts.YEAR, 3)} AS slope, lower_1s, upper_1s, lower_2s, upper_2s, lower_3s, upper_3s
  FROM d4 JOIN k_vctfpw USING (site, kind, segment) JOIN sl USING (site, kind, segment) JOIN ci USING (site, kind, segment))""")
 
 
 def segment_trends(spark, sf):
-    return tr.segment_trends(cut(binned(spark, sf)), ["site"], alphas=(68.27,)).select(
-        "site", "kind", "segment", "n", r6("p").alias("p"), F.col("ss").cast("bigint").alias("ss"), r6("slope", 3).alias("slope"),
-        r6(F.col("ci")[0]["lower"], 3).alias("lower_1s"), r6(F.col("ci")[0]["upper"], 3).alias("upper_1s"))
+    ends = [r6(F.col("ci")[i][e], 3).alias(f"{e}_{i + 1}s") for i in range(3) for e in ("lower", "upper")]
+    return tr.segment_trends(cut(binned(spark, sf)), ["site"]).select(
+        "site", "kind", "segment", "n", r6("p").alias("p"), F.col("ss").cast("bigint").alias("ss"), r6("slope", 3).alias("slope"), *ends)
 
 
 @query("tr_segment_trends", SEG_SQL + "SELECT * FROM tt")
@@ -339,8 +340,8 @@ def tr_segment_trends(spark, sf):
 
 @query("tr_output_assemble", SEG_SQL.rstrip() + """,
 gg AS (SELECT * FROM (SELECT DISTINCT site FROM o), (SELECT 'month' AS kind, CAST(unnest(range(1, 13)) AS VARCHAR) AS segment UNION ALL SELECT 'season', unnest(['DJF', 'MAM', 'JJA', 'SON'])))
-SELECT gg.site, gg.kind, gg.segment, n, slope FROM gg LEFT JOIN tt USING (site, kind, segment)""")
+SELECT gg.site, gg.kind, gg.segment, n, p, ss, slope, lower_1s, upper_1s, lower_2s, upper_2s, lower_3s, upper_3s FROM gg LEFT JOIN tt USING (site, kind, segment)""")
 def tr_output_assemble(spark, sf):
     """Full grid of sites and segments with the results where they exist."""
     grid = tr.segment_grid(orders_series(spark, sf).select("site").distinct())
-    return grid.join(segment_trends(spark, sf), ["site", "kind", "segment"], "left").select("site", "kind", "segment", "n", "slope")
+    return grid.join(segment_trends(spark, sf), ["site", "kind", "segment"], "left")
