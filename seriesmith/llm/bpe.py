@@ -173,7 +173,7 @@ def piece_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 class Coder:
     """Ranks with their pair table, a cache of merged pieces and the bytes of each id."""
 
-    CACHE = 300_000
+    CACHE = 200_000
 
     def __init__(self, content: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
@@ -184,11 +184,18 @@ class Coder:
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.pairs: dict[int, int] = {}
+
+    def ready(self) -> Coder:
+        """With the tables for encoding, which decoding does without."""
+        if self.pairs:
+            return self
         get = self.ranks.get
         self.pairs = {(a << 20) | b: v for k, v in self.ranks.items() for i in range(1, len(k))
                       if (a := get(k[:i])) is not None and (b := get(k[i:])) is not None}
         self.single = [self.ranks[bytes([i])] for i in range(256)]
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+        return self
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Merge the pair of the lowest rank, the leftmost of equals, until none is left."""
@@ -289,7 +296,7 @@ def encode(docs: DataFrame, ranks: bytes, id_col: str = "doc_id", text_col: str
     held = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(held.value)
+        coder = _coder(held.value).ready()
         for batch in batches:
             for a, b, data, offs in scan.pieces(batch.column(1)):
                 ids, bounds = coder.encode_rows(data, offs)

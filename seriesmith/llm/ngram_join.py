@@ -217,8 +217,8 @@ def _may_link(pct: int):
         (100 + pct) * F.least(F.col("n") - F.col("place"), F.col("m") - F.col("place2")) >= pct * (F.col("n") + F.col("m")))
 
 
-def links(classes: DataFrame, pct: int) -> DataFrame:
-    """Verified links (u, v) between classes whose components are the true ones."""
+def class_components(classes: DataFrame, pct: int) -> DataFrame:
+    """node, component of all classes that have a link."""
     top = boundary(classes, pct)
     postings = cut(classes.filter(100 * F.col("n") >= pct * (top + 1)).select("node", "n", "alone", "prefix").mapInArrow(
         _emit_postings, "h long, node long, n long, place long, odd long"))
@@ -237,7 +237,16 @@ def links(classes: DataFrame, pct: int) -> DataFrame:
     other = open_.select("h", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("comp").alias("comp2"), F.col("place").alias("place2"))
     met = open_.join(other, "h").filter((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & _may_link(pct))
     rest = met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    return known.union(verified(cut(rest), classes, pct).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    more = cut(verified(cut(rest), classes, pct).filter("linked").select("a", "b"))
+    if more.isEmpty():
+        return comp
+    # the links between components are few: contracted, they join what is connected already
+    of = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("u"), F.coalesce("of_b", "b").alias("v"))
+    joined = cut(connected_components(ends))
+    moved = comp.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    single = joined.join(comp.select("node"), "node", "left_anti")
+    return moved.select("node", F.coalesce("to", "component").alias("component")).union(single.select("node", "component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, pct: int = 80) -> DataFrame:
@@ -247,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = shared.groupBy("hi", "lo").agg(F.min("id").alias("least"))
     whole = sets.filter(F.col("shingles").isNotNull()).dropDuplicates(["hi", "lo"]).select("hi", "lo", "n", "alone", "cost", "prefix", "shingles")
     classes = stored(whole.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
-    comp = connected_components(cut(links(classes, pct)))
+    comp = class_components(classes, pct)
     named = classes.select("hi", "lo", "node").join(comp, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("comp"))
     named = cut(named.join(least, ["hi", "lo"]))
     ids = named.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 
 
 def _table(ranges: Iterable[tuple[int, int]]) -> np.ndarray:
