@@ -30,7 +30,7 @@ from ..core import cut
 from .common import stored
 
 MIN_CHARS = 20
-#: Up to so many keys of lines (16 bytes each) are broadcast to fetch texts; more are joined by a shuffle.
+#: Up to so many keys of lines (8 bytes each) are broadcast to fetch texts; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
 
@@ -79,19 +79,20 @@ def candidates(found: DataFrame) -> DataFrame:
 
 def with_text(src: DataFrame, near: DataFrame, min_chars: int) -> DataFrame:
     """The candidates with their text, read at their earliest place, and a number that rises with that place."""
-    wanted = near.select("h1", "h2", "first")
-    if wanted.count() <= BROADCAST_KEYS:
+    wanted = near.select("h1").distinct()
+    if near.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
-    rows = lines(src).filter(F.col("n") >= min_chars)
-    met = rows.join(wanted, ["h1", "h2"]).filter(F.struct("id", "dk", "pos").eqNullSafe(F.col("first")))
+    rows = lines(src).filter(F.col("n") >= min_chars).join(wanted, "h1", "left_semi")
+    met = rows.join(near.select("h1", "h2", "first"), ["h1", "h2"]).filter(F.struct("id", "dk", "pos").eqNullSafe(F.col("first")))
     ordered = met.select("first", "line", "n", "h1", "h2").dropDuplicates(["h1", "h2"]).orderBy("first")
     return cut(ordered.withColumn("node", F.monotonically_increasing_id()).drop("first"))
 
 
 def narrowed(texts: DataFrame) -> DataFrame:
     """Of the candidates those that also share a half of the other half: one edit leaves three quarters alike."""
-    quarters = [k for h, rest in _half_keys(F.col("line"), F.col("n")) for k, _ in _half_keys(rest, F.length(rest), h)]
-    keys = texts.select("node", F.explode(F.array_distinct(F.array(*quarters))).alias("k"))
+    halves = [F.struct(h.alias("h"), rest.alias("rest")) for h, rest in _half_keys(F.col("line"), F.col("n"))]
+    quarters = [k for k, _ in _half_keys(F.col("rest"), F.length("rest"), F.col("h"))]
+    keys = texts.select("node", F.inline(F.array(*halves))).select("node", F.explode(F.array(*quarters)).alias("k")).distinct()
     shared = keys.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k")
     return cut(texts.join(keys.join(shared, "k", "left_semi").select("node").distinct(), "node", "left_semi"))
 
