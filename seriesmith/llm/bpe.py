@@ -308,6 +308,7 @@ def encode(docs: DataFrame, ranks: bytes, id_col: str = "doc_id", text_col: str
                     begin -= np.repeat(offs[:-1], np.diff(bounds))
                     cols.append(sliced(begin.astype("<u4").tobytes(), bounds * 4))
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids", *["offsets"] * with_offsets])
+        coder.cache.clear()  # Spark keeps idle workers: leave them small
 
     kind = dict(src.dtypes)["id"]
     return src.mapInArrow(run, f"id {kind}, n_tokens long, ids binary" + ", offsets binary" * with_offsets)
