@@ -47,9 +47,12 @@ def line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows that repeat id and text become one."""
-    found = ngram_join.near_duplicates(docs).filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    stay = docs.join(found, docs["doc_id"].eqNullSafe(found["id"]), "left_anti")
+    """Of each group of linked rows the one with the smallest key stays: smallest id, null ids last, equal ids by a hash of
+    the text. Rows that repeat id and text become one."""
+    docs = _keyed(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("row_key.i").alias("i"), F.col("row_key.h").alias("h"))
+    found = ngram_join.near_duplicates(docs.select(key.alias("near_key"), "text"), id_col="near_key")
+    stay = _without(docs, found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id.i", "id.h"))
     return stay.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).select(*COLUMNS)
 
 

@@ -89,6 +89,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int)
     """id, size, signature; for sets that may have a partner their shared prefix and, once per block, the set."""
     src = blocks.blocked(docs, id_col, text_col)
     kind = dict(src.dtypes)["id"]
+    src = src.withColumn("id", F.col("id").cast(kind))  # fields of a struct as nullable as the schema below says
 
     def ask(t: pa.Table) -> list[blocks.Items]:
         _, h = _block_sets(t, k)

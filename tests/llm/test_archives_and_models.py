@@ -191,3 +191,23 @@ def test_pipeline_stages(spark, texts, tmp_path):
     assert pipeline.run(spark, sf).filter(~F.col("round_trip")).count() == 0
     for _, f in pipeline.STAGES:
         assert f(spark, frame(spark, [], kind), sf).collect() == []
+
+
+def test_pipeline_near_copies_judges_rows_by_id_and_text(spark):
+    """Null and repeated ids: only the linked rows go, and of each linked group exactly one row stays."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(5)
+    fresh = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(90)}" for _ in range(60))
+    a, b, c, d, e = (fresh() for _ in range(5))
+    clean = [fresh() for _ in range(3)]
+    rows = [(1, a), (None, a + " end"), (None, clean[0]), (None, clean[1]),  # a null-id copy beside clean null-id rows
+            (2, b), (3, b + " end"), (3, clean[2]),  # one id with a linked and an unlinked text
+            (4, c), (4, c + " end"), (None, d), (None, d + " end"),  # linked rows of one id, and of null ids
+            (9, e), (9, e), (None, None), (None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    got = [(r.doc_id, r.text) for r in pipeline.near_copies(spark, frame(spark, [(i, t, "en", "a", 1) for i, t in rows], kind), "").collect()]
+    for t in (c, d):  # which of them stays hangs on a hash
+        assert len(left := [r for r in got if r[1] in (t, t + " end")]) == 1
+        got.remove(left[0])
+    assert sorted(got, key=repr) == sorted([(1, a), (None, clean[0]), (None, clean[1]), (2, b), (3, clean[2]), (9, e), (None, None)], key=repr)
