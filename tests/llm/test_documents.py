@@ -116,6 +116,26 @@ def test_licenses(spark, texts):
         assert 1 - (1 - c.similarity**c.rows) ** c.bands >= 0.9999
 
 
+def test_licenses_of_one_family_are_told_apart(spark):
+    notice = ("This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by "
+              "the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+    line = "This work is licensed under the GNU {}General Public License, version {}."
+    texts = {
+        "GPL-2.0": [notice.format("program", ";", "", "2"), line.format("", "2")],
+        "GPL-3.0": [notice.format("program", ":", "", "3"), line.format("", "3")],
+        "LGPL-2.1": [notice.format("library", ";", "Lesser ", "2.1"), line.format("Lesser ", "2.1")],
+        "LGPL-3.0": [notice.format("program", ":", "Lesser ", "3"), line.format("Lesser ", "3")],
+        "AGPL-3.0": [notice.format("program", ":", "Affero ", "3"), line.format("Affero ", "3")],
+        "GPL-2.0,LGPL-3.0": [notice.format("program", ";", "", "2") + " " + notice.format("program", ":", "Lesser ", "3"), line.format("Lesser ", "3") + " " + line.format("", "2")],
+        "BSD-2-Clause": [" ".join(licenses.BSD[:3]) + " This software is provided by the copyright holders and contributors as is"],
+        "BSD-3-Clause": [" ".join(licenses.BSD), " ".join(licenses.BSD).replace("copyright holder nor", "University nor")],
+        "": ["It is licensed under the GNU General Public License, version of your choice."]}
+    rows = [(len(want) * 10 + k, t, want) for want, ts in texts.items() for k, t in enumerate(ts)]
+    rows = [(i, t, want) for i, (_, t, want) in enumerate(rows)] + [(900 + i, f"{'before ' * 200}{t} {'after ' * 200}", want) for i, (_, t, want) in enumerate(rows)]
+    got = {r.id: ",".join(sorted({m.license for m in r.matches})) for r in licenses.find_licenses(frame(spark, [r[:2] for r in rows], DOCS)).collect()}
+    assert got == {i: want for i, _, want in rows}
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [], "doc_id long, text string, source string")
     raw = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
