@@ -6,7 +6,8 @@ its name depends only on the run and the partition, so a repeated task replaces
 
 Reading: a member or record that fails a check (compression, version line, header, length, payload digest) is
 quarantined: the reader searches the next gzip magic or version line that starts a valid record, logs the bytes it
-skipped with the reason, and goes on from there. Files are spread over tasks; one file is in memory at a time.
+skipped with the reason, and goes on from there. The same search runs over the inflated bytes of a member, and over
+what inflated before its damage, so a bad record takes no other record of its member with it. Files are spread over tasks; one file is in memory at a time.
 
 Defined cases: a null html is an empty payload; a null page id gives a record without an id (null when read); rows that
 repeat the smallest page id of a payload are responses like it; an empty table writes and reads no records; line
@@ -104,7 +105,10 @@ def _header(raw: bytes, at: int) -> tuple[dict[str, str], int] | str:
         name, colon, value = line.partition(b":")
         if not colon:
             return "malformed header"
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        key = name.strip().lower().decode("latin-1")
+        if key in fields and key in ("content-length", "warc-type", "warc-record-id"):
+            return "malformed header"  # a header cut short and the next one
+        fields[key] = value.strip().decode("utf-8", "replace")
     if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
         return "header lacks fields"
     return fields, stop + 4
@@ -137,67 +141,132 @@ def parse(raw: bytes, at: int) -> tuple[dict, int] | str:
             "payload_digest": digest, "payload_bytes": length, "payload": payload}, end + 4
 
 
-def _member_records(data: bytes, at: int) -> tuple[list[dict], int] | str:
-    """All records of the gzip member at a place and where the member ends, or what is wrong."""
-    z = zlib.decompressobj(31)
-    try:
-        raw = z.decompress(data[at:] if at else data)
-    except zlib.error:
-        return "damaged compression"
-    if not z.eof:
-        return "truncated member"
-    records, place = [], 0
+PIECE = 1 << 16
+
+
+def _inflate(data: bytes, at: int) -> tuple[bytes, int | None, str | None]:
+    """What the gzip member at a place inflates to, where it ends (None if it doesn't), and what is wrong with it."""
+    z, out, place = zlib.decompressobj(31), [], at
+    while place < len(data):
+        piece = data[place : place + PIECE]
+        try:
+            out.append(z.decompress(piece))
+        except zlib.error:
+            # what the failed call inflated is lost: once more up to it, then by single bytes
+            z = zlib.decompressobj(31)
+            out = [z.decompress(data[x : x + PIECE]) for x in range(at, place, PIECE)]
+            try:
+                for i in range(len(piece)):
+                    out.append(z.decompress(piece[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), None, "damaged compression"
+        place += len(piece)
+        if z.eof:
+            return b"".join(out), place - len(z.unused_data), None
+    return b"".join(out), None, "truncated member"
+
+
+def _inner(raw: bytes, doubtful: bool) -> tuple[list[dict], list[tuple[int, int, str]], int]:
+    """The records of inflated bytes, the gaps between them (start, end, reason), and where the last record ends.
+
+    Damaged compression can read on as copies of what came before: there a record of the very bytes of an earlier one is a gap.
+    """
+    records, gaps, place, last, why = [], [], 0, 0, ""
+    seen: set[bytes] = set()
     while place < len(raw):
         got = parse(raw, place)
+        if doubtful and not isinstance(got, str):
+            mark = hashlib.sha256(raw[place : got[1]]).digest()
+            if mark in seen:
+                why = "repeats a record, in a damaged member" if place == last else why
+                place = got[1]
+                continue
+            seen.add(mark)
         if isinstance(got, str):
-            return got
+            if place == last:
+                why = got
+            if got == "payload digest differs":  # its length holds: what its payload looks like is no record
+                fields, begin = _header(raw, place)
+                place = begin + int(fields["content-length"]) + 4
+            else:
+                place = raw.find(b"WARC/", place + 1)
+                place = len(raw) if place < 0 else place
+            continue
+        if place > last:
+            gaps.append((last, place, why))
         records.append(got[0])
-        place = got[1]
-    return records, len(data) - len(z.unused_data)
+        place = last = got[1]
+    if last < len(raw):
+        gaps.append((last, len(raw), why))
+    return records, gaps, last
+
+
+def _told(why: str, start: int, end: int) -> str:
+    return f"{why}; bytes {start} to {end} of the inflated member"
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None]]:
-    """offset, length, reason, record: records in file order, and the byte gaps that had to be skipped."""
-    view, at, n = data, 0, len(data)
+    """offset, length, reason, record: records in file order, and the byte gaps that had to be skipped.
+
+    Records of a member that is damaged further on have the offset and length of the gap that it leaves in the file; gaps
+    inside an intact member have its offset and length, and their place in the inflated bytes in the reason.
+    """
+    at, n = 0, len(data)
     bad, why = None, None
     while at < n:
-        got: tuple | str
-        if view.startswith(MAGIC, at):
-            got = _window(view, at)
-        elif view.startswith(b"WARC/", at):
-            one = parse(view, at)
-            got = one if isinstance(one, str) else ([one[0]], one[1])
+        got: list[dict] | str
+        gaps: list[tuple[int, int, str]] = []
+        held: list[dict] = []
+        skip, end = 1, n
+        if data.startswith(MAGIC, at):
+            raw, stop, wrong = _inflate(data, at)
+            records, gaps, last = _inner(raw, wrong == "damaged compression")
+            if wrong is None and (records or not raw):
+                got, end = records, stop
+            else:
+                got = wrong or gaps[0][2]
+                if records:  # only in a damaged member; what follows its last record may be the next member
+                    held, got = records, "; ".join([got, *[_told(w, a, b) for a, b, w in gaps]])
+                    z = zlib.decompressobj(31)
+                    done, last = at, last - 1  # not to the very end, where the check sum may be wrong
+                    while last > 0:
+                        piece = data[done : done + PIECE]
+                        last -= len(z.decompress(piece, last))
+                        done += len(piece) - len(z.unconsumed_tail)
+                    skip = max(1, done - at)
+        elif data.startswith(b"WARC/", at):
+            one = parse(data, at)
+            got, end = (one, n) if isinstance(one, str) else ([one[0]], one[1])
         else:
             got = "neither a member nor a version line"
         if isinstance(got, str):
+            if held and bad is not None:
+                yield bad, at - bad, why, None
+                bad = None
             if bad is None:
                 bad, why = at, got
-            after = [x for x in (view.find(MAGIC, at + 1), view.find(b"WARC/", at + 1)) if x >= 0]
-            at = min(after, default=n)
+            after = [x for x in (data.find(MAGIC, at + skip), data.find(b"WARC/", at + skip)) if x >= 0]
+            following = min(after, default=n)
+            if held:
+                for r in held:
+                    yield at, following - at, None, r
+                yield at, following - at, why, None
+                bad = None
+            at = following
             continue
         if bad is not None:
             yield bad, at - bad, why, None
             bad = None
-        records, end = got
-        for r in records:
+        for r in got:
             yield at, end - at, None, r
+        for a, b, w in gaps:
+            yield at, end - at, _told(w, a, b), None
         at = end
     if bad is not None:
         yield bad, n - bad, why, None
 
 
-def _window(data: bytes, at: int) -> tuple[list[dict], int] | str:
-    """The member at a place, inflated from growing windows so that one record never copies the rest of the file."""
-    size = 1 << 16
-    while True:
-        part = data[at : at + size]
-        got = _member_records(part, 0)
-        if got == "truncated member" and at + size < len(data):
-            size *= 4
-            continue
-        return got if isinstance(got, str) else (got[0], at + got[1])
-
-
 SCHEMA = ("file string, offset long, length long, reason string, type string, record_id string, uri string, refers_to string, "
           "payload_digest string, payload_bytes long, payload binary")
 

@@ -69,6 +69,39 @@ def test_salvage_skips_damage_and_logs_it():
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_recovers_records_inside_a_member():
+    """Members of several records: one bad record, a cut end, damage late in the member."""
+    rng = random.Random(3)
+    load = [bytes(rng.randrange(256) for _ in range(3000)) for _ in range(5)]
+    raw = [warc.record("response", str(i), None, hashlib.sha256(p).hexdigest(), p, len(p), None) for i, p in enumerate(load)]
+    odd = warc.record("response", "8", None, "0" * 64, raw[3], len(raw[3]), None)  # a wrong digest; its payload looks like a record
+    tail = warc.member(raw[4])
+    ids = lambda data: [x[3]["record_id"] for x in warc.salvage(data) if x[3]]
+    whole = b"".join(raw[:4])
+    short = raw[1].replace(b"Content-Length: 30", b"Content-Length: 29")
+    for bad in (odd, short, raw[1][:200], raw[1][:1000]):
+        one = warc.member(raw[0] + bad + raw[2])
+        got = list(warc.salvage(one + tail))
+        assert [x[3]["record_id"] for x in got if x[3]] == ["0", "2", "4"]
+        assert [(o, n) for o, n, why, _ in got if why] == [(0, len(one))]
+        assert f"bytes {len(raw[0])} to {len(raw[0] + bad)} of the inflated member" in next(why for _, _, why, _ in got if why)
+    for level in (0, 6):  # stored blocks show the records in the compressed bytes too
+        one = warc.member(whole, level)
+        assert ids(one + tail) == ["0", "1", "2", "3", "4"]
+        cut = one[: len(one) * 5 // 8]
+        assert ids(cut) == ["0", "1"] and ids(cut + tail) == ["0", "1", "4"]
+        assert sum(n for _, n in {(o, n) for o, n, _, _ in warc.salvage(cut + tail)}) == len(cut + tail)
+        late = bytearray(one)
+        late[-8] ^= 1  # the check sum
+        assert ids(bytes(late) + tail) == ["0", "1", "2", "3", "4"]
+        late = bytearray(one)
+        late[len(one) * 5 // 8 :] = b"\xff" * (len(one) - len(one) * 5 // 8)
+        assert ids(bytes(late) + tail) == ["0", "1", "4"]
+    many = [rng.randbytes(3000) for _ in range(100)]
+    big = warc.member(b"".join(warc.record("response", str(i), None, hashlib.sha256(p).hexdigest(), p, len(p), None) for i, p in enumerate(many)))  # more than one piece
+    assert len(big) > 2 * warc.PIECE and ids(big[:-100] + tail) == [str(i) for i in range(99)] + ["4"]
+
+
 def test_toxicity_learns_and_ignores_group_mentions(spark):
     rng = random.Random(1)
     plain_words = [f"w{i}" for i in range(60)]
