@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import cut, scratch_path
-from . import bpe, decontaminate, language_model, licenses, line_dedup, ngram_join, quality, repeats, toxicity, warc
+from . import bpe, decontaminate, filter_audit, language_model, licenses, line_dedup, ngram_join, quality, repeats, toxicity, warc
 from .common import ORACLES, QUERIES, query, table  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -163,3 +163,32 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.dedup_repeats(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+m AS (SELECT part, doc_id, (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+             + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text))::INT
+             + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask FROM d JOIN f USING (text)),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS toxic
+      FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+x(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE a.f NOT IN (b.f, c.f, d.f, e.f) AND b.f NOT IN (c.f, d.f, e.f) AND c.f NOT IN (d.f, e.f) AND d.f <> e.f),
+s AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+             list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(filter_order[k]) - 65))) AS seen
+      FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o)),
+e AS (SELECT part, filter_order, step, mask, n, good, toxic, bit, mask & bit > 0 AS fails, mask & coalesce(seen, 0)::INT > 0 AS gone FROM c, s)
+SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (WHERE fails AND gone), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS good_lost,
+       coalesce(sum(toxic) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * 120 // nullif(bit_count(mask), 0)) FILTER (WHERE fails), 0)::BIGINT AS shapley
+FROM e GROUP BY part, filter_order, step"""
+
+
+@query("op11_filter_audit", SQL_AUDIT)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
