@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import cut, scratch_path
-from . import bpe, decontaminate, filter_audit, language_model, licenses, line_dedup, ngram_join, quality, repeats, toxicity, warc
+from . import bpe, decontaminate, filter_audit, language_model, licenses, line_dedup, ngram_join, quality, repeats, toxicity, url_filter, warc, whitening
 from .common import ORACLES, QUERIES, query, table  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -192,3 +192,13 @@ FROM e GROUP BY part, filter_order, step"""
 @query("op11_filter_audit", SQL_AUDIT)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_url_filter")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")

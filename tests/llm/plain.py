@@ -185,3 +185,43 @@ def line_dedup(rows, min_chars=20):
 
 def sha(b):
     return hashlib.sha256(b).hexdigest()
+
+
+def filter_audit(rows, labels):
+    """rows: id, part, text; labels: id, quality, toxic. Every order is applied to the documents one filter after the other."""
+    from itertools import permutations
+
+    docs = []
+    ids = defaultdict(list)
+    for i, _, t in rows:
+        if i is not None:
+            ids[t or ""].append(i)
+    for i, part, t in rows:
+        t = t or ""
+        w = PLAIN.findall(t)
+        fails = {"A": len(w) < 50, "B": 100 * len(set(w)) < 65 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 5 * len(t),
+                 "D": bool(re.search("[#$%&*|]", t)), "E": i is not None and min(ids[t]) < i}
+        own = [x for x in labels if x[0] == i and i is not None]
+        docs.append((part or "", fails, any(x[1] == 1 for x in own), any(x[2] == 1 for x in own)))
+    orders = ["".join(p) for p in permutations("ABCDE")]
+    out, removed_by = [], Counter()
+    for part in {d[0] for d in docs}:
+        mine = [d for d in docs if d[0] == part]
+        for order in orders:
+            left = mine
+            for step, f in enumerate(order, 1):
+                gone = [d for d in left if d[1][f]]
+                redundant = sum(d[1][f] for d in mine) - len(gone)
+                left = [d for d in left if not d[1][f]]
+                only = sum(d[1][f] and sum(d[1].values()) == 1 for d in mine)
+                removed_by[part, f] += len(gone)
+                out.append([part, order, step, len(left), len(gone), redundant, only, sum(d[2] for d in gone), sum(d[3] for d in gone)])
+    return [(*r, removed_by[r[0], r[1][r[2] - 1]]) for r in out]
+
+
+def url_parts(url, rules):
+    rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+    raw = re.match("[^/?#]*", rest)[0]
+    host, path = lower(raw), re.match("[^?#]*", rest[len(raw) :])[0]
+    fits = [(h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits, key=lambda f: len(f[0])) if fits else (None, None))
