@@ -7,31 +7,26 @@ equal higher bits, a running count of left rows by value gives the pairs. A row
 is emitted once per bit (about 12 for days of a decade), never once per
 partner.
 
-Order statistics of the pairwise slopes are found by radix selection: bounded
-blocks of a series are paired, each task counts its slopes by leading bits of
-the value, and three counting rounds pin down the wanted ranks exactly. Only
-counts of the non-empty bit prefixes are shuffled.
+Order statistics of the pairwise slopes are in ``slopes``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import MISSING, cut
+from ..core import MISSING, cut, same
 from ..functions import calendar as cal
 from ..functions.scalar import SECONDS_PER_YEAR, normal_ppf, quantize, two_sided_p
+from .slopes import slope_ranks
 
-BLOCK_ROWS = 512
-VALUE_BLOCKS = 1024
-VALUE_BLOCK_ROWS = 4096
-SHIFTS = (44, 22, 0)
+#: Distinct values of a stratum that one running count covers, on average.
+VALUE_BLOCK = 1 << 14
 SIGMA_LEVELS = (68.27, 95.45, 99.73)
 MIN_SAMPLES = 10
 MIN_DENOMINATOR = 1e-3
@@ -50,15 +45,18 @@ def stratum(instrument: Column | None = None, season: Column | None = None) -> C
     return F.concat_ws("|", *parts) if parts else F.lit("all")
 
 
-def tie_statistics(df: DataFrame, keys: Sequence[str], strat: str, t: str, y: str, resolution: float) -> DataFrame:
-    """Counts, spans and tie sums per stratum: equal values (v*) and equal times (t*)."""
+def tie_statistics(df: DataFrame, keys: Sequence[str], strat: str, t: str, y: str, resolution: float, weight: str | None = None) -> DataFrame:
+    """Counts, spans and tie sums per stratum: equal values (v*) and equal times (t*), and values at which to split it.
+
+    The splits are a hash sample of the distinct values: blocks by rank, however the values are spread.
+    """
     obs = df.where(F.col(y).isNotNull())
     marks = F.array(
         F.struct(F.lit("v").alias("_k"), quantize(y, resolution).alias("_x_")),
         F.struct(F.lit("t").alias("_k"), F.col(t).cast("double").alias("_x_")),
     )
     c = F.col("_c").cast("double")
-    groups = obs.select(*keys, strat, F.inline(marks)).groupBy(*keys, strat, "_k", "_x_").agg(F.count(F.lit(1)).alias("_c"))
+    groups = obs.select(*keys, strat, *([F.col(weight).alias("_w")] if weight else []), F.inline(marks)).groupBy(*keys, strat, "_k", "_x_").agg((F.sum("_w") if weight else F.count(F.lit(1))).alias("_c"))
     aggs = []
     for kind in ("v", "t"):
         is_k = F.col("_k") == kind
@@ -69,7 +67,14 @@ def tie_statistics(df: DataFrame, keys: Sequence[str], strat: str, t: str, y: st
             F.min(F.when(is_k, F.col("_x_"))).alias(f"{kind}min"),
             F.max(F.when(is_k, F.col("_x_"))).alias(f"{kind}max"),
         ]
-    return groups.groupBy(*keys, strat).agg(F.sum(F.when(F.col("_k") == "v", F.col("_c"))).alias("n"), *aggs)
+    split = (F.col("_k") == "v") & (F.pmod(F.xxhash64("_x_"), F.lit(VALUE_BLOCK)) == 0)
+    return groups.groupBy(*keys, strat).agg(
+        F.sum(F.when(F.col("_k") == "v", F.col("_c"))).alias("n"), F.sort_array(F.collect_list(F.when(split, F.col("_x_")))).alias("splits"), *aggs)
+
+
+#: How many of the sorted ``splits`` are under ``_q`` (binary search).
+BLOCK_OF = """if(size(splits) = 0, 0, aggregate(sequence(length(bin(size(splits))) - 1, 0, -1), 0,
+    (a, b) -> if(a + shiftleft(1, b) <= size(splits) and get(splits, a + shiftleft(1, b) - 1) < _q, a + shiftleft(1, b), a)))"""
 
 
 def kendall_variance(n: Column, v5: Column, v3: Column, v2: Column, t5: Column, t3: Column, t2: Column) -> Column:
@@ -81,38 +86,39 @@ def kendall_variance(n: Column, v5: Column, v3: Column, v2: Column, t5: Column,
 
 
 def pair_counts(df: DataFrame, keys: Sequence[str], strat: str, t: str, y: str, resolution: float,
-                ties: DataFrame | None = None) -> DataFrame:
-    """Kendall's S per stratum, by dyadic splits of time (see the module text)."""
+                ties: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+    """Rising and falling pairs per stratum and their difference, Kendall's S, by dyadic splits of time (see the module text)."""
     keys = list(keys)
-    ties = ties if ties is not None else tie_statistics(df, keys, strat, t, y, resolution)
-    span = ties.where("n >= 2").select(*keys, strat, "n", "tmin", "tmax", "vmin", "vmax")
-    width = F.greatest(F.col("vmax") - F.col("vmin"), F.lit(1.0))
-    # long series are also split by value, so that no running count covers a whole hot series in one task
-    n_vb = F.least(F.lit(VALUE_BLOCKS), F.ceil(F.col("n") / VALUE_BLOCK_ROWS))
+    ties = ties if ties is not None else tie_statistics(df, keys, strat, t, y, resolution, weight)
+    group_keys = [*keys, strat]
+    span = ties.where("n >= 2").select(*group_keys, "splits", "tmin", "tmax")
+    rows = df.where(F.col(y).isNotNull()).select(
+        *group_keys, F.col(t).alias("_t"), quantize(y, resolution).alias("_q"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"))
+    rows = rows.alias("r").join(span.alias("p"), same("r", "p", group_keys)).select(*[F.col(f"r.{k}") for k in group_keys], "_t", "_q", "_w", "splits", "tmin", "tmax")
     rows = (
-        df.where(F.col(y).isNotNull())
-        .select(*keys, strat, (F.col(t)).alias("_t"), quantize(y, resolution).alias("_q"))
-        .join(span, [*keys, strat])
-        .select(
-            *keys, strat, "_q", (F.col("_t") - F.col("tmin").cast("bigint")).alias("_d"),
-            F.least(n_vb - 1, F.floor((F.col("_q") - F.col("vmin")) / width * n_vb)).cast("int").alias("_vb"),
+        rows.select(
+            *group_keys, "_q", "_w", (F.col("_t") - F.col("tmin").cast("bigint")).alias("_d"), F.expr(BLOCK_OF).alias("_vb"),
             F.length(F.bin((F.col("tmax") - F.col("tmin")).cast("bigint"))).alias("_bits"),
         )
         .withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)))
         .withColumn("_right", F.expr("shiftright(_d, _b) & 1"))
         .withColumn("_p", F.expr("shiftright(_d, _b + 1)"))
     )
-    group = [*keys, strat, "_b", "_p"]
+    group = [*group_keys, "_b", "_p"]
     vals = rows.groupBy(*group, "_vb", "_q").agg(
-        F.sum(1 - F.col("_right")).alias("_l"), F.sum("_right").alias("_r"))
-    block = W.partitionBy(*group, "_vb")
-    below = F.coalesce(F.sum("_l").over(block.orderBy("_q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inside = vals.withColumn("_s", F.col("_r") * (below * 2 + F.col("_l") - F.sum("_l").over(block)))
-    blocks = inside.groupBy(*group, "_vb").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"), F.sum("_s").alias("_s"))
-    across = W.partitionBy(*group)
-    below_b = F.coalesce(F.sum("_l").over(across.orderBy("_vb").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.withColumn("_s", F.col("_s") + F.col("_r") * (below_b * 2 + F.col("_l") - F.sum("_l").over(across)))
-    return blocks.groupBy(*keys, strat).agg(F.sum("_s").alias("s"))
+        F.sum((1 - F.col("_right")) * F.col("_w")).alias("_l"), F.sum(F.col("_right") * F.col("_w")).alias("_r"))
+
+    def counted(x: DataFrame, part: list[str], order: str, up: Column, down: Column) -> DataFrame:
+        """Adds the pairs of a right row with left rows under and over it in the same part."""
+        w = W.partitionBy(*part)
+        under = F.coalesce(F.sum("_l").over(w.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        x = x.withColumns({"_under": under, "_all": F.sum("_l").over(w)})
+        return x.withColumns({"_up": up + F.col("_r") * F.col("_under"), "_down": down + F.col("_r") * (F.col("_all") - F.col("_under") - F.col("_l"))})
+
+    inside = counted(vals, [*group, "_vb"], "_q", F.lit(0), F.lit(0))
+    blocks = inside.groupBy(*group, "_vb").agg(*[F.sum(c).alias(c) for c in ("_l", "_r", "_up", "_down")])
+    blocks = counted(blocks, group, "_vb", F.col("_up"), F.col("_down"))
+    return blocks.groupBy(*group_keys).agg((F.sum("_up") - F.sum("_down")).alias("s"), F.sum("_up").alias("rising"), F.sum("_down").alias("falling"))
 
 
 def mk_strata(df: DataFrame, keys: Sequence[str], strat: str, t: str, y: str, resolution: float) -> DataFrame:
@@ -122,8 +128,9 @@ def mk_strata(df: DataFrame, keys: Sequence[str], strat: str, t: str, y: str, re
     s = pair_counts(df, keys, strat, t, y, resolution, ties)
     var = kendall_variance(*[F.col(c) for c in ("n", "v5", "v3", "v2", "t5", "t3", "t2")])
     n = F.col("n").cast("double")
-    return ties.join(s, [*keys, strat], "left").select(
-        *keys, strat, "n", F.coalesce("s", F.lit(0)).alias("s"), var.alias("var"),
+    on = same("a", "b", [*keys, strat])
+    return ties.alias("a").join(s.alias("b"), on, "left").select(
+        *[F.col(f"a.{k}") for k in (*keys, strat)], "n", F.coalesce("s", F.lit(0)).alias("s"), var.alias("var"),
         ((n * (n - 1) - F.col("t2")) / 2).cast("bigint").alias("n_pairs"))
 
 
@@ -150,136 +157,7 @@ def mk_test(stats: DataFrame, alpha: float = 95.0, min_samples: int = MIN_SAMPLE
     )
 
 
-# --- order statistics of pairwise slopes --------------------------------------------------------
-
-
-def _ordered(slopes: np.ndarray) -> np.ndarray:
-    bits = (slopes + 0.0).view(np.int64)
-    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
-
-
-def _count_slopes(batches: Iterator[pd.DataFrame], keys: list[str], unit: float, shift: int, parent: int | None):
-    """Counts of one block pair's slopes by leading bits, restricted to the wanted prefixes."""
-    for pdf in batches:
-        out: dict[str, list] = {k: [] for k in (*keys, "code", "slope", "cnt")}
-        for row in pdf.to_dict("records"):
-            ta, ya, wa = (np.asarray(row[c]) for c in ("_ta", "_ya", "_wa"))
-            diag = row["_tb"] is None
-            tb, yb, wb = (ta, ya, wa) if diag else (np.asarray(row[c]) for c in ("_tb", "_yb", "_wb"))
-            dt = tb[None, :] - ta[:, None]
-            use = dt > 0 if diag else dt != 0
-            if not use.any():
-                continue
-            slope = (yb[None, :] - ya[:, None])[use] / (dt[use] * unit) + 0.0
-            weight = (wa[:, None] * wb[None, :])[use]
-            code = _ordered(slope)
-            if parent is not None:
-                keep = np.isin(code >> parent, np.asarray(row["_want"], dtype=np.int64))
-                code, slope, weight = code[keep], slope[keep], weight[keep]
-                if not code.size:
-                    continue
-            if shift:
-                u, inv = np.unique(code >> shift, return_inverse=True)
-                s = np.full(u.size, np.nan)
-            else:
-                s, idx, inv = np.unique(slope, return_index=True, return_inverse=True)
-                u = code[idx] >> parent
-            for k in keys:
-                out[k].append(row[k])
-            out["code"].append(u)
-            out["slope"].append(s)
-            out["cnt"].append(np.bincount(inv.ravel(), weights=weight).astype(np.int64))
-        yield pd.DataFrame(out)
-
-
-def series_blocks(df: DataFrame, keys: Sequence[str], strat: str, t: str, y: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Bounded blocks of a stratum, as arrays of (time, value, multiplicity).
-
-    Equal rows are merged first, so a group of copies is one weighted point;
-    blocks are hash buckets whose number follows the stratum's size.
-    """
-    keys = list(keys)
-    pts = df.where(F.col(y).isNotNull()).groupBy(*keys, strat, F.col(t).alias("_t"), F.col(y).alias("_y")).agg(
-        F.count(F.lit(1)).alias("_w"))
-    size = pts.groupBy(*keys, strat).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nb"))
-    return (
-        pts.join(size, [*keys, strat])
-        .withColumn("_blk", F.pmod(F.xxhash64("_t", "_y"), F.col("_nb")).cast("int"))
-        .groupBy(*keys, strat, "_nb", "_blk")
-        .agg(F.collect_list(F.struct("_t", "_y", "_w")).alias("_pts"))
-    )
-
-
-def block_pairs(blocks: DataFrame, keys: Sequence[str], strat: str) -> DataFrame:
-    """Every block met once by itself and once by each other block of its stratum."""
-    keys = list(keys)
-    other = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
-    met = (
-        blocks.withColumn("_o", other)
-        .withColumn("_i", F.least("_blk", "_o")).withColumn("_j", F.greatest("_blk", "_o"))
-        .groupBy(*keys, strat, "_i", "_j").agg(F.collect_list("_pts").alias("_two"))
-        .where((F.col("_i") == F.col("_j")) | (F.size("_two") == 2))
-    )
-    a, b = F.get("_two", F.lit(0)), F.get("_two", F.lit(1))
-    return met.select(
-        *keys, a["_t"].alias("_ta"), a["_y"].alias("_ya"), a["_w"].alias("_wa"),
-        b["_t"].alias("_tb"), b["_y"].alias("_yb"), b["_w"].alias("_wb"))
-
-
-def _locate(bins: DataFrame, ranks: DataFrame, part: list[str], payload: str) -> DataFrame:
-    """For each residual rank the bin that holds it and the rank inside that bin."""
-    w = W.partitionBy(*part)
-    cum = F.sum("cnt").over(w.orderBy(payload).rowsBetween(W.unboundedPreceding, 0))
-    b = bins.withColumn("_cum", cum).select(
-        *part, F.col("_cum").cast("double").alias("_pos"), F.struct(F.col(payload).alias("hit"), (F.col("_cum") - F.col("cnt")).alias("before")).alias("_bin"),
-        F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("bigint").alias("_r"))
-    r = ranks.select(*part, (F.col("_r") + F.lit(0.5)).alias("_pos"),
-                     F.lit(None).cast(b.schema["_bin"].dataType).alias("_bin"), "k", "_r")
-    # running from the top: a frame that grows is linear, one that shrinks would be quadratic
-    found = F.last("_bin", ignorenulls=True).over(w.orderBy(F.desc("_pos")).rowsBetween(W.unboundedPreceding, 0))
-    return (
-        b.unionByName(r).withColumn("_hit", found).where(F.col("k").isNotNull())
-        .withColumn("_r", F.col("_r") - F.col("_hit.before")).withColumn("hit", F.col("_hit.hit"))
-        .drop("_pos", "_bin", "_hit")
-    )
-
-
-def slope_ranks(
-    df: DataFrame, keys: Sequence[str], strat: str, t: str, y: str, ranks: DataFrame, unit: float = 86400.0,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Values of the wanted 0-based ranks ``k`` of the pairwise slopes (per second) of each series.
-
-    ``ranks`` has the keys and a bigint column ``k`` that is below the series'
-    number of comparable pairs.
-    """
-    keys = list(keys)
-    # three counting rounds read the blocks, so they are written once
-    pairs = block_pairs(cut(series_blocks(df, keys, strat, t, y, block_rows)), keys, strat)
-    key_fields = [df.schema[k] for k in keys]
-    out_schema = T.StructType([
-        *key_fields, T.StructField("code", T.ArrayType(T.LongType())), T.StructField("slope", T.ArrayType(T.DoubleType())),
-        T.StructField("cnt", T.ArrayType(T.LongType()))])
-    cur = ranks.select(*keys, F.col("k").cast("bigint").alias("k")).distinct().withColumn("_r", F.col("k"))
-    part, parent = keys, None
-    for shift in SHIFTS:
-        src = pairs
-        if parent is not None:
-            want = cur.groupBy(*keys).agg(F.collect_set("_p").alias("_want"))
-            src = pairs.join(want, keys)
-        cnt = src.mapInPandas(
-            lambda it, s=shift, p=parent: _count_slopes(it, keys, unit, s, p), out_schema
-        ).select(*keys, F.inline(F.arrays_zip("code", "slope", "cnt")))
-        if shift:
-            if parent is not None:
-                cnt = cnt.withColumn("_p", F.shiftright("code", parent - shift))
-            bins = cnt.groupBy(*part, "code").agg(F.sum("cnt").alias("cnt"))
-            cur = cut(_locate(bins, cur, part, "code").withColumn("_p", F.col("hit")).select(*keys, "k", "_r", "_p"))
-        else:
-            bins = cnt.withColumnRenamed("code", "_p").groupBy(*part, "slope").agg(F.sum("cnt").alias("cnt"))
-            cur = _locate(bins, cur, part, "slope")
-        part, parent = [*keys, "_p"], shift
-    return cur.select(*keys, "k", F.col("hit").alias("slope"))
+# --- slope estimates -------------------------------------------------------------------------------
 
 
 def ci_index(n_pairs: Column, var: Column, z: Column) -> tuple[Column, Column]:
