@@ -1,8 +1,8 @@
 """Line deduplication by a deletion-neighbourhood join, with built-in functions only.
 
-A line of at least ``min_chars`` characters goes if an equal line, or one within one edit (a character inserted,
-deleted or replaced), stands earlier; earlier means a smaller document id, then an earlier line. Lines are judged on
-the input, not on what is left, and shorter lines stay.
+A line goes if an equal line stands earlier, and one of at least ``min_chars`` characters also if a line within one edit
+(a character inserted, deleted or replaced) does; earlier means a smaller document id, then an earlier line. Lines are
+judged on the input, not on what is left. Blank lines (only spaces, tabs and the like) stay.
 
 1. Equal lines collapse by a 128-bit hash in one map-side combined aggregate; the earliest place stays.
 2. Two lines within one edit share a first or last half up to a shift by one, and of the other half a half again.
@@ -14,7 +14,7 @@ the input, not on what is left, and shorter lines stay.
    square root of their length, so that a line of n characters costs n^1.5, not n^2.
 4. The edit distance of each such pair is verified on the texts.
 
-Defined cases: a null text stays null and has no lines; an empty text has one short line; null ids come first; rows
+Defined cases: a null text stays null and has no lines; an empty text has one blank line; null ids come first; rows
 that repeat an id and text are the same document and are judged alike; rows with equal ids but other texts are
 separate documents, ordered by a hash; an empty table gives an empty table; extra columns are not read.
 """
@@ -62,16 +62,22 @@ def _half_keys(text: Column, n: Column, *within: Column) -> list[tuple[Column, C
 HALVES = ("pa", "sa", "pb", "sb")
 
 
+def written(line: Column) -> Column:
+    """Whether a text has anything but white space."""
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
 def classes(src: DataFrame, min_chars: int) -> DataFrame:
-    """Distinct lines long enough: hash, half keys, earliest place."""
-    rows = lines(src).filter(F.col("n") >= min_chars)
-    rows = rows.withColumns({k: h for k, (h, _) in zip(HALVES, _half_keys(F.col("line"), F.col("n")), strict=True)})
+    """Distinct lines that are not blank: hash, earliest place, and half keys of those long enough."""
+    rows = lines(src).filter(written(F.col("line")))
+    long = F.col("n") >= min_chars
+    rows = rows.withColumns({k: F.when(long, h) for k, (h, _) in zip(HALVES, _half_keys(F.col("line"), F.col("n")), strict=True)})
     return rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "dk", "pos")).alias("first"), *[F.min(k).alias(k) for k in HALVES])
 
 
 def candidates(found: DataFrame) -> DataFrame:
     """Distinct lines that share a half with another: h1, h2 and the earliest place."""
-    keys = found.select("h1", "h2", F.explode(F.array(*HALVES)).alias("k"))
+    keys = found.filter(f"{HALVES[0]} is not null").select("h1", "h2", F.explode(F.array(*HALVES)).alias("k"))
     shared = keys.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k")
     near = keys.join(shared, "k", "left_semi").select("h1", "h2").distinct()
     return found.select("h1", "h2", "first").join(near, ["h1", "h2"], "left_semi")
@@ -159,13 +165,17 @@ def near_copies(src: DataFrame, found: DataFrame, min_chars: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
-                keep_cols: Sequence[str] = ()) -> DataFrame:
-    """One row per document row: id, text of the lines that stay, n_lines, n_removed, and ``keep_cols`` as they are."""
+                keep_cols: Sequence[str] = (), min_left: float = 0.0) -> DataFrame:
+    """One row per document row: id, text of the lines that stay, n_lines, n_removed, and ``keep_cols`` as they are.
+
+    Where something, but less than the share ``min_left`` of the characters would stay, the text is left whole: such a
+    document is nearly a copy, and what is left of it could no longer be recognised as one.
+    """
     src = documents(docs, id_col, text_col)
     found = stored(classes(src, min_chars), "lines")
     near = near_copies(src, found, min_chars)
     stay = found.join(near, ["h1", "h2"], "left_anti").select("first.id", "first.dk", "first.pos", F.lit(True).alias("keep"))
-    every = src.select("id", "dk", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "dk", "pos", (F.length("line") < min_chars).alias("keep"))
+    every = src.select("id", "dk", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("id", "dk", "pos", (~written(F.col("line"))).alias("keep"))
     flags = every.union(stay).groupBy("id", "dk", "pos").agg(F.max("keep").alias("keep"))
     flags = flags.groupBy(F.col("id").alias("fid"), F.col("dk").alias("fdk")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "keep"))).alias("flags"), F.count_if(~F.col("keep")).alias("n_removed"))
@@ -173,5 +183,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = whole.join(flags, F.col("dk").eqNullSafe(F.col("fdk")) & F.col("id").eqNullSafe(F.col("fid")), "left")
     parts = F.arrays_zip(F.split("text", "\n").alias("line"), F.col("flags.keep").alias("keep"))
     kept = F.array_join(F.transform(F.filter(parts, lambda p: p["keep"]), lambda p: p["line"]), "\n")
-    return met.select("id", F.when(F.coalesce("n_removed", F.lit(0)) == 0, F.col("text")).otherwise(kept).alias("text"),
+    whole = (F.coalesce("n_removed", F.lit(0)) == 0) | (written(F.col("stays")) & (F.length("stays") < min_left * F.length("text")))
+    return met.withColumn("stays", kept).select("id", F.when(whole, F.col("text")).otherwise(F.col("stays")).alias("text"),
                       F.when(F.col("text").isNull(), 0).otherwise(F.size("flags")).cast("long").alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), *[F.col(f"kept_{c}").alias(c) for c in keep_cols])

@@ -139,8 +139,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_LINES = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-c AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM l WHERE length(line) >= 20 GROUP BY line),
-k AS (SELECT line, first, n, n // 2 AS x, unnest([n // 2, CASE WHEN n % 2 = 0 THEN n // 2 - 1 ELSE n // 2 + 1 END]) AS h FROM c),
+c AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
+k AS (SELECT line, first, n, n // 2 AS x, unnest([n // 2, CASE WHEN n % 2 = 0 THEN n // 2 - 1 ELSE n // 2 + 1 END]) AS h FROM c WHERE n >= 20),
 pre AS (SELECT DISTINCT a.line, a.first FROM k a JOIN k b ON a.h = b.h AND left(a.line, a.h) = left(b.line, b.h)
         WHERE b.first < a.first AND abs(a.n - b.n) <= 1 AND levenshtein(a.line, b.line) = 1),
 suf AS (SELECT DISTINCT a.line, a.first FROM k a JOIN k b ON a.h = b.h AND right(a.line, a.h) = right(b.line, b.h)

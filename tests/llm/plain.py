@@ -172,13 +172,14 @@ def line_dedup(rows, min_chars=20):
     first = {}
     for i, t in rows:
         for p, x in enumerate(t.split("\n") if t is not None else []):
-            if len(x) >= min_chars:
+            if PLAIN.search(x):
                 first[x] = min(first.get(x, (key(i), p)), (key(i), p))
-    near = {x for x in first if any(first[y] < first[x] and x != y and one_edit(x, y) for y in first)}
+    long = [x for x in first if len(x) >= min_chars]
+    near = {x for x in long if any(first[y] < first[x] and x != y and one_edit(x, y) for y in long)}
     out = []
     for i, t in rows:
         lines = t.split("\n") if t is not None else []
-        kept = [x for p, x in enumerate(lines) if len(x) < min_chars or (first[x] == (key(i), p) and x not in near)]
+        kept = [x for p, x in enumerate(lines) if not PLAIN.search(x) or (first[x] == (key(i), p) and x not in near)]
         out.append((i, None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
     return out
 

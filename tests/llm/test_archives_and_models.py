@@ -202,7 +202,11 @@ def test_pipeline_stages(spark, texts, tmp_path):
 
     got = take(stage["line dedup"](spark, frame(spark, once, kind), sf))
     lines = plain.line_dedup([(r[0], r[1]) for r in once])
-    kept = [(r[0], x[1], r[2], r[3], len(x[1])) for r, x in zip(once, lines, strict=True) if not x[3] or x[1]]
+    kept = []
+    for r, x in zip(once, lines, strict=True):
+        left = r[1] if x[3] and plain.PLAIN.search(x[1]) and len(x[1]) < 0.5 * len(r[1]) else x[1]
+        if not x[3] or plain.PLAIN.search(left):
+            kept.append((r[0], left, r[2], r[3], len(left)))
     assert sorted(got, key=repr) == sorted(kept, key=repr)
 
     now = [*kept, kept[1]]
@@ -244,3 +248,20 @@ def test_pipeline_near_copies_judges_rows_by_id_and_text(spark):
         assert len(left := [r for r in got if r[1] in (t, t + " end")]) == 1
         got.remove(left[0])
     assert sorted(got, key=repr) == sorted([(1, a), (None, clean[0]), (None, clean[1]), (2, b), (3, clean[2]), (9, e), (None, None)], key=repr)
+
+
+def test_pipeline_leaves_no_stub_of_a_copy(spark, tmp_path):
+    """Whole copies and near copies with short lines leave no row; the first document of each and the clean ones stay."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8)))
+    fresh = lambda: [" ".join(word() for _ in range(rng.randint(12, 30))) if k % 4 else word() for k in range(12)]
+    whole, near, clean = fresh(), fresh(), [fresh() for _ in range(4)]
+    edited = [x.rsplit(" ", 1)[0] + " " + word() if k % 6 == 1 else x for k, x in enumerate(near)]
+    rows = [(1, whole), (2, near), (10, whole), (11, ["", *whole, ""]), (12, edited), *((20 + k, c) for k, c in enumerate(clean))]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, "\n".join(t), "en", "a", 1) for i, t in rows], kind)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "no such passage stands in any document of this test at all so far")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted(r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()) == [1, 2, 20, 21, 22, 23]
