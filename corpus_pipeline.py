@@ -18,6 +18,7 @@ from seriesmith.llm import bpe, decontaminate, line_dedup, ngram_join, quality
 from seriesmith.llm.common import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MIN_LEFT = 0.5
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -40,9 +41,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go; documents of which nothing is left go with them."""
-    found = line_dedup.dedup_lines(docs, keep_cols=("lang", "source"))
-    stay = found.filter((F.col("n_removed") == 0) | (F.length("text") > 0))
+    """Lines that repeat an earlier line go; documents of which nothing is left go with them. A document that would lose more
+    than half of its text, but not all, stays whole: it may be a near copy, which the next stage judges by its whole text."""
+    found = line_dedup.dedup_lines(docs, keep_cols=("lang", "source"), min_left=MIN_LEFT)
+    stay = found.filter((F.col("n_removed") == 0) | line_dedup.written(F.col("text")))
     return stay.select(F.col("id").alias("doc_id"), "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
