@@ -134,13 +134,5 @@ def interp(x: Column | str, xp: Column | str, fp: Column | str) -> Column:
     )
 
 
-def interp_even(x: Column | str, fp: Column | str) -> Column:
-    """The same lookup for a table on an even grid over [0, 1]: direct index, no search."""
-    x, fp = _c(x), _c(fp)
-    pos = x * (F.size(fp) - 1)
-    i = F.least(F.floor(pos).cast("int"), F.size(fp) - 2)
-    return F.get(fp, i) + (F.get(fp, i + 1) - F.get(fp, i)) * (pos - i)
-
-
 def percent_points_per_decade(v: Column | str) -> Column:
     return _c(v) * 1000.0

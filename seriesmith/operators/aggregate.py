@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..core import cut
+from ..core import same
 from ..functions import calendar as cal
 
 DAY_ZENITH = 85.0
@@ -92,40 +95,52 @@ def valid_days(df: DataFrame, keys: Sequence[str], date: str = "date", value: st
     return df.groupBy(*keys).agg(F.countDistinct(F.when(F.col(value).isNotNull(), F.col(date))).alias("valid_days"))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], bins: int = 1024) -> DataFrame:
+def finite(c: Column) -> Column:
+    """NaN and infinite values are missing."""
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
     """Exact quantiles (linear interpolation) of groups of any size: keys and ``quantiles``, in the order of ``probs``.
 
-    Every wanted rank has a bracket of values, at first the group's range. A round counts the values of each bracket
-    in even bins (map-side combined) and takes the bin with the rank, shrunk to the values it holds, as the new
-    bracket, until it is one value. Nobody sorts or collects a group; NULLs don't count.
+    Two scans. The first builds a mergeable sketch per group, whose ranks are off by 1/``accuracy`` at most, and so a
+    bracket of values around each wanted rank. The second counts, map-side combined, the values of each bracket one by one
+    and those between brackets as a whole; a running count then meets the exact ranks. Nobody collects a group.
+    NULL, NaN and infinite values don't count; a NULL key is a key; a group without values has no row.
     """
     keys = list(keys)
-    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    st = v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    at = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
-    want = [F.struct(F.lit(i).alias("_i"), F.lit(side).alias("_side"), F.least(F.floor(x).cast("long") + side, F.col("_n") - 1).alias("_k"), (x - F.floor(x)).alias("_f"))
+    v = df.select(*keys, finite(F.col(value).cast("double")).alias("_v")).where("_v is not null")
+    probs = [float(p) for p in probs]
+    wide = 2.0 / accuracy
+    ends = [min(1.0, max(0.0, p + side * wide)) for p in probs for side in (-1, 1)]
+    st = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_e"))
+    at = [F.lit(p) * (F.col("_n") - 1) for p in probs]
+    want = [F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), F.least(F.floor(x).cast("long") + side, F.col("_n") - 1).alias("k"), (x - F.floor(x)).alias("f"))
             for i, x in enumerate(at) for side in (0, 1)]
-    state = cut(st.select(*keys, "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.inline(F.array(*want))))
-    while not (open_ := state.where("_lo < _hi")).isEmpty():
-        brackets = open_.select(*keys, "_lo", "_hi").distinct()
-        b = F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))
-        inside = v.join(brackets, keys).where("_v >= _lo and _v <= _hi").withColumn("_b", b)
-        c = inside.groupBy(*keys, "_lo", "_hi", "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-        w = W.partitionBy(*keys, "_lo", "_hi").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # as many rows as bins
-        c = c.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-        hit = open_.join(c, [*keys, "_lo", "_hi"]).where("_k - _below >= _before and _k - _below < _before + _c")
-        moved = hit.select(*keys, F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), (F.col("_below") + F.col("_before")).alias("_below"), "_i", "_side", "_k", "_f")
-        state = cut(state.where("_lo >= _hi").unionByName(moved))
-    low, high = (F.max(F.when(F.col("_side") == s, F.col("_lo"))) for s in (0, 1))
-    one = state.groupBy(*keys, "_i").agg((low + (high - low) * F.max("_f")).alias("_q"))
-    return one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("quantiles"))
+    brackets = [F.struct(F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi")) for i in range(len(probs))]
+    st = st.select(*keys, F.array_distinct(F.array(*brackets)).alias("_br"), F.array(*want).alias("_want"))
+    met = v.alias("a").join(st.alias("b"), same("a", "b", keys)).select(*[F.col(f"a.{k}") for k in keys], "_v", "_br", "_want")
+    inside = F.expr("exists(_br, b -> _v >= b.lo and _v <= b.hi)")
+    met = met.select(*keys, "_want", "_v", F.when(inside, F.col("_v")).alias("_own"), F.expr("size(filter(_br, b -> b.hi < _v))").alias("_after"))
+    rows = met.groupBy(*keys, "_own", "_after").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.first("_want").alias("_want"))
+    up_to = F.sum("_c").over(W.partitionBy(*keys).orderBy("_min").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_to", up_to).select(*keys, "_min", "_max", "_own", "_c", "_to", F.inline(F.expr("filter(_want, w -> w.k < _to and w.k >= _to - _c)")))
+    # between brackets only the neighbours of a bracket are asked for, by the sketch's bound
+    x = F.when(F.col("_own").isNotNull() | (F.col("k") == F.col("_to") - F.col("_c")), F.col("_min")).when(F.col("k") == F.col("_to") - 1, F.col("_max")).otherwise(
+        F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+    low, high = (F.max(F.when(F.col("side") == s, F.col("_x"))) for s in (0, 1))
+    one = rows.withColumn("_x", x).groupBy(*keys, "i").agg((low + (high - low) * F.max("f")).alias("q"))
+    return one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("quantiles"))
 
 
 def winsor_mean(df: DataFrame, keys: Sequence[str], value: str = "value", lower: float = 0.02, upper: float = 0.98) -> DataFrame:
     """Mean after clipping to two exact quantiles of the group (linear interpolation); groups may have any size."""
+    keys = list(keys)
     q = exact_quantiles(df, keys, value, (lower, upper))
-    clipped = F.when(F.col(value).isNotNull(), F.greatest(F.col("quantiles")[0], F.least(F.col("quantiles")[1], F.col(value))))
-    return df.join(q, list(keys), "left").groupBy(*keys).agg(F.avg(clipped).alias(value))
+    v = finite(F.col(value).cast("double"))
+    clipped = F.when(v.isNotNull(), F.greatest(F.col("quantiles")[0], F.least(F.col("quantiles")[1], v)))
+    met = df.alias("a").join(q.alias("b"), same("a", "b", keys), "left").select(*[F.col(f"a.{k}") for k in keys], F.col(f"a.{value}").alias(value), "quantiles")
+    return met.groupBy(*keys).agg(F.avg(clipped).alias(value))
 
 
 def doy_window(daily: DataFrame, n_days: int = 31, date: str = "date", doy: str = "doy") -> DataFrame:
@@ -143,14 +158,50 @@ def drop_leap_days(df: DataFrame, date: str = "date") -> DataFrame:
     return df.where(~cal.is_leap_day(date))
 
 
+def _sliding_means(doy: np.ndarray, v: np.ndarray, n_days: int, lower: float, upper: float) -> np.ndarray:
+    """Winsorised mean of the circular window around each of 365 days: one sorted list, one day enters and one leaves."""
+    order = np.lexsort((v, doy))
+    v, at = v[order], np.searchsorted(doy[order], np.arange(1, 367))
+    day = lambda d: v[at[(d - 1) % 365] : at[(d - 1) % 365 + 1]]
+    back, ahead = (n_days - 1) // 2, n_days // 2
+    now = np.sort(np.concatenate([v[:0], *(day(d) for d in range(1 - back, 1 + ahead))]))  # the last day enters below
+    out = np.full(365, np.nan)
+    for d in range(1, 366):
+        come = day(d + ahead)
+        now = np.insert(now, np.searchsorted(now, come), come)
+        if len(now):
+            at_q = (len(now) - 1) * np.array([lower, upper])
+            i = np.floor(at_q).astype(int)
+            low, high = now[i] + (now[np.minimum(i + 1, len(now) - 1)] - now[i]) * (at_q - i)
+            a, b = np.searchsorted(now, low), np.searchsorted(now, high, "right")
+            out[d - 1] = (a * low + now[a:b].sum() + (len(now) - b) * high) / len(now)
+        gone = day(d - back)
+        now = np.delete(now, np.searchsorted(now, gone) + np.arange(len(gone)) - np.searchsorted(gone, gone))
+    return out
+
+
 def doy_climatology(
     daily: DataFrame, keys: Sequence[str], date: str = "date", value: str = "value", n_days: int = 31,
     lower: float = 0.02, upper: float = 0.98,
 ) -> DataFrame:
-    """365 winsorised means per series over a circular day-of-year window."""
-    d = daily.where(F.col(value).isNotNull()).select(*keys, F.col(date).alias("date"), value)
-    w = doy_window(d, n_days, "date").select(*keys, "doy", value)
-    return winsor_mean(w, [*keys, "doy"], value, lower, upper)
+    """365 winsorised means per series over a circular day-of-year window of up to 365 days.
+
+    A series has a row per day, so the calendar bounds it and one task takes it whole. NULL, NaN and infinite values don't
+    count; days of year whose window has no value have no row.
+    """
+    if not 1 <= n_days <= 365:
+        raise ValueError("the window must have 1 to 365 days")
+    keys = list(keys)
+    rows = daily.select(*keys, cal.noleap_doy(date).cast("int").alias("doy"), finite(F.col(value).cast("double")).alias(value)).where(F.col(value).isNotNull())
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("doy", T.IntegerType()), T.StructField(value, T.DoubleType())])
+
+    def run(t: pa.Table) -> pa.Table:
+        mean = _sliding_means(t.column("doy").to_numpy(), t.column(value).to_numpy(), n_days, lower, upper)
+        has = np.flatnonzero(~np.isnan(mean))
+        own = t.select(keys).take(np.zeros(len(has), np.int64))
+        return pa.table({**{k: own.column(k) for k in keys}, "doy": pa.array(has + 1, pa.int32()), value: mean[has]})
+
+    return rows.groupBy(*keys).applyInArrow(run, schema)
 
 
 def shared_climatology(
@@ -162,13 +213,16 @@ def shared_climatology(
     climatology (shared + pooled mean) has instrument ``site``.
     """
     site = list(site)
+    of = lambda a, names: [F.col(f"{a}.{k}") for k in names]
     base = daily.groupBy(*site, instrument).agg(F.avg(value).alias("baseline"))
-    dem = daily.join(base, [*site, instrument]).withColumn(value, F.col(value) - F.col("baseline"))
+    dem = daily.alias("a").join(base.alias("b"), same("a", "b", [*site, instrument])).select(
+        *of("a", site), F.col(f"a.{date}").alias(date), (F.col(f"a.{value}") - F.col("baseline")).alias(value))
     clim = doy_climatology(dem, site, date, value, n_days)
     centred = clim.withColumn("shared", F.col(value) - F.avg(value).over(W.partitionBy(*site))).drop(value)
     pooled = daily.groupBy(*site).agg(F.avg(value).alias("baseline")).withColumn(instrument, F.lit("site"))
     levels = base.unionByName(pooled)
-    return centred.join(levels, site).select(*site, instrument, "doy", "shared", (F.col("shared") + F.col("baseline")).alias(value))
+    return centred.alias("a").join(levels.alias("b"), same("a", "b", site)).select(
+        *of("a", site), instrument, "doy", "shared", (F.col("shared") + F.col("baseline")).alias(value))
 
 
 def climatology_summaries(df: DataFrame, keys: Sequence[str], date: str = "date", value: str = "value") -> DataFrame:

@@ -6,14 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import cut
+from ..core import cut, same
 from ..functions import scalar as fn
-from ..functions.scalar import interp_even
 from .joins import dataset_pairs
 
 
@@ -89,34 +88,77 @@ def quantile_arrays(df: DataFrame, keys: Sequence[str], p: str, q: str, n_points
     return t.select(*keys, F.transform(grid, lambda g: fn.interp(g, F.col("_p"), F.col("_q"))).alias("quantiles"))
 
 
-def uniform(seed: int, *cols: Column) -> Column:
-    """Uniform [0, 1) number that depends only on the key values: the same for any partitioning."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52))
-    return (h.cast("double") + 0.5) / float(1 << 52)
-
+# Quantile levels of the reported intervals, proper and as published.
+INTERVALS = {"proper": (0.16, 0.84, 0.025, 0.975), "published": (0.16, 0.68, 0.05, 0.95)}
 
-def monte_carlo_draws(q: DataFrame, keys: Sequence[str], n_draws: int, seed: int = 0, quantiles: str = "quantiles", stratified: bool = False) -> DataFrame:
-    """Inverse-transform draws per key; ``stratified`` takes the evenly spaced levels instead of random ones."""
-    chunk = 10_000
-    d = q.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit((n_draws - 1) // chunk))))
-    last = F.least(F.lit(n_draws), (F.col("_c") + 1) * chunk) - 1
-    d = d.withColumn("draw", F.explode(F.sequence(F.col("_c") * chunk, last))).drop("_c")
-    u = (F.col("draw") + 0.5) / float(n_draws) if stratified else uniform(seed, *[F.col(k) for k in keys], F.col("draw"))
-    return d.select(*keys, "draw", interp_even(u, F.col(quantiles)).alias("value"))
 
+#: Draws that a task makes at a time, for up to so many sites.
+DRAW_CHUNK = 1 << 16
+SITE_BLOCK = 1024
 
-# Quantile levels of the reported intervals, proper and as published.
-INTERVALS = {"proper": (0.16, 0.84, 0.025, 0.975), "published": (0.16, 0.68, 0.05, 0.95)}
 
+def mean_distribution(
+    q: DataFrame, keys: Sequence[str], dataset: Sequence[str], n_draws: int, seed: int = 0, quantiles: str = "quantiles", stratified: bool = False,
+    intervals: str = "proper",
+) -> DataFrame:
+    """Distribution of the mean over sites by Monte Carlo: mean, std and exact interval ends over ``n_draws`` draws.
 
-def monte_carlo_mean(draws: DataFrame, dataset: Sequence[str], intervals: str = "proper") -> DataFrame:
-    """Distribution of the mean over sites: per draw an average, then mean, std and exact interval ends (one value per draw)."""
-    m = draws.groupBy(*dataset, "draw").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("_n"))
-    a = m.groupBy(*dataset).agg(
-        F.avg("m").alias("mean"), F.stddev_samp("m").alias("std"), F.max("_n").alias("n_sites"), F.count(F.lit(1)).alias("n_draws"),
-        F.percentile("m", list(INTERVALS[intervals])).alias("_q"))
-    names = ("q68_low", "q68_high", "q95_low", "q95_high")
-    return a.select(*dataset, "mean", "std", "n_sites", "n_draws", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    ``q`` has one quantile array (even levels) per site, its ``keys`` including ``dataset``. A task takes the arrays of up to
+    SITE_BLOCK sites and a chunk of draws, inverts all sites at once and sends only their sums: a number per draw and
+    block of sites, never one per site. The numbers hang on the site, the chunk and the seed alone, not on partitions.
+    ``stratified`` takes the evenly spaced levels instead of random ones. Sites without an array don't count.
+    """
+    keys, dataset = list(keys), list(dataset)
+    kinds = T.StructType([q.schema[k] for k in dataset])
+    own = q.where(F.col(quantiles).isNotNull() & (F.size(quantiles) > 1)).select(
+        *dataset, F.xxhash64(F.lit(seed), *[F.col(k).cast("string") for k in keys]).alias("_h"), F.col(quantiles).alias("_q"))
+    own = own.withColumn("_s", F.pmod(F.xxhash64("_h"), F.lit(1 << 30)))
+    blocks = own.groupBy(*dataset).agg(F.ceil(F.count(F.lit(1)) / SITE_BLOCK).alias("_nb"))
+    of = lambda a, names: [F.col(f"{a}.{k}") for k in names]
+    own = own.alias("a").join(blocks.alias("b"), same("a", "b", dataset)).select(*of("a", dataset), "_h", "_q", F.pmod("_s", F.col("_nb")).alias("_block"))
+    packed = own.groupBy(*dataset, "_block").agg(F.sort_array(F.collect_list(F.struct("_h", "_q"))).alias("_sites"))
+    chunks = packed.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit((n_draws - 1) // DRAW_CHUNK)))).repartition(*dataset, "_block", "_c")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for c, sites in zip(batch.column("_c").to_pylist(), batch.column("_sites").to_pylist(), strict=True):
+                at = np.arange(c * DRAW_CHUNK, min((c + 1) * DRAW_CHUNK, n_draws))
+                total = np.zeros(len(at))
+                for s in sites:
+                    fp = np.array(s["_q"], np.float64)
+                    u = (at + 0.5) / n_draws if stratified else np.random.Generator(np.random.Philox(key=np.array([s["_h"] % (1 << 64), c], np.uint64))).random(len(at))
+                    i = np.minimum((u * (len(fp) - 1)).astype(np.int64), len(fp) - 2)
+                    total += fp[i] + (fp[i + 1] - fp[i]) * (u * (len(fp) - 1) - i)
+                sums.append(total.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in dataset], batch.column("_c"), pa.array([len(s) for s in batch.column("_sites").to_pylist()], pa.int64()), pa.array(sums, pa.binary())],
+                names=[*dataset, "c", "n", "sums"])
+
+    parts = chunks.select(*dataset, "_c", "_sites").mapInArrow(draw, T.StructType([
+        *kinds, T.StructField("c", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("sums", T.BinaryType())]))
+
+    def fold(t: pa.Table) -> pa.Table:
+        total = sum((np.frombuffer(b) for b in t.column("sums").to_pylist()[1:]), np.frombuffer(t.column("sums")[0].as_py()))
+        row = t.slice(0, 1)
+        return pa.table({**{k: row.column(k) for k in (*dataset, "c")}, "n": [sum(t.column("n").to_pylist())], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    parts = parts.groupBy(*dataset, "c").applyInArrow(fold, parts.schema)  # the blocks of sites of one chunk
+    levels, names = INTERVALS[intervals], ("q68_low", "q68_high", "q95_low", "q95_high")
+
+    def summary(t: pa.Table) -> pa.Table:
+        # one number per draw, whatever the number of sites
+        total, sites = np.zeros(n_draws), 0
+        for c, n, sums in zip(t.column("c").to_pylist(), t.column("n").to_pylist(), t.column("sums").to_pylist(), strict=True):
+            total[c * DRAW_CHUNK : (c + 1) * DRAW_CHUNK] += np.frombuffer(sums)
+            sites += n if c == 0 else 0
+        m = total / sites
+        row = {"mean": m.mean(), "std": m.std(ddof=1) if n_draws > 1 else None, "n_sites": sites, "n_draws": n_draws, **dict(zip(names, np.quantile(m, levels).tolist(), strict=True))}
+        own_key = t.select(dataset).take(np.zeros(1, np.int64))
+        return pa.table({**{k: own_key.column(k) for k in dataset}, **{k: [v] for k, v in row.items()}})
+
+    out = T.StructType([*kinds, *[T.StructField(n, T.LongType() if n.startswith("n_") else T.DoubleType()) for n in ("mean", "std", "n_sites", "n_draws", *names)]])
+    return parts.groupBy(*dataset).applyInArrow(summary, out)
 
 
 def kernel_density(df: DataFrame, keys: Sequence[str], value: str, points: int = 512) -> DataFrame:
@@ -164,7 +206,8 @@ def xy_error_line(
 
     York's fixed point, from the OLS slope. A round is one grouped aggregate
     of weighted sums of the centred points, so any number of points fits; the
-    state is one row per key.
+    state is one row per key. ``converged`` tells whether the slope came to rest within ``max_rounds``; without it the
+    results are NULL.
     """
     keys = list(keys)
     f = lambda c: F.greatest(F.col(c), F.lit(floor)) if floor is not None else F.col(c)
@@ -207,14 +250,16 @@ def xy_error_line(
     s = r.withColumn("_a", adj).withColumn("_w", w).groupBy(*keys).agg(
         (F.sum(F.col("_w") * F.col("_a")) / F.sum("_w")).alias("_am"), F.sum(F.col("_w") * F.col("_a") * F.col("_a")).alias("_aa"),
         F.sum("_w").alias("_sw2"), F.sum(F.col("_w") * res * res).alias("_res"))
-    out = mean.drop("b").join(state.drop("_step", "_prev"), keys).join(s, keys)
+    out = mean.drop("b").join(state.drop("_prev"), keys).join(s, keys)
+    rest = F.coalesce(F.col("_step") < 1e3 * tol * F.greatest(F.abs("b"), F.lit(1e-300)), F.lit(False))
     scale = F.try_divide(F.col("_res"), F.when(F.col("n") > 2, F.col("n") - 2))
     sxx = F.col("_aa") - F.col("_sw2") * F.col("_am") * F.col("_am")
-    return out.select(
-        *keys, "n", F.col("b").alias("slope"), (F.col("_my") + F.col("_cy") - F.col("b") * (F.col("_mx") + F.col("_cx"))).alias("intercept"),
-        F.sqrt(F.try_divide(scale, sxx)).alias("slope_sd"),
-        F.sqrt(scale * (F.lit(1.0) / F.col("_sw2") + F.pow(F.col("_am") + F.col("_cx"), F.lit(2.0)) / sxx)).alias("intercept_sd"),
-        scale.alias("residual_variance"))
+    fit = {
+        "slope": F.col("b"), "intercept": F.col("_my") + F.col("_cy") - F.col("b") * (F.col("_mx") + F.col("_cx")),
+        "slope_sd": F.sqrt(F.try_divide(scale, sxx)),
+        "intercept_sd": F.sqrt(scale * (F.lit(1.0) / F.col("_sw2") + F.pow(F.col("_am") + F.col("_cx"), F.lit(2.0)) / sxx)),
+        "residual_variance": scale}
+    return out.select(*keys, "n", *[F.when(rest, c).alias(k) for k, c in fit.items()], rest.alias("converged"))
 
 
 def drift_effect(df: DataFrame, keys: Sequence[str], drift: str = "drift", trend: str = "trend", lower: str = "lower", upper: str = "upper") -> DataFrame:

@@ -69,7 +69,7 @@ def ag_pair_stats(spark, sf):
 def un_xy_error_line(spark, sf):
     """Iterative fit; no SQL form (checked against numpy in the tests)."""
     out = cp.xy_error_line(_pairs(spark, sf), ["x_set", "y_set"], "x", "y", "sx", "sy")
-    return out.select("x_set", "y_set", "n", *[r6(c, 5).alias(c) for c in ("slope", "intercept", "slope_sd", "intercept_sd")])
+    return out.select("x_set", "y_set", "n", *[r6(c, 5).alias(c) for c in ("slope", "intercept", "slope_sd", "intercept_sd")], "converged")
 
 
 # quantile function per site: percentiles of the order values
@@ -106,16 +106,15 @@ dm AS (SELECT dataset, draw, avg(v) AS m FROM dl GROUP BY ALL)"""
 def un_mc_mean(spark, sf):
     """Evenly spaced draws (the deterministic mode), so that SQL can repeat them."""
     q = cp.quantile_arrays(_qf(spark, sf), ["site", "dataset"], "p", "q", 31)
-    d = cp.monte_carlo_draws(q, ["site", "dataset"], DRAWS, stratified=True)
-    m = cp.monte_carlo_mean(d, ["dataset"])
+    m = cp.mean_distribution(q, ["site", "dataset"], ["dataset"], DRAWS, stratified=True)
     return m.select("dataset", r6("mean", 3).alias("mean"), r6("std", 3).alias("std"), "n_sites", "n_draws", *[r6(c, 3).alias(c) for c in ENDS])
 
 
 @query("un_mc_mean_random")
 def un_mc_mean_random(spark, sf):
-    """Random draws keyed by (site, dataset, draw): the same for any partitioning."""
+    """Random draws keyed by site, dataset and chunk of draws: the same for any partitioning."""
     q = cp.quantile_arrays(_qf(spark, sf), ["site", "dataset"], "p", "q", 201)
-    return cp.monte_carlo_mean(cp.monte_carlo_draws(q, ["site", "dataset"], DRAWS, seed=7), ["dataset"])
+    return cp.mean_distribution(q, ["site", "dataset"], ["dataset"], DRAWS, seed=7)
 
 
 KDE = """st AS (SELECT site, min(value) AS lo, max(value) AS hi, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2e0) AS h FROM o GROUP BY site)"""

@@ -124,10 +124,53 @@ def test_exact_quantiles(spark):
     rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("ties", None), ("none", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = (0.0, 0.02, 0.25, 0.5, 0.98, 1.0)
-    got = {r.g: r.quantiles for r in ag.exact_quantiles(df, ["g"], "v", probs, bins=4).collect()}
-    assert set(got) == set(groups)
-    for g, xs in groups.items():
-        assert got[g] == pytest.approx(np.quantile(xs, probs).tolist(), rel=1e-12)
+    for accuracy in (20, 10_000):
+        got = {r.g: r.quantiles for r in ag.exact_quantiles(df, ["g"], "v", probs, accuracy=accuracy).collect()}
+        assert set(got) == set(groups)
+        for g, xs in groups.items():
+            assert got[g] == pytest.approx(np.quantile(xs, probs).tolist(), rel=1e-12)
     w = {r.g: r.v for r in ag.winsor_mean(df, ["g"], "v").collect()}
     lo, hi = np.quantile(groups["outlier"], (0.02, 0.98))
     assert w["outlier"] == pytest.approx(np.clip(groups["outlier"], lo, hi).mean()) and w["none"] is None
+
+
+def test_quantiles_with_odd_values_and_keys(spark):
+    """NaN and infinite values are missing, a range that overflows is fine, a NULL key is a group of its own."""
+    nan, inf = float("nan"), float("inf")
+    rows = [("n", x) for x in (1.0, nan, 2.0, inf, -inf, 4.0, None)] + [(None, x) for x in (5.0, 6.0, nan)] + [("wide", x) for x in (-1.7e308, 0.0, 1.7e308)] + [("void", nan)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.quantiles for r in ag.exact_quantiles(df, ["g"], "v", (0.0, 0.5, 1.0)).collect()}
+    assert got == {"n": [1.0, 2.0, 4.0], None: [5.0, 5.5, 6.0], "wide": [-1.7e308, 0.0, 1.7e308]}
+    means = {r.g: r.v for r in ag.winsor_mean(df, ["g"], "v", 0.0, 1.0).collect()}
+    assert means == {"n": pytest.approx(7 / 3), None: 5.5, "wide": 0.0, "void": None}
+
+
+def test_quantiles_of_many_values(spark):
+    """Far more values than the sketch keeps, half of them one value."""
+    df = spark.range(300_000).select(F.lit(1).alias("g"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.rand(3) - 0.3).alias("v")).cache()
+    probs = (0.001, 0.1, 0.37, 0.5, 0.9995)
+    want = np.quantile(df.toPandas().v, probs)
+    assert ag.exact_quantiles(df, ["g"], "v", probs).first().quantiles == pytest.approx(want.tolist(), rel=1e-12)
+
+
+@pytest.mark.parametrize("n_days", [1, 4, 31, 365])
+def test_sliding_climatology(n_days):
+    rng = np.random.default_rng(n_days)
+    doy, v = rng.integers(1, 366, 700), np.round(rng.normal(size=700), 1)
+    got = ag._sliding_means(doy, v, n_days, 0.02, 0.98)
+    for d in range(1, 366):
+        near = (doy - d + (n_days - 1) // 2) % 365 < n_days
+        if not near.any():
+            assert np.isnan(got[d - 1])
+            continue
+        lo, hi = np.quantile(v[near], (0.02, 0.98))
+        assert got[d - 1] == pytest.approx(np.clip(v[near], lo, hi).mean(), abs=1e-12)
+
+
+def test_climatology_of_null_keys(spark):
+    rows = [(s, D0 + dt.timedelta(days=i), x) for s in ("a", None) for i, x in enumerate([1.0, 3.0, float("nan"), 5.0])]
+    df = spark.createDataFrame(rows, "site string, date date, value double").withColumn("instrument", F.lit("x"))
+    got = ag.doy_climatology(df, ["site"], n_days=1).collect()
+    assert sorted((r.site or "", r.value) for r in got) == [("", 1.0), ("", 3.0), ("", 5.0), ("a", 1.0), ("a", 3.0), ("a", 5.0)]
+    shared = ag.shared_climatology(df.where("value = value and not isnan(value)"), ["site"]).collect()
+    assert {r.site for r in shared} == {"a", None} and len(shared) == 2 * 2 * len({r.doy for r in shared})

@@ -252,7 +252,9 @@ def test_error_line(spark):
     df = spark.createDataFrame([("p", a, b, c**-0.5, d**-0.5) for a, b, c, d in zip(x, y, wx, wy, strict=True)], "k string, x double, y double, sx double, sy double")
     r = cp.xy_error_line(df, ["k"], "x", "y", "sx", "sy").first()
     assert r.slope == pytest.approx(-0.480533407, abs=1e-6) and r.intercept == pytest.approx(5.47991022, abs=1e-5)
-    assert r.residual_variance == pytest.approx(11.8663531941 / 8, rel=1e-6)
+    assert r.residual_variance == pytest.approx(11.8663531941 / 8, rel=1e-6) and r.converged
+    few = cp.xy_error_line(df, ["k"], "x", "y", "sx", "sy", max_rounds=1).first()
+    assert not few.converged and few.slope is None and few.intercept_sd is None and few.n == 10
 
 
 def test_monte_carlo_and_interp(spark):
@@ -260,10 +262,26 @@ def test_monte_carlo_and_interp(spark):
     got = [one(spark, fn.interp(F.lit(v), xp, fp)) for v in (-1.0, 0.5, 1.0, 2.0, 9.0)]
     assert got == pytest.approx(list(np.interp([-1, 0.5, 1, 2, 9], [0, 1, 3], [10, 20, 0])))
     q = spark.createDataFrame([("s1", "d", [0.0, 1.0]), ("s2", "d", [2.0, 4.0])], "site string, dataset string, quantiles array<double>")
-    m = cp.monte_carlo_mean(cp.monte_carlo_draws(q, ["site", "dataset"], 25_000, seed=1), ["dataset"]).first()
+    m = cp.mean_distribution(q, ["site", "dataset"], ["dataset"], 25_000, seed=1).first()
     assert m["mean"] == pytest.approx(1.75, abs=0.02) and m.n_draws == 25_000 and m.n_sites == 2
 
 
+def test_monte_carlo_does_not_hang_on_partitions_or_blocks(spark, monkeypatch):
+    rows = [(f"s{i}", d, [float(i), i + 1.5, i + 2.0]) for i in range(7) for d in ("d", None)] + [("void", "d", None)]
+    q = spark.createDataFrame(rows, "site string, dataset string, quantiles array<double>")
+    fit = lambda x, **o: {r.dataset: r[1:] for r in cp.mean_distribution(x, ["site", "dataset"], ["dataset"], 3000, **o).collect()}
+    one = fit(q, seed=3)
+    assert set(one) == {"d", None} and all(r[2:4] == (7, 3000) for r in one.values())
+    monkeypatch.setattr(cp, "SITE_BLOCK", 2)
+    monkeypatch.setattr(cp, "DRAW_CHUNK", 1 << 16)
+    for k, v in fit(q.repartition(5), seed=3).items():
+        assert v == pytest.approx(one[k], rel=1e-12)
+    even = fit(q, stratified=True)["d"]
+    u = (np.arange(3000) + 0.5) / 3000
+    m = np.mean([np.interp(u, [0, 0.5, 1], r[2]) for r in rows[:14:2]], axis=0)
+    assert even[0] == pytest.approx(m.mean()) and even[4:] == pytest.approx(np.quantile(m, cp.INTERVALS["proper"]).tolist())
+
+
 def test_discover_files(spark, tmp_path):
     for n in ("s1/x_20010102.nc", "s1/x_20011399.nc", "s2/readme.txt"):
         p = tmp_path / n
