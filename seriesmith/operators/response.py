@@ -1,8 +1,7 @@
 """Weighted logistic response regression for many series and bootstrap replicates at once.
 
-Every reweighting round is one grouped aggregate of the normal equations
-(map-side combined, so a hot series is no hot task); only the tiny solve per
-group runs in numpy. Bootstrap replicates are refitted in chunks from a
+Every reweighting round factors blocks of rows where they lie; only the small
+triangular factors of a series meet, so a hot series is no hot task. Bootstrap replicates are refitted in chunks from a
 series' daily rows, as row multiplicities.
 """
 
@@ -12,12 +11,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import cut
-from ..functions.arrays import let, pack
+from ..core import cut, same
+from ..functions.arrays import let
 from ..functions.scalar import clip, fourier_basis
 
 CLIP = (0.01, 0.99)
@@ -45,35 +45,94 @@ def n_columns(terms: int, interactions: bool = False) -> int:
     return 3 + terms * (3 if interactions else 1)
 
 
-SOLUTION = T.StructType([T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("var", T.ArrayType(T.DoubleType()))])
-
-
-@F.pandas_udf(SOLUTION)
-def _solve(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Solve one small symmetric system per row (upper triangle by rows); singular ones give NULL."""
-    coef, var = [], []
-    for tri, rhs in zip(a, b, strict=True):
-        rhs = np.asarray(rhs, dtype=float)
-        p = rhs.size
-        m = np.zeros((p, p))
-        m[np.triu_indices(p)] = tri
-        m = m + np.triu(m, 1).T
-        try:
-            if not (np.isfinite(m).all() and np.linalg.cond(m) < 1e14):
-                raise np.linalg.LinAlgError
-            inv = np.linalg.inv(m)
-            coef.append((inv @ rhs).tolist())
-            var.append(np.diag(inv).tolist())
-        except np.linalg.LinAlgError:
-            coef.append(None)
-            var.append(None)
-    return pd.DataFrame({"coef": coef, "var": var})
-
-
 def _dot(x: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(x, b, lambda u, v: u * v), F.lit(0.0), lambda a, v: a + v)
 
 
+#: Rows of a series that are factored at a time.
+BLOCK_ROWS = 4096
+#: Largest condition number of a triangular factor (its square is that of the normal equations).
+MAX_CONDITION = 1e12
+
+
+def _packed(d: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """Rows of each series as matrices of design, y, n and multiplicity; packed where they lie, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = batch.select(keys).to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            rest = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_y", "_n", "_m")]
+            full = np.column_stack([x, *rest])
+            order = np.argsort(code, kind="stable")
+            cuts = np.flatnonzero(np.diff(code[order])) + 1
+            parts = [q for part in np.split(order, cuts) for q in np.split(part, range(BLOCK_ROWS, len(part), BLOCK_ROWS))]
+            own = batch.select(keys).take(pa.array([q[0] for q in parts]))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([full[q].tobytes() for q in parts], pa.binary())], names=[*keys, "_data"])
+
+    return cut(d.mapInArrow(run, T.StructType([*[d.schema[k] for k in keys], T.StructField("_data", T.BinaryType())])))
+
+
+def _factor(a: np.ndarray) -> np.ndarray:
+    """Triangular factor of a tall matrix, or the matrix itself where it is not tall."""
+    return np.linalg.qr(a, mode="r") if len(a) > a.shape[1] else a
+
+
+def _round(blocks: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """One reweighting round: each task factors its blocks, the factors of a series are stacked, factored again and solved."""
+    fields = [blocks.schema[k] for k in keys]
+    first = "_c" not in blocks.columns
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # the blocks of one series in a batch leave one factor
+            code = batch.select(keys).to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if batch.num_rows else np.zeros(0, int)
+            some = int(code.max(initial=-1)) + 1
+            rows, chis, factors = np.zeros(some), np.zeros(some), [np.zeros((0, p + 1)) for _ in range(some)]
+            coefs = [None] * batch.num_rows if first else batch.column("_c").to_pylist()
+            for k, data, c in zip(code, batch.column("_data").to_pylist(), coefs, strict=True):
+                m = np.frombuffer(data).reshape(-1, p + 3)
+                x, y, n, w = m[:, :p], m[:, p], m[:, p + 1], m[:, p + 2]
+                if c is None:
+                    mu = (y + 0.5) / 2.0
+                    eta = np.log(mu / (1.0 - mu))
+                else:
+                    eta = x @ np.array(c)
+                    mu = 1.0 / (1.0 + np.exp(-eta))
+                v = mu * (1.0 - mu)
+                with np.errstate(all="ignore"):
+                    part = np.sqrt(w * n * v)[:, None] * np.column_stack([x, eta + (y - mu) / v])
+                    chis[k] += (w * n * (y - mu) ** 2 / v).sum()
+                rows[k] += w.sum()
+                if factors[k] is not None:
+                    factors[k] = _factor(np.vstack([factors[k], part])) if np.isfinite(part).all() else None
+            own = batch.select(keys).take(pa.array(np.unique(code, return_index=True)[1]))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(rows), pa.array(chis), pa.array([b"" if f is None else f.tobytes() for f in factors], pa.binary())],
+                                             names=[*keys, "rows", "_chi", "_r"])
+
+    def solve(t: pa.Table) -> pa.Table:
+        rows, chi = sum(t.column("rows").to_pylist()), sum(t.column("_chi").to_pylist())
+        parts = t.column("_r").to_pylist()
+        coef = var = None
+        if rows >= p and all(parts):
+            r = np.zeros((0, p + 1))
+            for b in parts:
+                r = _factor(np.vstack([r, np.frombuffer(b).reshape(-1, p + 1)]))
+            if len(r) >= p and np.linalg.cond(r[:p, :p]) < MAX_CONDITION:
+                inverse = np.linalg.inv(r[:p, :p])
+                coef, var = (inverse @ r[:p, p]).tolist(), (inverse * inverse).sum(1).tolist()
+        own = t.select(keys).take(np.zeros(1, np.int64))
+        kind = pa.list_(pa.float64())
+        return pa.table({**{k: own.column(k) for k in keys}, "rows": [rows], "_chi": [chi], "coef": pa.array([coef], kind), "var": pa.array([var], kind)})
+
+    vector = T.ArrayType(T.DoubleType())
+    number = [T.StructField(c, T.DoubleType()) for c in ("rows", "_chi")]
+    parts = blocks.mapInArrow(share, T.StructType([*fields, *number, T.StructField("_r", T.BinaryType())]))
+    return parts.groupBy(*keys).applyInArrow(solve, T.StructType([*fields, *number, T.StructField("coef", vector), T.StructField("var", vector)]))
+
+
 def quasibinomial(
     df: DataFrame, keys: Sequence[str], p: int, x: str = "x", y: str = "y", n: str = "n_samples", weight: str | None = None,
     max_rounds: int = 100, tol: float = 1e-9,
@@ -82,35 +141,24 @@ def quasibinomial(
 
     ``weight`` is a row multiplicity. Groups with fewer rows than columns, singular ones and those that still move
     after ``max_rounds`` give NULL coefficients and are not ``converged``. A group that has come to rest is not fitted
-    again; the driver only learns how many still move.
+    again; the driver only learns how many still move. A round sends one triangular factor of p + 1 columns per block of
+    rows, whatever their number; least squares by factors keep nearly collinear seasons that normal equations would lose.
     """
     keys = list(keys)
     m = F.col(weight).cast("double") if weight else F.lit(1.0)
-    d = df.select(*keys, x, clip(y, *CLIP).alias("_y"), F.col(n).cast("double").alias("_n"), m.alias("_m")).where(F.col("_y").isNotNull())
-    xs = [F.col(x)[i] for i in range(p)]
-
-    def normal(rows: DataFrame, mu: Column, eta: Column) -> DataFrame:
-        r = rows.withColumn("_mu", mu).withColumn("_eta", eta)
-        v = F.col("_mu") * (F.lit(1.0) - F.col("_mu"))
-        r = r.withColumn("_w", F.col("_m") * F.col("_n") * v).withColumn("_z", F.col("_eta") + (F.col("_y") - F.col("_mu")) / v)
-        tri = [F.sum(F.col("_w") * xs[i] * xs[j]).alias(f"_a{i}_{j}") for i in range(p) for j in range(i, p)]
-        rhs = [F.sum(F.col("_w") * xs[i] * F.col("_z")).alias(f"_b{i}") for i in range(p)]
-        chi = F.sum(F.col("_m") * F.col("_n") * F.pow(F.col("_y") - F.col("_mu"), F.lit(2.0)) / v).alias("_chi")
-        g = r.groupBy(*keys).agg(*tri, *rhs, chi, F.sum("_m").alias("rows"))
-        a = F.array(*[F.col(f"_a{i}_{j}") for i in range(p) for j in range(i, p)])
-        out = g.withColumn("_s", _solve(a, F.array(*[F.col(f"_b{i}") for i in range(p)])))
-        ok = F.col("rows") >= p
-        return out.select(*keys, "rows", "_chi", F.when(ok, F.col("_s.coef")).alias("coef"), F.when(ok, F.col("_s.var")).alias("var"))
-
-    mu0 = (F.col("_y") + 0.5) / 2.0
-    moving = cut(normal(d, mu0, F.log(mu0 / (F.lit(1.0) - mu0))))
+    d = df.select(*keys, F.col(x).alias("_x"), clip(y, *CLIP).alias("_y"), F.col(n).cast("double").alias("_n"), m.alias("_m"))
+    d = d.where(F.col("_y").isNotNull() & F.col("_n").isNotNull() & F.col("_m").isNotNull() & F.col("_x").isNotNull() & ~F.exists("_x", F.isnull))
+    blocks = _packed(d, keys, p)
+    own = [F.col(f"a.{k}") for k in keys]
+    moving = cut(_round(blocks, keys, p))
     done = [moving.where(F.col("coef").isNull()).withColumn("converged", F.lit(False))]
     moving = moving.where(F.col("coef").isNotNull())
     for _ in range(max_rounds):
         prev = moving.select(*keys, F.col("coef").alias("_c"))
-        rows = d.join(prev, keys).withColumn("_e", _dot(F.col(x), F.col("_c")))
-        nxt = normal(rows, F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_e"))), F.col("_e")).join(prev, keys)
-        step = F.array_max(F.zip_with("coef", "_c", lambda a, b: F.abs(a - b)))
+        met = blocks.alias("a").join(prev.alias("b"), same("a", "b", keys)).select(*own, "_data", "_c")
+        nxt = _round(met, keys, p)
+        nxt = nxt.alias("a").join(prev.alias("b"), same("a", "b", keys)).select(*own, "rows", "_chi", "coef", "var", "_c")
+        step = F.array_max(F.zip_with("coef", "_c", lambda a, b: F.abs(a - b) / F.greatest(F.lit(1.0), F.abs(a))))
         nxt = cut(nxt.withColumn("converged", F.coalesce(step < tol, F.lit(False))).drop("_c"))
         done.append(nxt.where("converged or coef is null"))
         moving = nxt.where("not converged and coef is not null").drop("converged")
@@ -280,7 +328,7 @@ def predict(df: DataFrame, coef: DataFrame, keys: Sequence[str], x: str = "x") -
 
 
 def meta_response(
-    df: DataFrame, site: Sequence[str], instrument: str = "instrument", terms: int = 12, replicates: int = 10_000, min_replicates: int = 100,
+    df: DataFrame, site: Sequence[str], instrument: str = "instrument", terms: int = 2, replicates: int = 10_000, min_replicates: int = 100,
     alpha: float = 0.05, block: int = 60, seed: int = 0,
 ) -> DataFrame:
     """Instruments fitted apart, effects weighted by sample share, replicates (in the same shares) pooled per site."""

@@ -320,3 +320,28 @@ def test_running_mean_short_series(spark):
     rows = [("a", dt.date(2001, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(5)] + [("b", dt.date(2001, 1, 1), 1.0)]
     r = ag.running_mean(spark.createDataFrame(rows, "site string, date date, value double"), ["site"]).orderBy("date").collect()
     assert [x.running for x in r] == [1.0, 1.5, 2.0, 2.5, 3.0]
+
+
+def test_regression_by_factors(spark, monkeypatch):
+    """Blocks of few rows, NULL keys and a nearly collinear column give numpy's weighted fit; a singular one gives NULL."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for key, wobble in (("a", 1.0), (None, 1.0), ("near", 1e-6), ("singular", 0.0)):
+        for i in range(200):
+            t = i / 200
+            x = [1.0, t, t + wobble * rng.normal()]
+            rows.append((key, x, float(1 / (1 + np.exp(-(0.3 + 0.8 * t + 0.1 * rng.normal())))), float(rng.integers(5, 20))))
+    df = spark.createDataFrame(rows, "k string, x array<double>, y double, n_samples double").repartition(5)
+    monkeypatch.setattr(rs, "BLOCK_ROWS", 7)
+    got = {r.k: r for r in rs.quasibinomial(df, ["k"], 3).collect()}
+    assert set(got) == {"a", None, "near", "singular"} and got["singular"].coef is None and not got["singular"].converged
+    for key in ("a", None, "near"):
+        mine = [r for r in rows if r[0] == key]
+        x, y, n = (np.array([r[i] for r in mine]) for i in (1, 2, 3))
+        b = np.zeros(3)
+        for _ in range(50):
+            mu = 1 / (1 + np.exp(-(x @ b)))
+            w = np.sqrt(n * mu * (1 - mu))
+            b = np.linalg.lstsq(w[:, None] * x, w * (x @ b + (y - mu) / (mu * (1 - mu))), rcond=1e-15)[0]
+        assert got[key].converged and got[key].rows == 200
+        assert x @ np.array(got[key].coef) == pytest.approx(x @ b, abs=1e-7)
