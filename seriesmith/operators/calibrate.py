@@ -6,14 +6,17 @@ below run per site, instrument and calibration segment.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..core import cut
-from ..functions import arrays as ar
 from .joins import segment_of
 
 # Windows in years with their labels, quantile, counts and the multiple-scattering factor.
@@ -35,36 +38,59 @@ def prepare_targets(df: DataFrame, keys: Sequence[str], date: str = "date") -> D
     return df.where(F.col(date).isNotNull()).select(*keys, date).distinct()
 
 
+def _window_quantiles(t: np.ndarray, v: np.ndarray, at: np.ndarray, half: int, q: float, least: int) -> np.ndarray:
+    """Quantile of the values with times in (x - half, x + half] for each x of ``at``; NaN under ``least`` values.
+
+    Times are sorted. The window's values stay in order: the next x lets some in and some out.
+    """
+    first, stop = np.searchsorted(t, at - half, "right").tolist(), np.searchsorted(t, at + half, "right").tolist()
+    out, now, a, b = np.full(len(at), np.nan), [], 0, 0
+    values = v.tolist()
+    for i, (x, y) in enumerate(zip(first, stop, strict=True)):
+        if y - x < max(least, 1):
+            continue
+        if x >= b:
+            now = sorted(values[x:y])
+        else:
+            for come in values[b:y]:
+                insort(now, come)
+            for gone in values[a:x]:
+                del now[bisect_left(now, gone)]
+        a, b = x, y
+        pos = (len(now) - 1) * q
+        k = int(pos)
+        out[i] = now[k] + (now[min(k + 1, len(now) - 1)] - now[k]) * (pos - k)
+    return out
+
+
 def rolling_quantile(
     df: DataFrame, keys: Sequence[str], date: str = "date", value: str = "lidar_ratio", window_min: int = WINDOW_MIN, q: float = QUANTILE
 ) -> DataFrame:
     """Centred time-window quantile; the first of 2, 3 and 4 years with enough values gives the result and the label.
 
-    The frame of width w around t is (t - w/2, t + w/2].
+    The frame of width w around t is (t - w/2, t + w/2]. A segment's daily rows (bounded by the calendar) meet in one task,
+    which runs once over them per width, and over the wider ones only for rows that lack values. NULL and NaN values don't
+    count; rows without a date get NULL.
     """
-    us = F.unix_micros(F.col(date).cast("timestamp"))
-    half = lambda years: int(years * YEAR_US / 2)
-    # the widest frame is collected once (daily candidates: at most some 1500 values); narrower ones are cut out of it
-    widest = half(max(y for y, _ in WINDOWS))
-    w = W.partitionBy(*keys).orderBy("_us").rangeBetween(-widest + 1, widest)
-    d = df.withColumn("_us", us)
-    d = d.withColumn("_l", F.collect_list(F.when(F.col(value).isNotNull(), F.struct("_us", F.col(value).alias("v")))).over(w))
-
-    def quantile(years: float, label: str) -> Column:
-        h = half(years)
-        near = ar.let(F.col("_us"), lambda t: F.filter("_l", lambda s: (s["_us"] > t - h) & (s["_us"] <= t + h)))
-
-        def at(v):
-            pos = (F.size(v) - 1) * F.lit(q)
-            i = F.floor(pos).cast("int")
-            x0, x1 = F.get(v, i), F.get(v, F.least(i + 1, F.size(v) - 1))
-            return F.when(F.size(v) >= window_min, F.struct((x0 + (x1 - x0) * (pos - i)).alias("rolling"), F.lit(label).alias("label")))
-
-        return ar.let(F.sort_array(F.transform(near, lambda s: s["v"])), at)
-
-    # coalesce stops at the first window with enough values
-    d = d.withColumn("_p", F.coalesce(*[quantile(y, lab) for y, lab in WINDOWS]))
-    return d.withColumn("rolling", F.col("_p.rolling")).withColumn("label", F.col("_p.label")).drop("_us", "_l", "_p")
+    keys = list(keys)
+    schema = T.StructType([*df.schema, T.StructField("rolling", T.DoubleType()), T.StructField("label", T.StringType())])
+
+    def run(t: pa.Table) -> pa.Table:
+        us = t.column("_us").to_numpy()
+        dated = np.flatnonzero(~np.isnan(us)) if us.dtype.kind == "f" else np.arange(len(us))
+        order = dated[np.argsort(us[dated], kind="stable")]
+        at = us[order].astype(np.int64)
+        v = t.column(value).cast(pa.float64()).to_numpy()[order]
+        has = ~np.isnan(v)
+        rolling, label, open_ = np.full(len(us), np.nan), np.full(len(us), None, object), np.arange(len(at))
+        for years, name in WINDOWS:
+            got = _window_quantiles(at[has], v[has], at[open_], int(years * YEAR_US / 2), q, window_min)
+            met = ~np.isnan(got)
+            rolling[order[open_[met]]], label[order[open_[met]]] = got[met], name
+            open_ = open_[~met]
+        return t.drop_columns(["_us"]).append_column("rolling", pa.array(rolling, from_pandas=True)).append_column("label", pa.array(label, pa.string()))
+
+    return df.withColumn("_us", F.unix_micros(F.col(date).cast("timestamp"))).groupBy(*keys).applyInArrow(run, schema)
 
 
 def interpolate(df: DataFrame, keys: Sequence[str], date: str, value: str) -> Column:

@@ -174,3 +174,27 @@ def test_climatology_of_null_keys(spark):
     assert sorted((r.site or "", r.value) for r in got) == [("", 1.0), ("", 3.0), ("", 5.0), ("a", 1.0), ("a", 3.0), ("a", 5.0)]
     shared = ag.shared_climatology(df.where("value = value and not isnan(value)"), ["site"]).collect()
     assert {r.site for r in shared} == {"a", None} and len(shared) == 2 * 2 * len({r.doy for r in shared})
+
+
+def test_rolling_quantile_against_every_window(spark):
+    """Widths, gaps, equal values, NULL and NaN: each row against a plain cut of its window; NULL keys are segments too."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for key in ("a", None):
+        days = sorted({int(x) for x in np.r_[rng.integers(0, 900, 60), rng.integers(2500, 4000, 90), rng.integers(5200, 5230, 4), np.arange(8000, 11000, 60)]})
+        for d in days:
+            v = None if rng.random() < 0.1 else float("nan") if rng.random() < 0.03 else float(np.round(rng.normal(20, 3)))
+            rows.append((key, D0 + dt.timedelta(days=d), v))
+    df = spark.createDataFrame(rows, "k string, date date, lidar_ratio double")
+    got = {(r.k, r.date): (r.rolling, r.label) for r in ca.rolling_quantile(df, ["k"], window_min=20).collect()}
+    assert len(got) == len(rows) and {x[1] for x in got.values()} == {None, *(n for _, n in ca.WINDOWS)}
+    day = 86400 * 1_000_000
+    for key, d, _ in rows:
+        want = (None, None)
+        for years, name in ca.WINDOWS:
+            half = int(years * ca.YEAR_US / 2)
+            near = [v for k, x, v in rows if k == key and v is not None and v == v and -half < (x - d).days * day <= half]
+            if len(near) >= 20:
+                want = (pytest.approx(np.quantile(near, ca.QUANTILE)), name)
+                break
+        assert got[key, d] == want
