@@ -77,6 +77,19 @@ def longest_true_run(flags: Column) -> Column:
     )
 
 
+def run_lengths(flags: Column) -> Column:
+    """How many true entries in a row end at each place (0 at a false or NULL one), linear in the length.
+
+    Each false place opens a stretch 0, 1, 2 ... up to the next one; the first stretch opens before the array.
+    """
+    def stretches(f):
+        stops = F.filter(indices(f), lambda i: ~F.coalesce(F.get(f, i), F.lit(False)))
+        ends = F.zip_with(F.concat(F.array(F.lit(-1)), stops), F.concat(stops, F.array(F.size(f))), lambda a, b: F.sequence(F.lit(0), b - a - 1))
+        return F.slice(F.flatten(ends), F.lit(2), F.size(f))
+
+    return let(flags, stretches)
+
+
 def nan_trapz(y: Column, x: Column) -> Column:
     """Trapezoid rule over the points where both coordinates exist; NULL below two points."""
     pts = F.filter(F.zip_with(y, x, lambda a, b: F.struct(a.alias("y"), b.alias("x"))), lambda p: p["y"].isNotNull() & p["x"].isNotNull())

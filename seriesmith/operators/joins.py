@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..core import cut
+from ..core import cut, same
 from ..functions.scalar import haversine_m
 
 # Days on either side in which a lower-ranked instrument is dropped.
@@ -62,36 +64,47 @@ def priority_gap_fill(
     return df.groupBy(*keys).agg(*aggs)
 
 
-def instrument_ranks(df: DataFrame, site: Sequence[str], instrument: str, date: str, value: str) -> DataFrame:
-    """Rank of instruments per site: most valid days, then earliest first day, then name."""
-    ok = F.when(F.col(value).isNotNull(), F.col(date))
-    a = df.groupBy(*site, instrument).agg(F.countDistinct(ok).alias("_n"), F.min(ok).alias("_first"))
-    w = W.partitionBy(*site).orderBy(F.desc("_n"), F.asc("_first"), F.asc(instrument))
-    return a.withColumn("rank", F.row_number().over(w)).drop("_n", "_first")
-
-
 def overlap_exclusion(
     df: DataFrame, site: Sequence[str], instrument: str, window: int, date: str = "date", value: str = "value"
 ) -> DataFrame:
-    """Drop samples of lower-ranked instruments within +-window days of a valid kept day of a higher rank.
+    """Drop samples of lower-ranked instruments within +-window days of a valid kept day of a higher rank; adds the rank.
 
-    One pass per rank (a site has few instruments); the kept days of the
-    higher ranks are a small distinct table that is checkpointed each round.
+    Ranks: most valid days, then earliest first day, then name. The valid days of a site's instruments (bounded by the
+    calendar) meet in one row each; days blocked for an instrument come back as a bit set, which its samples look up: no
+    round per rank and no day is exploded. Rows without a date stay; NULL sites and instruments are sites and instruments.
     """
     site = list(site)
-    ranked = cut(df.join(instrument_ranks(df, site, instrument, date, value), [*site, instrument]))
-    top = ranked.agg(F.max("rank")).first()[0] or 0
-    kept, blocked = None, None
-    for r in range(1, top + 1):
-        cur = ranked.where(F.col("rank") == r)
-        if blocked is not None:
-            cur = cur.join(blocked, [*site, date], "left_anti")
-        kept = cur if kept is None else kept.unionByName(cur)
-        if r < top:
-            around = F.explode(F.sequence(F.date_add(date, -window), F.date_add(date, window)))
-            days = cur.where(F.col(value).isNotNull()).select(*site, date).distinct().select(*site, around.alias(date))
-            blocked = cut((days if blocked is None else blocked.unionByName(days)).distinct())
-    return kept
+    own = [*site, instrument]
+    day = F.when(F.col(value).isNotNull(), F.datediff(F.col(date).cast("date"), F.lit("1970-01-01").cast("date")))
+    days = df.groupBy(*own).agg(F.sort_array(F.collect_set(day)).alias("_days"))
+    fields = [days.schema[k] for k in own]
+    extra = [T.StructField("rank", T.IntegerType()), T.StructField("_base", T.LongType()), T.StructField("_bits", T.ArrayType(T.LongType()))]
+
+    def block(t: pa.Table) -> pa.Table:
+        names, valid = t.column(instrument).to_pylist(), [np.array(d, np.int64) for d in t.column("_days").to_pylist()]
+        order = sorted(range(len(names)), key=lambda i: (-len(valid[i]), valid[i][0] if len(valid[i]) else 0, names[i] is not None, names[i] or ""))
+        every = np.concatenate(valid)
+        base = int(every.min(initial=0)) - window if len(every) else 0
+        size = int(every.max()) + window + 1 - base if len(every) else 0
+        size += -size % 64
+        blocked, rank, bits = np.zeros(size, bool), [0] * len(names), [[]] * len(names)
+        for r, i in enumerate(order, 1):
+            rank[i], bits[i] = r, np.packbits(blocked, bitorder="little").view(np.int64).tolist()
+            kept = valid[i][~blocked[valid[i] - base]] - base
+            edge = np.zeros(size + 1, np.int64)
+            np.add.at(edge, kept - window, 1)
+            np.add.at(edge, kept + window + 1, -1)
+            blocked |= np.cumsum(edge)[:-1] > 0
+        return t.select(own).append_column("rank", pa.array(rank, pa.int32())).append_column("_base", pa.array([base] * len(rank), pa.int64())).append_column(
+            "_bits", pa.array(bits, pa.list_(pa.int64())))
+
+    marks = days.groupBy(*site).applyInArrow(block, T.StructType([*fields, *extra]))
+    met = df.alias("a").join(marks.alias("b"), same("a", "b", own)).select("a.*", "rank", "_base", "_bits")
+    at = F.datediff(F.col(date).cast("date"), F.lit("1970-01-01").cast("date")) - F.col("_base")
+    word = F.get("_bits", F.floor(at / 64).cast("int"))
+    hit = F.expr("shiftright(_word, cast(pmod(_at, 64) as int)) & 1")
+    met = met.withColumns({"_word": word, "_at": at}).where(F.coalesce(hit, F.lit(0).cast("long")) == 0)
+    return met.drop("_base", "_bits", "_word", "_at")
 
 
 def segment_of(df: DataFrame, breakpoints: DataFrame, keys: Sequence[str], date: str = "date", bp: str = "breakpoint") -> DataFrame:

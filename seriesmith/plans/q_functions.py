@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from ..core import r6
 from ..functions import calendar as cal
 from ..functions import scalar as fn
-from ..functions.solar import DECLINATION, EQ_TIME, solar_zenith
+from ..functions import solar
+from ..functions.solar import solar_zenith
 from ..operators import aggregate as ag
 from .inputs import EV, ORD, R, SITES, event_samples, orders_series, sites, table, with_
 from .registry import query
@@ -31,17 +32,18 @@ def fn_month(spark, sf):
 
 
 def zenith_sql(t: str, lat: str, lon: str) -> str:
-    e = [f"{x!r}e0" for x in EQ_TIME]
-    e = [f"CAST({x} AS DOUBLE)" for x in EQ_TIME]
-    d = [f"CAST({x} AS DOUBLE)" for x in DECLINATION]
-    hour = f"(hour({t}) + minute({t}) / 60e0 + second({t}) / 3600e0)"
-    g = f"(2e0 * {PI} / 365e0 * (dayofyear({t}) - 1 + ({hour} - 12e0) / 24e0))"
-    eq = f"(229.18e0 * ({e[0]} + {e[1]} * cos({g}) + {e[2]} * sin({g}) + {e[3]} * cos({g} * 2) + {e[4]} * sin({g} * 2)))"
-    de = (f"({d[0]} + {d[1]} * cos({g}) + {d[2]} * sin({g}) + {d[3]} * cos({g} * 2) + {d[4]} * sin({g} * 2) "
-          f"+ {d[5]} * cos({g} * 3) + {d[6]} * sin({g} * 3))")
-    ha = f"radians(({hour} * 60e0 + {eq} + {lon} * 4e0) / 4e0 - 180e0)"
+    n = lambda x: f"CAST({x!r} AS DOUBLE)"
+    days = f"((epoch_us({t}::TIMESTAMP) / 1e6 - {solar.EPOCH}) / 86400e0)"
+    c = f"({days} / 36525e0)"
+    poly = lambda p: "(" + " + ".join([n(p[0]), *[" * ".join([c] * k) + f" * {n(x)}" for k, x in enumerate(p[1:], 1)]]) + ")"
+    m, node = f"radians({poly(solar.ANOMALY)})", f"radians({poly(solar.NODE)})"
+    centre = f"(sin({m}) * {poly(solar.CENTRE[0])} + sin({m} * 2) * {poly(solar.CENTRE[1])} + sin({m} * 3) * {poly(solar.CENTRE[2])})"
+    ap = f"radians({poly(solar.LONGITUDE)} + {centre} + {n(solar.ABERRATION)} + sin({node}) * {n(solar.NUTATION)})"
+    tilt = f"radians({poly(solar.OBLIQUITY)} + cos({node}) * {n(solar.NUTATION_OBLIQUITY)})"
+    side = f"radians({n(solar.SIDEREAL[0])} + {days} * {n(solar.SIDEREAL[1])} + sin({node}) * {n(solar.NUTATION)} * cos({tilt}) + {lon})"
+    ra, de = f"atan2(cos({tilt}) * sin({ap}), cos({ap}))", f"asin(sin({tilt}) * sin({ap}))"
     return (f"degrees(acos(greatest(-1e0, least(1e0, sin(radians({lat})) * sin({de}) + "
-            f"cos(radians({lat})) * cos({de}) * cos({ha})))))")
+            f"cos(radians({lat})) * cos({de}) * cos({side} - {ra})))))")
 
 
 @query("fn_solar_zenith", f"""SELECT event_id, {R(zenith_sql('ts', '(CAST(user_id % 140 AS DOUBLE) - 70e0)', '(CAST(user_id % 360 AS DOUBLE) - 180e0)'), 5)} AS zenith FROM events""")

@@ -50,11 +50,9 @@ def pf_negative_runs(spark, sf):
 
 @query("win_run_length", with_(PF, RUN) + "SELECT id, i - 1 AS gate, CASE WHEN neg THEN run ELSE 0 END AS run FROM rl")
 def win_run_length(spark, sf):
-    """Consecutive-true counter along the gates, as a running array."""
+    """Consecutive-true counter along the gates."""
     neg = F.transform("beta_raw", lambda x, i: (x < 0) & (i >= 2) & (i < 60))
-    run = F.aggregate(neg, F.array().cast("array<bigint>"), lambda a, x: F.array_append(
-        a, F.when(x, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + 1).otherwise(F.lit(0).cast("bigint"))))
-    return profiles(spark, sf).select("id", F.posexplode(run).alias("gate", "run"))
+    return profiles(spark, sf).select("id", F.posexplode(ar.run_lengths(neg)).alias("gate", "run")).withColumn("run", F.col("run").cast("bigint"))
 
 
 @query("pf_fog_above_peak", with_(PF, "pk AS (SELECT id, arg_max(i, struct_pack(a := b, b := -i)) AS peak FROM g GROUP BY id)") +
