@@ -65,6 +65,13 @@ def require_columns(df: DataFrame, columns: Sequence[str], what: str = "table")
     return df
 
 
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """The frame itself; without rows, an error that names it."""
+    if df.isEmpty():
+        raise ValueError(f"no rows in {what}")
+    return df
+
+
 def same(a: str, b: str, keys: Sequence[str]) -> Column:
     """Null-safe equality of the keys of two aliased frames."""
     cond = F.lit(True)

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import same
+from ..core import require_rows, same
 from ..functions import calendar as cal
 
 DAY_ZENITH = 85.0
@@ -150,8 +150,10 @@ def doy_window(daily: DataFrame, n_days: int = 31, date: str = "date", doy: str
     return daily.withColumn("_k", k).withColumn(doy, F.pmod(cal.noleap_doy(date) - 1 + F.col("_k"), F.lit(365)) + 1).drop("_k")
 
 
-def reference_period(df: DataFrame, first: str, last: str, date: str = "date") -> DataFrame:
-    return df.where(F.col(date).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+def reference_period(df: DataFrame, first: str, last: str, date: str = "date", required: bool = False) -> DataFrame:
+    """Rows of the period; none at all is an error where they are ``required``."""
+    out = df.where(F.col(date).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return require_rows(out, f"the reference period {first} to {last}") if required else out
 
 
 def drop_leap_days(df: DataFrame, date: str = "date") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core import require_columns
+from ..core import require_columns, same
 from ..functions import arrays as ar
 
 # Instrument types in search order with other names, scaling, network calibration and lidar ratio.
@@ -210,11 +210,27 @@ def day_clip(df: DataFrame, time: str = "time", day: str = "day") -> DataFrame:
 def coverage_mask(df: DataFrame, coverage: DataFrame, keys: Sequence[str], date: str = "date", value: str = "value") -> DataFrame:
     """NULL outside the reference's effective window."""
     c = coverage.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return df.join(c, list(keys)).withColumn(value, F.when(F.col(date).between(F.col("_s"), F.col("_e")), F.col(value))).drop("_s", "_e")
+    met = df.alias("a").join(c.alias("b"), same("a", "b", keys)).select("a.*", "_s", "_e")
+    return met.withColumn(value, F.when(F.col(date).between(F.col("_s"), F.col("_e")), F.col(value))).drop("_s", "_e")
 
 
-def choose_granularity(df: DataFrame, granularity: DataFrame) -> DataFrame:
-    """Rows of the frequency configured for their site; sites without configuration are skipped."""
+# Frequencies that series come in.
+GRANULARITIES = ("daily", "3day", "weekly", "monthly")
+
+
+def choose_granularity(df: DataFrame, granularity: DataFrame, frequencies: Sequence[str] = GRANULARITIES, strict: bool = False) -> DataFrame:
+    """Rows of the frequency configured for their site; sites without configuration are skipped.
+
+    An unsupported frequency is an error; ``strict``, so is a configured site without rows. The configuration has a row per
+    site; only what is wrong with it reaches the driver.
+    """
+    wrong = granularity.where(F.col("freq").isNull() | ~F.col("freq").isin(*frequencies)).select("site", "freq").first()
+    if wrong:
+        raise ValueError(f"unsupported frequency {wrong['freq']!r} of site {wrong['site']!r}")
+    if strict:
+        unknown = granularity.select("site").join(df.select("site").distinct(), "site", "left_anti").first()
+        if unknown:
+            raise ValueError(f"unknown site {unknown['site']!r}")
     return df.join(granularity.select("site", "freq"), ["site", "freq"])
 
 

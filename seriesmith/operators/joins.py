@@ -107,6 +107,17 @@ def overlap_exclusion(
     return met.drop("_base", "_bits", "_word", "_at")
 
 
+def mask_by_zenith(samples: DataFrame, zenith: DataFrame, keys: Sequence[str], keep: Column, value: str = "value", angle: str = "z") -> DataFrame:
+    """Samples with their value kept where ``keep``, a condition on the angle, holds; NULL elsewhere and without an angle.
+
+    ``zenith`` may hold a place and time more than once (grids overlap): the largest angle counts.
+    """
+    keys = list(keys)
+    one = zenith.groupBy(*keys).agg(F.max(angle).alias(angle))
+    met = samples.alias("a").join(one.alias("b"), same("a", "b", keys), "left").select("a.*", angle)
+    return met.withColumn(value, F.when(keep, F.col(value))).drop(angle)
+
+
 def segment_of(df: DataFrame, breakpoints: DataFrame, keys: Sequence[str], date: str = "date", bp: str = "breakpoint") -> DataFrame:
     """Number of breakpoints at or before each date: a breakpoint opens a new segment.
 

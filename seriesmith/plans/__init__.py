@@ -1,7 +1,7 @@
 import importlib
 
 MODULES = ("q_sources", "q_clean", "q_profile", "q_columns", "q_joins", "q_aggregate", "q_windows", "q_functions",
-           "q_trend", "q_calibrate", "q_response", "q_compare", "q_streaming")
+           "q_trend", "q_calibrate", "q_response", "q_compare", "q_products", "q_streaming")
 
 
 def load_all() -> None:

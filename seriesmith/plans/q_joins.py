@@ -81,8 +81,8 @@ def jn_combine_series(spark, sf):
 @query("jn_zenith_align", with_(EV, "za AS (SELECT site, time, max(event_id % 100) + 0e0 AS z FROM e WHERE event_id % 4 <> 0 GROUP BY ALL)") + "SELECT event_id, CASE WHEN z > 50 THEN value END AS value FROM e LEFT JOIN za USING (site, time)")
 def jn_zenith_align(spark, sf):
     e = event_samples(spark, sf)
-    z = e.where(F.pmod("event_id", F.lit(4)) != 0).groupBy("site", "time").agg(F.max(F.pmod("event_id", F.lit(100))).cast("double").alias("z"))
-    return e.join(z, ["site", "time"], "left").select("event_id", F.when(F.col("z") > 50, F.col("value")).alias("value"))
+    z = e.where(F.pmod("event_id", F.lit(4)) != 0).select("site", "time", F.pmod("event_id", F.lit(100)).cast("double").alias("z"))
+    return jn.mask_by_zenith(e, z, ["site", "time"], F.col("z") > 50).select("event_id", "value")
 
 
 BPS = "bp AS (SELECT DISTINCT site, instrument, date_trunc('year', date)::DATE + 45 AS bp FROM o WHERE k % 7 = 0)"

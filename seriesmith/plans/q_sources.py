@@ -58,10 +58,8 @@ def src_catalog_dir_dates(spark, sf):
 @query("src_catalog_sorted", with_(LIST, PARSED) + "SELECT path, date, CAST(row_number() OVER (PARTITION BY site, date ORDER BY path, k) AS BIGINT) AS pos FROM pq")
 def src_catalog_sorted(spark, sf):
     """The catalogue in time order by range partitions; positions within a site's day show the order."""
-    from ..operators import setops as so
-
     c = cat.parse_daily(listing(spark, sf)).select("site", "date", "path", "k")
-    return so.series_positions(c, ["site", "date"], ["path", "k"]).select("path", "date", "pos")
+    return cat.in_order(c, ["site", "date"], ["path", "k"]).select("path", "date", "pos")
 
 
 CER = "cf AS (SELECT CASE WHEN k % 50 = 0 THEN 'bad_' || k ELSE 'CER_SYN1deg-1Hour_Terra-Aqua_Edition4A_40' || CAST(k % 8 AS VARCHAR) || '.' || strftime(date, '%Y%m%d') || '.hdf' END AS file, k FROM o)"

@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import require_rows
+from ..operators.setops import series_positions
+
 
 def discover(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Files below a root; the content column is pruned, so only listings are read."""
@@ -38,6 +41,11 @@ def parse_daily(listing: DataFrame, name_pattern: str = r"/([^/]+)/\d{4}/\d{2}/\
     )
 
 
+def in_order(catalogue: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The catalogue with each row's place in its series; an empty catalogue is an error, as a missing one is for the reader."""
+    return series_positions(require_rows(catalogue, "the catalogue"), keys, order)
+
+
 def expand_sites(files: DataFrame, sites: DataFrame, key: str = "site") -> tuple[DataFrame, DataFrame]:
     """Catalogue rows with the site's name, and the rejected rows with a reason."""
     j = files.join(sites, key, "left")
