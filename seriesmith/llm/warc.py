@@ -32,6 +32,8 @@ VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Size at which the writer opens the next file, 1 GB by the format's custom.
+MAX_BYTES = 1 << 30
 MIN_REVISIT = 100
 
 
@@ -57,8 +59,12 @@ def store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """Writes the archives into ``folder`` (on a store all executors reach); returns file, records and bytes."""
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT,
+          max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Writes the archives into ``folder`` (on a store all executors reach); returns file, records and bytes.
+
+    A file that has reached ``max_bytes`` is closed and the next one opened: the reader takes a file as one value.
+    """
     html = F.coalesce(pages[html_col], F.lit(""))
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     large = F.octet_length("html") >= min_revisit
@@ -71,24 +77,35 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         files, base = store(folder)
-        final = f"{base}/part-{context.partitionId():06d}.warc.gz"
-        temp = f"{base}/_{context.partitionId():06d}-{context.taskAttemptId()}"
-        n, out = 0, None
+        name = f"part-{context.partitionId():06d}-"
+        temp = lambda k: f"{base}/_{context.partitionId():06d}-{context.taskAttemptId()}-{k:04d}"
+        out, sizes, counts = None, [], []
         for batch in batches:
             for page, url, text, digest, refers in zip(*batch.columns, strict=True):
                 if out is None:
-                    out = files.open_output_stream(temp, compression=None)
+                    out = files.open_output_stream(temp(len(sizes)), compression=None)
+                    counts.append(0)
                 page, refers = page.as_py(), refers.as_py()
                 raw = text.as_buffer()
                 raw = raw.to_pybytes() if raw is not None else b""
                 kind = "response" if refers is None else "revisit"
                 out.write(member(record(kind, "" if page is None else str(page), url.as_py(), digest.as_py(), raw if refers is None else None, len(raw), refers)))
-                n += 1
+                counts[-1] += 1
+                if out.tell() >= max_bytes:
+                    sizes.append(out.tell())
+                    out.close()
+                    out = None
         if out is not None:
-            size = out.tell()
+            sizes.append(out.tell())
             out.close()
-            files.move(temp, final)
-            yield pa.RecordBatch.from_arrays([pa.array([final]), pa.array([n]), pa.array([size])], ["file", "records", "bytes"])
+        final = [f"{base}/{name}{k:04d}.warc.gz" for k in range(len(sizes))]
+        for k, path in enumerate(final):
+            files.move(temp(k), path)
+        # a lost attempt may have left more files than this one has
+        for old in files.get_file_info(pafs.FileSelector(base)):
+            if old.base_name.startswith(name) and old.base_name not in {p.rsplit("/", 1)[1] for p in final}:
+                files.delete_file(old.path)
+        yield pa.RecordBatch.from_arrays([pa.array(final, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["file", "records", "bytes"])
 
     return cut(met.mapInArrow(run, "file string, records long, bytes long"))
 
