@@ -42,6 +42,12 @@ def test_archives_round_trip(spark):
     assert sorted(((r.record_id, r.payload_bytes, r.payload_digest, r.type, r.refers_to) for r in got), key=repr) == expected(rows)
     assert all(bytes(r.payload) == PAYLOAD.encode() for r in got if r.type == "response" and r.payload_bytes == len(PAYLOAD.encode()))
     assert {r.uri for r in got if r.record_id == "61"} == {"http://b%0D%0AX: y"}
+    small = scratch_path(spark, "warc-small")  # many small files, over what a lost attempt left behind
+    warc.write(frame(spark, rows, PAGES).coalesce(1), small, max_bytes=1)
+    names = {f.rsplit("/", 1)[1] for f in warc.write(frame(spark, rows, PAGES).coalesce(1), small, max_bytes=2000).toPandas().file}
+    again = warc.read(spark, small)
+    assert 1 < len(names) < len(rows) and again.select("file").distinct().count() == len(names)
+    assert sorted(((r.record_id, r.payload_bytes, r.payload_digest, r.type, r.refers_to) for r in again.collect()), key=repr) == expected(rows)
     empty = scratch_path(spark, "warc-empty")
     warc.write(frame(spark, [], PAGES), empty)
     assert warc.read(spark, empty).collect() == []
@@ -126,6 +132,8 @@ def test_toxicity_learns_and_ignores_group_mentions(spark):
         scores[fairness] = {r.id: r.score for r in toxicity.score(docs, model).collect()}
         hit = [(scores[fairness][i] >= 0.5) == bool(y) for i, y in labels if __import__("zlib").crc32(str(i).encode()) % 5 == 0]
         assert sum(hit) / len(hit) > 0.95
+    many = frame(spark, [*rows, *[(1, f"one more text {k}") for k in range(50)]], "doc_id long, text string")
+    assert toxicity.training_rows(many, lab).count() == toxicity.training_rows(docs, lab).count() == len({i for i, _ in labels if i != 2 and __import__("zlib").crc32(str(i).encode()) % 5}) + (2 in dict(labels))
     got = scores[50.0]
     assert got[900] == got[901] and 0 <= got[900] < 0.5
     gap = lambda s: abs(np.log(s[902] / (1 - s[902])) - np.log(s[903] / (1 - s[903])))
