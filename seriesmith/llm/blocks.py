@@ -86,7 +86,9 @@ def exchange(docs: DataFrame, ask: Callable[[pa.Table], list[Items]], use: Calla
     buckets = shuffle_partitions(docs.sparkSession)
 
     def asking(t: pa.Table) -> pa.Table:
-        return requests(t.column("blk")[0].as_py(), ask(t), buckets)
+        out = requests(t.column("blk")[0].as_py(), ask(t), buckets)
+        scan.tidy()
+        return out
 
     def answering(t: pa.Table) -> pa.Table:
         totals, keys, counts = (t.column(c).to_pylist() for c in ("total", "keys", "counts"))
@@ -109,7 +111,9 @@ def exchange(docs: DataFrame, ask: Callable[[pa.Table], list[Items]], use: Calla
     def using(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = sorted(zip(*(right.column(c).to_pylist() for c in ("bucket", "total", "counts")), strict=True), key=lambda r: r[0])
         kinds = len(rows[0][1])
-        return use(left, [np.concatenate([unsqueeze(c[k]) for _, _, c in rows]) for k in range(kinds)], [sum(t[k] for _, t, _ in rows) for k in range(kinds)])
+        out = use(left, [np.concatenate([unsqueeze(c[k]) for _, _, c in rows]) for k in range(kinds)], [sum(t[k] for _, t, _ in rows) for k in range(kinds)])
+        scan.tidy()
+        return out
 
     asked = docs.groupBy("blk").applyInArrow(asking, ASKED)
     answered = asked.groupBy("bucket").applyInArrow(answering, ANSWERED)

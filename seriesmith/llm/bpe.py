@@ -309,6 +309,7 @@ def encode(docs: DataFrame, ranks: bytes, id_col: str = "doc_id", text_col: str
                     cols.append(sliced(begin.astype("<u4").tobytes(), bounds * 4))
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids", *["offsets"] * with_offsets])
         coder.cache.clear()  # Spark keeps idle workers: leave them small
+        scan.tidy()
 
     kind = dict(src.dtypes)["id"]
     return src.mapInArrow(run, f"id {kind}, n_tokens long, ids binary" + ", offsets binary" * with_offsets)
@@ -330,6 +331,7 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
                 out, begin = coder.decode(np.frombuffer(data.tobytes(), "<u4"))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, sliced(out.tobytes(), begin[offs // 4])], [*batch.schema.names, "decoded"])
+        scan.tidy()
 
     schema = ", ".join(f"{c} {t}" for c, t in encoded.dtypes)
     return encoded.mapInArrow(run, f"{schema}, decoded binary")

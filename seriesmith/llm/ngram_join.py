@@ -205,6 +205,7 @@ def verified(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
                 common = int((both[1:] == both[:-1]).sum())
                 linked[i] = 100 * common >= pct * (len(both) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
+        scan.tidy()
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 

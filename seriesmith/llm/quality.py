@@ -60,6 +60,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), *[pa.array(got[c], pa.int64()) for c in COUNTS]], ["id", "host", *COUNTS])
+    scan.tidy()
 
 
 def text_counts(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:

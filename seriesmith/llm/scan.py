@@ -6,6 +6,7 @@ Texts are UTF-8 bytes; all separators are ASCII, so bytes decide word boundaries
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -18,6 +19,15 @@ BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 20
 
 
+def tidy() -> None:
+    """Give freed memory back: Spark keeps idle Python workers, and what their allocators hold counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _table(ranges: Iterable[tuple[int, int]]) -> np.ndarray:
     t = np.ones(256, bool)
     for a, b in ranges:
