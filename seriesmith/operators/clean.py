@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core import require_columns, same
+from ..core import cut, require_columns, same
 from ..functions import arrays as ar
 
 # Instrument types in search order with other names, scaling, network calibration and lidar ratio.
@@ -154,10 +154,11 @@ def trim_top(df: DataFrame, keys: Sequence[str], beta: str = "beta_raw", arrays:
     gates = df.select(*keys, F.posexplode(beta).alias("_i", "_x"))
     part = gates.groupBy(*keys, "_i").agg(F.count_if(F.col("_x").isNull()).alias("_null"), F.count_if(F.col("_x") == 0).alias("_zero"))
     part = part.where("_null > 0 and _zero > 0").groupBy(*keys).agg((F.max("_i") + 1).alias("_mixed"))
-    top = used.join(part, list(keys), "left").select(*keys, F.greatest("_used", F.coalesce("_mixed", F.lit(0))).alias("_top"))
-    cut = lambda c: F.slice(c, F.lit(1), F.col("_top"))
+    top = used.alias("a").join(part.alias("b"), same("a", "b", keys), "left").select("a.*", F.greatest("_used", F.coalesce("_mixed", F.lit(0))).alias("_top"))
+    head = lambda c: F.slice(c, F.lit(1), F.col("_top"))
     cols = [beta, *[a for a in arrays if a in df.columns]]
-    return df.join(top, list(keys)).withColumns({c: cut(c) for c in cols}).drop("_top")
+    met = df.alias("a").join(top.alias("b"), same("a", "b", keys)).select("a.*", "_top")
+    return met.withColumns({c: head(c) for c in cols}).drop("_top")
 
 
 def sunbeam_ok(beta: str = "beta_raw", rng: str = "range", above: float = 10000.0, bins: int = 20, limit: int = 15) -> Column:
@@ -331,6 +332,7 @@ def preprocess(
     d = d.withColumn("fog_flag", pf.fog_by_sum(F.col("beta_raw"), limit=fog_limit))
     if instrument is None:
         return pf.filter_chain(d, noise_min=noise_min, keep_above=keep_above)
+    d = cut(d)  # smoothing reads the profiles several times: written once
     named = F.coalesce(F.col(instrument).isin(*SMOOTHED_TYPES), F.lit(False))
     smooth = pf.gaussian_smooth(d.where(named), file_keys)
     smooth = pf.filter_chain(smooth, screen="beta_smooth", noise_min=noise_min, keep_above=keep_above).drop("beta_smooth")

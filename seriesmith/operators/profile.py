@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..core import same
 from ..functions import arrays as ar
 
 _d = F.lit
@@ -235,24 +236,32 @@ def cloud_product(df: DataFrame, mask: str = "mask", height: str = "height", alt
 # --- two-dimensional smoothing ----------------------------------------------------------------------------
 
 
-def _reflect(j: Column, n: Column) -> Column:
-    """Index reflected about the edges (edge gate repeated), for any distance."""
-    m = F.pmod(j, n * 2)
-    return F.when(m < n, m).otherwise(n * 2 - 1 - m).cast("int")
+def _reflected(at: np.ndarray, n: int) -> np.ndarray:
+    """Places reflected about the edges (edge place repeated), for any distance."""
+    m = np.mod(at, 2 * n)
+    return np.where(m < n, m, 2 * n - 1 - m)
 
 
-def smooth_heights(values: Column, sigma: Column, truncate: float = 4.0) -> Column:
-    """Gaussian along the gates with reflected edges; NULL if a gate in reach is NULL."""
-    radius = F.floor(sigma * truncate + 0.5).cast("int")
-    taps = F.sequence(-radius, radius)
-    kernel = ar.let(sigma, lambda s: F.transform(taps, lambda k: F.exp(-(k * k) / (s * s * 2.0))))
+def _kernel(sigma: float) -> list[tuple[int, float]]:
+    """Offsets within four sigma and their weights, which add up to 1; no width leaves values as they are."""
+    radius = int(4.0 * sigma + 0.5)
+    taps = [(k, float(np.exp(-(k * k) / (2.0 * sigma * sigma))) if k else 1.0) for k in range(-radius, radius + 1)]
+    total = sum(w for _, w in taps)
+    return [(k, w / total) for k, w in taps]
 
-    def run(c):
-        v, n = c["v"], F.size(c["v"])
-        at = lambda i: F.zip_with(c["t"], c["k"], lambda k, w: F.get(v, _reflect(i + k, n)) * w)
-        return F.transform(ar.indices(v), lambda i: F.aggregate(at(i), _d(0.0), lambda a, x: a + x) / c["s"])
 
-    return ar.let(ar.pack(t=taps, k=kernel), lambda c: ar.let(ar.pack(v=values, t=c["t"], k=c["k"], s=ar.array_sum(c["k"])), run))
+def smooth_gates(x: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """Gaussian along the gates of a block of profiles (rows), each with its own width in gates; NaN if a gate in reach is NaN.
+
+    The kernel is a band of weights over shifted copies of the block: one array product per offset, for all profiles of a width.
+    """
+    out = np.full(x.shape, np.nan)
+    gates = np.arange(x.shape[1])
+    for s in np.unique(sigma[~np.isnan(sigma)]):
+        rows = sigma == s
+        part = x[rows]
+        out[rows] = sum(w * part[:, _reflected(gates + k, len(gates))] for k, w in _kernel(s))
+    return out
 
 
 def median_step(df: DataFrame, keys: Sequence[str], time: str = "time") -> DataFrame:
@@ -266,23 +275,16 @@ SMOOTH_BLOCK = 512
 
 
 def _smooth_block(keys: list[str]):
-    """Time direction of the kernel for one stretch of profiles with its halo."""
+    """Both directions of the kernel for one stretch of profiles with its halo."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, sigma, blk = int(pdf["_n"].iloc[0]), float(pdf["_st"].iloc[0]), int(pdf["_blk"].iloc[0])
-        radius = int(4.0 * sigma + 0.5)
+        n, blk = int(pdf["_n"].iloc[0]), int(pdf["_blk"].iloc[0])
         pdf = pdf.sort_values("_row")
         have = pdf["_row"].to_numpy()
-        x = np.vstack(pdf["_h"].to_numpy()).astype(float)
+        x = smooth_gates(np.vstack(pdf["_h"].to_numpy()).astype(float), pdf["_sr"].to_numpy(float))
         to = np.arange(blk * SMOOTH_BLOCK, min(n, (blk + 1) * SMOOTH_BLOCK))
-        acc, total = np.zeros((to.size, x.shape[1])), 0.0
-        for k in range(-radius, radius + 1):
-            wgt = np.exp(-(k * k) / (2.0 * sigma * sigma)) if k else 1.0
-            m = np.mod(to + k, 2 * n)
-            src = np.where(m < n, m, 2 * n - 1 - m)
-            acc += wgt * x[np.searchsorted(have, src)]
-            total += wgt
+        sm = sum(w * x[np.searchsorted(have, _reflected(to + k, n))] for k, w in _kernel(float(pdf["_st"].iloc[0])))
         out = {c: [pdf[c].iloc[0]] * to.size for c in keys}
-        return pd.DataFrame({**out, "_row": to, "_sm": list(acc / total)})
+        return pd.DataFrame({**out, "_row": to, "_sm": list(sm)})
 
     return run
 
@@ -299,12 +301,10 @@ def gaussian_smooth(
     """
     keys = list(keys)
     w = W.partitionBy(*keys).orderBy(time)
-    size = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    d = (
-        df.withColumn("_u", range_uncorrect(F.col(beta), F.col(rng)))
-        .withColumn("_row", F.row_number().over(w) - 1)
-        .join(median_step(df, keys, time).withColumnRenamed("step_s", "_dt").join(size, keys), keys)
-    )
+    step = (F.unix_micros(F.lead(time).over(w)) - F.unix_micros(time)) / 1e6
+    steps = df.select(*keys, step.alias("_s")).groupBy(*keys).agg(F.percentile("_s", 0.5).alias("_dt"), F.count(F.lit(1)).cast("int").alias("_n"))
+    d = df.withColumn("_u", range_uncorrect(F.col(beta), F.col(rng))).withColumn("_row", F.row_number().over(w) - 1)
+    d = d.alias("a").join(steps.alias("b"), same("a", "b", keys)).select("a.*", "_dt", "_n")
     clamp = F.transform("_u", lambda x: F.when(x > strong, _d(strong)).otherwise(x))
     sr = _d(sigma_m) / ar.array_median(ar.diffs(F.col(rng)))
     # a file of one profile, or of equal times, has no time step: it is not smoothed in time
@@ -312,10 +312,10 @@ def gaussian_smooth(
     radius = F.floor(st * 4.0 + 0.5)
     first = F.greatest(_d(0), F.floor((F.col("_row") - radius) / SMOOTH_BLOCK))
     last = F.least(F.floor((F.col("_n") - 1) / SMOOTH_BLOCK), F.floor((F.col("_row") + radius) / SMOOTH_BLOCK))
-    sent = d.select(*keys, "_row", "_n", st.alias("_st"), smooth_heights(clamp, sr).alias("_h"), F.explode(F.sequence(first, last)).alias("_blk"))
+    sent = d.select(*keys, "_row", "_n", st.alias("_st"), sr.alias("_sr"), clamp.alias("_h"), F.explode(F.sequence(first, last)).alias("_blk"))
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_row", T.IntegerType()), T.StructField("_sm", T.ArrayType(T.DoubleType()))])
     back = sent.groupBy(*keys, "_blk").applyInPandas(_smooth_block(keys), schema)
-    out = d.join(back, [*keys, "_row"])
+    out = d.alias("a").join(back.alias("b"), same("a", "b", [*keys, "_row"])).select("a.*", "_sm")
     restored = F.zip_with("_sm", "_u", lambda s, u: F.when(u > strong, u).otherwise(F.when(~F.isnan(s), s)))
     return out.withColumn("beta_smooth", range_correct(restored, F.col(rng))).drop("_u", "_row", "_dt", "_n", "_sm")
 

@@ -1,13 +1,9 @@
 import importlib
 
-MODULES = ("q_sources", "q_clean", "q_profile", "q_columns", "q_joins", "q_aggregate", "q_windows", "q_functions",
-           "q_trend", "q_calibrate", "q_response", "q_compare", "q_products", "q_streaming")
+MODULES = ("q_sources", "q_clean", "q_profile", "q_columns", "q_joins", "q_aggregate", "q_functions", "q_trend", "q_calibrate",
+           "q_response", "q_compare", "q_products", "q_levels", "q_streaming")
 
 
 def load_all() -> None:
     for m in MODULES:
-        try:
-            importlib.import_module(f"{__name__}.{m}")
-        except ModuleNotFoundError as exc:
-            if not str(exc.name).endswith(m):
-                raise
+        importlib.import_module(f"{__name__}.{m}")
