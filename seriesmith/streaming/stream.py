@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources import catalog as cat
-
 
 def daily_cover(
     stream: DataFrame, keys: Sequence[str], time: str = "time", value: str = "value", event_id: str = "event_id", delay: str = "1 day",
@@ -33,24 +31,45 @@ def append_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         .trigger(availableNow=True).start())
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def incremental_ingest(
     spark: SparkSession, source: DataFrame, root: str, key: str = "path", order: str = "modified"
 ) -> StreamingQuery:
-    """Merge newly arrived catalogue rows into generation folders below ``root``.
+    """Keep the newest row per path as keyed state of the stream and write each batch's changes below ``root``.
 
-    Each micro-batch writes generation ``gen=<batch id>`` with its own rows
-    reduced to one per path; a replayed batch rewrites the same folder, so the
-    job can be restarted at any time. ``read_catalog`` merges the generations.
+    A streaming maximum holds one row per path, the one of the highest ``order`` (equal ones: the larger row, so that the
+    result does not hang on arrival; a NULL order is the lowest). The state lives on disk beside the checkpoint, with versions:
+    a restart goes on from the last finished batch, and a replayed batch starts from the state before it and rewrites its
+    own folder of changes. ``read_catalog`` reads the state, not the batches. The number of shuffle partitions is fixed by
+    the first run.
     """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        cat.upsert(None, batch, key, order).write.mode("overwrite").parquet(os.path.join(root, "data", f"gen={batch_id}"))
+    rest = [order, *[c for c in source.columns if c not in (key, order)]]
+    newest = source.groupBy(key).agg(F.max(F.struct(*rest)).alias("row"))
 
-    return (
-        source.writeStream.foreachBatch(merge).option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start())
+    def note(batch: DataFrame, batch_id: int) -> None:
+        batch.select(key, "row.*").write.mode("overwrite").parquet(os.path.join(root, "changes", f"batch={batch_id}"))
+
+    # a query takes the store's kind from the session at its start
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return (
+            newest.writeStream.outputMode("update").foreachBatch(note).option("checkpointLocation", os.path.join(root, "checkpoint"))
+            .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def read_catalog(spark: SparkSession, root: str) -> DataFrame:
+    """Current catalogue, one row per path: the state after the last batch, whatever the number of batches."""
+    state = spark.read.format("statestore").load(os.path.join(root, "checkpoint"))
+    (held,) = state.schema["value"].dataType.names
+    return state.select("key.*", f"value.{held}.*")
 
 
-def read_catalog(spark: SparkSession, root: str, key: str = "path", order: str = "modified") -> DataFrame:
-    """Current catalogue: per path the row of the newest generation."""
-    d = spark.read.parquet(os.path.join(root, "data"))
-    rest = [c for c in d.columns if c not in (key, "gen")]
-    return d.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("gen", order)).alias("_r")).select(key, "_r.*")
+def read_changes(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    """The rows of the catalogue that one batch added or replaced (or met again), for consumers that follow the stream."""
+    return spark.read.parquet(os.path.join(root, "changes", f"batch={batch}"))
