@@ -3,11 +3,13 @@
 Every run of documents (a shard of some megabytes) gets a suffix array over its words, sorted by packing ranks of
 neighbouring words and tripling the depth, only where suffixes are still tied. All test windows are then
 binary-searched in every shard at once. No shuffle: the shards are the scan's own partitions, and the test set is
-sent to the tasks in blocks of at most ``block_bytes`` of text.
+sent to the tasks in blocks of at most ``block_bytes`` of text. Where a window occurs, the match is carried on word by word
+to the longest verbatim match with any test suffix, found in a suffix array over the block's items.
 
 Defined cases: null or empty text has no words and is clean; an item without words has no window; an item shorter
 than the window is one window; equal windows of several items count for each item; repeated document rows are
-judged each; no items means nothing is hit. Extra columns are not read.
+judged each; no items means nothing is hit; texts of any length are searched whole; of equally long matches the first
+place counts, and documents without a hit have no longest match (0 words, NULL place). Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -109,6 +111,11 @@ class TestSet:
             by.setdefault(len(key) // 8, []).append(key)
         self.by_length = [(size, np.frombuffer(b"".join(keys), np.uint64).reshape(-1, size), [sorted(rows[k]) for k in keys]) for size, keys in sorted(by.items())]
         self.depth = max((size for size, *_ in self.by_length), default=1)
+        # the items one after another, a 0 ending each, and the order of their suffixes
+        self.vocabulary, numbers = np.unique(w.hash, return_inverse=True)
+        self.seq = np.zeros(len(numbers) + len(ids), np.int64)
+        self.seq[np.arange(len(numbers)) + np.repeat(np.arange(len(ids)), np.diff(w.bounds))] = numbers + 1
+        self.sa = suffix_array(self.seq, max(map(len, self.items), default=1))
 
 
 class Shard:
@@ -131,6 +138,45 @@ class Shard:
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
 
+STRETCH = 16
+
+
+def common_words(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray) -> np.ndarray:
+    """How many values agree from each place of ``a`` and of ``b`` on; both end in STRETCH values that agree with nothing."""
+    n = np.zeros(len(at), np.int64)
+    rows = np.arange(len(at))
+    steps = np.arange(STRETCH)
+    while rows.size:
+        differ = a[(at[rows] + n[rows])[:, None] + steps] != b[(bt[rows] + n[rows])[:, None] + steps]
+        ended = differ.any(1)
+        n[rows] += np.where(ended, differ.argmax(1), STRETCH)
+        rows = rows[~ended]
+    return n
+
+
+def longest_at(shard: Shard, tests: TestSet, places: np.ndarray) -> np.ndarray:
+    """Words of the longest verbatim match between any test suffix and the text from each place on.
+
+    A binary search among the ordered test suffixes ends between the two that agree longest with the text.
+    """
+    if not len(places) or not len(tests.sa):
+        return np.zeros(len(places), np.int64)
+    at = np.minimum(np.searchsorted(tests.vocabulary, shard.vocabulary), max(len(tests.vocabulary) - 1, 0))
+    number = np.concatenate([[-1], np.where(tests.vocabulary[at] == shard.vocabulary, at + 1, -1)])  # document ends agree with nothing
+    text = np.concatenate([number[shard.seq], np.full(STRETCH, -1, np.int64)])
+    items = np.concatenate([tests.seq, np.zeros(STRETCH, np.int64)])
+    lo, hi = np.zeros(len(places), np.int64), np.full(len(places), len(tests.sa), np.int64)
+    while (open_ := np.flatnonzero(lo < hi)).size:
+        mid = (lo[open_] + hi[open_]) // 2
+        p, t = places[open_], tests.sa[mid]
+        k = common_words(text, p, items, t)
+        less = items[t + k] < text[p + k]
+        lo[open_] = np.where(less, mid + 1, lo[open_])
+        hi[open_] = np.where(less, hi[open_], mid)
+    sides = [common_words(text, places, items, tests.sa[np.clip(side, 0, len(tests.sa) - 1)]) for side in (lo - 1, lo)]
+    return np.maximum(*sides)
+
+
 def occurrences(shard: Shard, tests: TestSet) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
     """For each window length: its words, places in the shard, which distinct window is there, items by window."""
     for size, rows, items in tests.by_length:
@@ -146,19 +192,29 @@ def occurrences(shard: Shard, tests: TestSet) -> Iterator[tuple[int, np.ndarray,
             yield size, shard.sa[np.repeat(lo, times) + within], which, items
 
 
-def judge_places(data: np.ndarray, offs: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
-    """Words of each row, a hit flag for each word, and the items with an occurring window."""
+def judge_places(data: np.ndarray, offs: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray, list[set[int]], np.ndarray, np.ndarray]:
+    """Words of each row, a hit flag for each word, the items with an occurring window, longest match and its first place."""
     n = len(offs) - 1
     shard = Shard(data, offs, tests.depth)
     cover = np.zeros(len(shard.seq) + 1, np.int64)
+    reach = np.zeros(len(shard.seq), np.int64)
     found: list[set[int]] = [set() for _ in range(n)]
     for size, places, which, items in occurrences(shard, tests):
         np.add.at(cover, places, 1)
         np.add.at(cover, places + size, -1)
+        reach[places] = np.maximum(reach[places], size)
         for d, k in np.unique(np.stack([shard.doc[places], which], 1), axis=0).tolist():
             found[d].update(items[k])
     hit = np.cumsum(cover[:-1]) > 0
-    return np.diff(shard.w.bounds), hit[shard.seq > 0], found
+    at = np.flatnonzero(reach)
+    far = longest_at(shard, tests, at)
+    # below a whole window only items shorter than it count, as a whole
+    far = np.where(far >= tests.window, far, reach[at])
+    longest, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    np.maximum.at(longest, shard.doc[at], far)
+    best = np.flatnonzero(far == longest[shard.doc[at]])[::-1]  # the first place is written last
+    place[shard.doc[at[best]]] = at[best] - np.searchsorted(shard.doc, shard.doc[at[best]])
+    return np.diff(shard.w.bounds), hit[shard.seq > 0], found, longest, place
 
 
 def longest_rows(data: np.ndarray, offs: np.ndarray, tests: TestSet) -> Iterator[tuple[int, int, int, int, int]]:
@@ -204,24 +260,28 @@ def test_sets(items: DataFrame, item_col: str, text_col: str, window: int, block
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", window: int = WINDOW, min_share: tuple[int, int] = (1, 20),
                   block_bytes: int = 2 << 20) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items (sorted as strings), contaminated.
+    """One row per document: id, n_words, n_hit, n_items, items (sorted as strings), longest_words, longest_place, contaminated.
+
+    ``longest_words`` is the longest verbatim match with an item, of a window at least (or a whole shorter item), and
+    ``longest_place`` the 0-based word at which it first begins.
 
     Each block of items is one pass over the documents, which carry the hit flags and items found so far; with more
     than one block the state is checkpointed between passes.
     """
     a, b = min_share
-    state = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
+    state = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"),
+                        F.lit(0).cast("long").alias("longest_words"), F.lit(None).cast("long").alias("longest_place"))
     kind = dict(state.dtypes)["id"]
     todo = test_sets(items, item_col, item_text_col, window, block_bytes)
     tests = next(todo, None) or TestSet([], [], window)
     while tests is not None:
         following = next(todo, None)
-        state = state.mapInArrow(_pass(tests, following is None), f"id {kind}, text string, hits binary, items array<string>, n_words long, n_hit long").drop(
+        state = state.mapInArrow(_pass(tests, following is None), f"id {kind}, text string, hits binary, items array<string>, longest_words long, longest_place long, n_words long, n_hit long").drop(
             *(["n_words", "n_hit"] if following is not None else ["text", "hits"]))
         if following is not None:
             state = cut(state)
         tests = following
-    out = state.select("id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items")
+    out = state.select("id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "longest_words", "longest_place")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (b * F.col("n_hit") >= a * F.col("n_words")))
 
 
@@ -232,19 +292,24 @@ def _pass(tests: TestSet, last: bool):
         for batch in batches:
             for x, y, data, offs in scan.pieces(batch.column(1)):
                 part = batch.slice(x, y - x)
-                n, hit, found = judge_places(data, offs, tests)
+                n, hit, found, longest, place = judge_places(data, offs, tests)
                 bounds = np.concatenate([[0], np.cumsum(n)])
                 names = [{str(tests.ids[i]) for i in s} for s in found]
                 for d, (before, old) in enumerate(zip(part.column(2), part.column(3), strict=True)):
                     if before.is_valid:
                         hit[bounds[d] : bounds[d + 1]] |= np.frombuffer(before.as_py(), np.uint8).astype(bool)
                         names[d].update(old.as_py())
+                was = part.column(4).to_numpy()
+                # an equally long match of an earlier block counts if it begins first
+                first = [q if w > k or (w == k and w and q <= p) else p if k else None
+                         for w, q, k, p in zip(was.tolist(), part.column(5).to_pylist(), longest.tolist(), place.tolist(), strict=True)]
                 flags = [None] * (y - x) if last else [hit[bounds[d] : bounds[d + 1]].astype(np.uint8).tobytes() for d in range(y - x)]
                 texts = pa.nulls(y - x, pa.string()) if last else part.column(1)
                 n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[bounds])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), texts, pa.array(flags, pa.binary()), pa.array([sorted(s) for s in names], pa.list_(pa.string())),
-                     pa.array(n, pa.int64()), pa.array(n_hit, pa.int64())], ["id", "text", "hits", "items", "n_words", "n_hit"])
+                     pa.array(np.maximum(was, longest), pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64())],
+                    ["id", "text", "hits", "items", "longest_words", "longest_place", "n_words", "n_hit"])
 
     return run
 

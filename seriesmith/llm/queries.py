@@ -53,16 +53,24 @@ dw AS (SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS g
 m AS (SELECT doc_id, item_id, i, dw.k FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s
-       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id),
+bj AS (SELECT item_id, least(13, len(ws)) AS k, j, array_to_string(ws[j:j + least(13, len(ws)) - 1], ' ') AS g
+       FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS j FROM b WHERE len(ws) > 0)),
+mj AS (SELECT DISTINCT doc_id, item_id, i, i - j AS diagonal, dw.k FROM dw JOIN bj ON dw.k = bj.k AND dw.g = bj.g),
+run AS (SELECT doc_id, min(i) AS i, count(*) + any_value(k) - 1 AS n
+        FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS part FROM mj) GROUP BY doc_id, item_id, diagonal, part),
+lg AS (SELECT doc_id, max(n) AS n, arg_min(i - 1, struct_pack(a := -n, b := i)) AS place FROM run GROUP BY doc_id)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items, sha256(coalesce(it.s, '')) AS items_sha256,
-       coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
+       coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(ws) AS contaminated,
+       coalesce(lg.n, 0)::BIGINT AS longest_words, lg.place::BIGINT AS longest_place
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN lg USING (doc_id)"""
 
 
 @query("op8_decontaminate", SQL_DECONTAMINATE)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+                      "longest_words", "longest_place")
 
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"

@@ -135,6 +135,28 @@ def decontaminate(rows, items, size=13):
     return out
 
 
+def longest_runs(rows, items, size=13):
+    """Per row: words and first place of the longest run that stands in an item too, a window or a whole shorter item at least."""
+    split = [ALNUM.findall(lower(t)) for _, t in items]
+    starts = defaultdict(list)
+    for w in split:
+        for j in range(len(w) if len(w) >= size else min(1, len(w))):
+            starts[w[j]].append((w, j))
+    out = []
+    for i, t in rows:
+        d = ALNUM.findall(lower(t))
+        best = (0, None)
+        for p in range(len(d)):
+            for w, j in starts.get(d[p], ()):
+                k = 0
+                while j + k < len(w) and p + k < len(d) and w[j + k] == d[p + k]:
+                    k += 1
+                if k >= min(size, len(w)) and k > best[0]:
+                    best = (k, p)
+        out.append((i, *best))
+    return out
+
+
 def longest_matches(rows, items):
     """(item, place) -> length of the longest run of words that a document has too."""
     docs = [ALNUM.findall(lower(t)) for _, t in rows]

@@ -77,10 +77,16 @@ def test_decontaminate(spark, texts):
     items = [(1, texts[4][1]), (2, "ONE, two three: four five"), (3, None), (4, "..."), (12, texts[0][1]), (13, texts[0][1])]
     rows = [*texts, *REPEATED, texts[4]]
     bench = frame(spark, items, "item_id long, text string")
-    want = ordered(plain.decontaminate(rows, items))
+    # long matches in one document and not in another, a match that ends with the text, one that repeats itself
+    a = texts[0][1].split()
+    rows += [(600, "lead in " + " ".join(a[3:40])), (601, " ".join(["same"] * 60)), (602, " ".join(a[5:18]) + " and on " + " ".join(a[5:19]))]
+    items.append((14, "same " * 40))
+    bench = frame(spark, items, "item_id long, text string")
+    want, runs = ordered(plain.decontaminate(rows, items)), ordered(plain.longest_runs(rows, items))
     for block_bytes in (2 << 20, 300):  # one block of items, and several
         got = decontaminate.decontaminate(frame(spark, rows, DOCS), bench, block_bytes=block_bytes).collect()
         assert ordered((r.id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got) == want
+        assert ordered((r.id, r.longest_words, r.longest_place) for r in got) == runs
     few = rows[:20]
     longest = decontaminate.longest_matches(frame(spark, few, DOCS), bench).collect()
     assert {(r["item"], r.item_pos): r.n_words for r in longest} == plain.longest_matches(few, items)
