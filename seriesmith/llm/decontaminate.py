@@ -217,30 +217,66 @@ def judge_places(data: np.ndarray, offs: np.ndarray, tests: TestSet) -> tuple[np
     return np.diff(shard.w.bounds), hit[shard.seq > 0], found, longest, place
 
 
-def longest_rows(data: np.ndarray, offs: np.ndarray, tests: TestSet) -> Iterator[tuple[int, int, int, int, int]]:
-    """For every test suffix: item, its place, the row and place of the longest match, and the match's words."""
+class Least:
+    """Smallest value of any stretch of an array, from minima over stretches of 1, 2, 4 ... values."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while 2 ** len(self.levels) <= len(values):
+            half, below = 2 ** (len(self.levels) - 1), self.levels[-1]
+            self.levels.append(np.minimum(below[: len(below) - half], below[half:]))
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Minimum of values lo to hi - 1, for every pair (none is empty)."""
+        level = np.log2(hi - lo).astype(np.int64)
+        out = np.empty(len(lo), np.int64)
+        for k in np.unique(level):
+            rows = level == k
+            out[rows] = np.minimum(self.levels[k][lo[rows]], self.levels[k][hi[rows] - 2**k])
+        return out
+
+
+def longest_rows(data: np.ndarray, offs: np.ndarray, tests: TestSet, ids: list) -> Iterator[tuple[int, int, int, int, int]]:
+    """For every test suffix: item, its place, the row and place of the longest match, and the match's words.
+
+    Each suffix is searched once as a whole; the whole range of suffixes that tie for its longest match is then searched for
+    the smallest id and place. No test suffix is written out, however long its item.
+    """
     shard = Shard(data, offs, max(map(len, tests.items), default=1))
-    starts = np.searchsorted(shard.doc, np.arange(len(offs) - 1))
-    for item, hashes in enumerate(tests.items):
-        q = shard.known(hashes)
-        m = len(q)
-        if not m or not len(shard.seq):
-            continue
-        rows = np.full((m, m), -1, np.int64)
-        for j in range(m):
-            rows[j, : m - j] = q[j:]
-        at, _ = search(shard.seq, shard.sa, rows)
-        padded = np.concatenate([shard.seq, np.full(m, -1, np.int64)])
-        best, where = np.zeros(m, np.int64), np.zeros(m, np.int64)
-        for side in (at - 1, at):
-            ok = (side >= 0) & (side < len(shard.sa))
-            pos = shard.sa[np.clip(side, 0, len(shard.sa) - 1)]
-            got = padded[pos[:, None] + np.arange(m)]
-            same = np.cumprod((got == rows) & (rows > 0), 1).sum(1) * ok
-            where, best = np.where(same > best, pos, where), np.maximum(same, best)
-        for j in np.flatnonzero(best).tolist():
-            d = int(shard.doc[where[j]])
-            yield item, j, d, int(where[j] - starts[d]), int(best[j])
+    ends = tests.seq == 0
+    places = np.flatnonzero(~ends)
+    if not len(places) or not len(shard.seq):
+        return
+    known = shard.known(tests.vocabulary)
+    # unknown words and ends agree with nothing
+    asked = np.concatenate([np.concatenate([[-2], np.where(known > 0, known, -2)])[tests.seq], np.full(STRETCH, -2, np.int64)])
+    text = np.concatenate([shard.seq, np.full(STRETCH, -1, np.int64)])
+
+    def bound(at: np.ndarray, limit: np.ndarray, upper: bool) -> np.ndarray:
+        """First suffix not below (``upper``: above) the first ``limit`` words from each place."""
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(shard.sa), np.int64)
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) // 2
+            t, q = shard.sa[mid], at[open_]
+            k = common_words(text, t, asked, q)
+            less = np.where(k >= limit[open_], upper, text[t + k] < asked[q + k])
+            lo[open_] = np.where(less, mid + 1, lo[open_])
+            hi[open_] = np.where(less, hi[open_], mid)
+        return lo
+
+    at = bound(places, np.full(len(places), len(asked)), False)
+    best = np.maximum(*[common_words(text, shard.sa[np.clip(side, 0, len(shard.sa) - 1)], asked, places) for side in (at - 1, at)])
+    places, best = places[best > 0], best[best > 0]
+    order = np.empty(len(ids), np.int64)
+    order[sorted(range(len(ids)), key=lambda d: (ids[d] is not None, ids[d]))] = np.arange(len(ids))
+    starts = np.searchsorted(shard.doc, np.arange(len(ids)))
+    key = order[shard.doc] * len(shard.seq) + np.arange(len(shard.seq)) - starts[shard.doc]
+    first = Least(key[shard.sa]).of(bound(places, best, False), bound(places, best, True))
+    back = np.argsort(order)
+    item = np.concatenate([[0], np.cumsum(ends)])[places]
+    begin = np.concatenate([[0], np.flatnonzero(ends) + 1])
+    for i, q, f, n in zip(item.tolist(), (places - begin[item]).tolist(), first.tolist(), best.tolist(), strict=True):
+        yield i, q, int(back[f // len(shard.seq)]), f % len(shard.seq), n
 
 
 def test_sets(items: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[TestSet]:
@@ -318,21 +354,29 @@ def longest_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                     item_text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """For every test suffix (item, word place): the longest verbatim match over all shards and where it stands.
 
-    Ties go to the smallest document id, then to the first place. Suffixes without any match are not listed.
+    Ties go to the smallest document id (NULL first), then to the first place. Suffixes without any match are not listed. Each
+    block of items is one pass over the documents, written before the next block is read.
     """
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind, ikind = dict(src.dtypes)["id"], dict(items.dtypes)[item_col]
-    sets = list(test_sets(items, item_col, item_text_col, WINDOW, block_bytes))
 
-    def scan_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, _, data, offs in scan.pieces(batch.column(1)):
-                rows = [(t.ids[i], j, batch.column(0)[x + d].as_py(), p, k) for t in sets for i, j, d, p, k in longest_rows(data, offs, t)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c) if k else pa.array(c, batch.schema.field(0).type if k == 2 else None) for k, c in enumerate(zip(*rows, strict=True))],
-                        ["item", "item_pos", "id", "doc_pos", "n_words"])
-
-    found = src.mapInArrow(scan_docs, f"item {ikind}, item_pos long, id {kind}, doc_pos long, n_words long")
-    best = found.groupBy("item", "item_pos").agg(F.min_by(F.struct("id", "doc_pos", "n_words"), F.struct(-F.col("n_words"), F.col("id"), F.col("doc_pos"))).alias("m"))
-    return best.select("item", "item_pos", "m.id", "m.doc_pos", "m.n_words")
+    def scan_docs(tests: TestSet):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for x, y, data, offs in scan.pieces(batch.column(1)):
+                    ids = batch.column(0).slice(x, y - x).to_pylist()
+                    rows = [(tests.ids[i], j, ids[d], p, k) for i, j, d, p, k in longest_rows(data, offs, tests, ids)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, batch.schema.field(0).type if n == 2 else None) for n, c in enumerate(zip(*rows, strict=True))],
+                            ["item", "item_pos", "id", "doc_pos", "n_words"])
+
+        return run
+
+    out = None
+    for tests in test_sets(items, item_col, item_text_col, WINDOW, block_bytes):
+        found = src.mapInArrow(scan_docs(tests), f"item {ikind}, item_pos long, id {kind}, doc_pos long, n_words long")
+        rank = F.struct(-F.col("n_words"), F.col("id"), F.col("doc_pos"))
+        best = cut(found.groupBy("item", "item_pos").agg(F.min_by(F.struct("id", "doc_pos", "n_words"), rank).alias("m")).select("item", "item_pos", "m.*"))
+        out = best if out is None else out.unionByName(best)
+    return out

@@ -90,6 +90,13 @@ def test_decontaminate(spark, texts):
     few = rows[:20]
     longest = decontaminate.longest_matches(frame(spark, few, DOCS), bench).collect()
     assert {(r["item"], r.item_pos): r.n_words for r in longest} == plain.longest_matches(few, items)
+    # of all places with a longest match, the smallest id and then the first place
+    split = lambda t: plain.ALNUM.findall(plain.lower(t))
+    words, docs = {i: split(t) for i, t in items}, [(i, split(t)) for i, t in few]
+    for r in longest:
+        run = words[r["item"]][r.item_pos : r.item_pos + r.n_words]
+        places = [(i is not None, i, p) for i, d in docs for p in range(len(d)) if d[p] == run[0] and d[p : p + len(run)] == run]
+        assert (r.id is not None, r.id, r.doc_pos) == min(places, key=lambda x: (x[0], x[1] or 0, x[2]))
     none = decontaminate.decontaminate(frame(spark, rows, DOCS), bench.limit(0)).filter("n_hit > 0 or contaminated or n_items > 0")
     assert none.count() == 0
 
