@@ -107,9 +107,9 @@ def slab_covers(df: DataFrame, surface: str, phases: str = "phase", height: str
         "low_pressure": overlap_cover(h, masked_cover(F.col(cover), F.col(pressure), lambda x: x >= LOW_PRESSURE_PA), z, True)})
 
 
-def non_obscured(total: Column, above: Column) -> Column:
-    """Low cover seen from above: (total - above) / (1 - above), NULL under full cover."""
-    return F.when(above < 1, clip(F.try_divide(total - above, F.lit(1.0) - above), 0.0, 1.0))
+def non_obscured(total: Column, above: Column, full: float = 1.0) -> Column:
+    """Low cover seen from above: (total - above) / (1 - above), NULL from the cover above that counts as full."""
+    return F.when(above < full, clip(F.try_divide(total - above, F.lit(1.0) - above), 0.0, 1.0))
 
 
 def non_obscured_layers(df: DataFrame, keys: list[str], values: list[str], layer: str = "layer", low: int = 4, total: int = 5) -> DataFrame:

@@ -101,13 +101,13 @@ def level2_profiles(
 
 def level2_columns(
     df: DataFrame, surface: str = "surface", height: str = "height", cover: str = "cc", liquid: str = "clwc", ice: str = "ciwc", lnsp: str = "lnsp",
-    a: str = "a", b: str = "b", lat: str = "lat", dense: float = mc.FOG_COVER,
+    a: str = "a", b: str = "b", lat: str = "lat", dense: float = mc.FOG_COVER, full: float = 1.0,
 ) -> DataFrame:
     """Model-level columns to single-level covers and bases, all inside the row.
 
     Pressure, phases, bases (total, liquid, liquid and mixed, ice; above sea and above ground), fog cover, low covers by height
     and by pressure, and the low cover that is not obscured by what lies above. Levels are ordered bottom to top. A missing
-    cover counts as none; without a base the base is NULL.
+    cover counts as none; without a base the base is NULL. Under a cover of ``full`` or more the low cover seen from above is NULL.
     """
     zero = F.transform(cover, lambda c: F.coalesce(c, F.lit(0.0)))
     d = df.withColumn("_c", zero).withColumns({
@@ -123,7 +123,7 @@ def level2_columns(
     d = mc.slab_covers(d, surface, "_phase", height, "_c", "_p", "_z0")
     above = mc.masked_cover(c, F.col("_p"), lambda p: p < mc.LOW_PRESSURE_PA)
     d = d.withColumns({"_total": mc.overlap_cover(h, c, F.col("_z0"), True), "_above": mc.overlap_cover(h, above, F.col("_z0"), True)})
-    d = d.withColumn("low_non_obscured", mc.non_obscured(F.col("_total"), F.col("_above")))
+    d = d.withColumn("low_non_obscured", mc.non_obscured(F.col("_total"), F.col("_above"), full))
     return cl.extract_1d(d).drop("_phase", "_z0", "_total", "_above")
 
 

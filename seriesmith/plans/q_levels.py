@@ -88,8 +88,8 @@ LOWS = ("low_liquid", "low_liquid_mixed", "low_ice", "low_all", "low_pressure")
  {R('CASE WHEN coalesce(ab.v, 0e0) < 0.999e0 THEN greatest(0e0, least(1e0, (coalesce(tt.v, 0e0) - coalesce(ab.v, 0e0)) / (1e0 - coalesce(ab.v, 0e0)))) END', 5)} AS low_non_obscured
  FROM ids JOIN bs USING (id) JOIN fg USING (id) {' '.join(f'LEFT JOIN {t} USING (id)' for t in ('s1', 's2', 's3', 's4', 's5', 'tt', 'ab'))}""")
 def pipe_level2_columns(spark, sf):
-    """Fog starts at a liquid cover of 0.1 here. Under nearly full cover the quotient is all rounding, so it is left out."""
-    d = lv.level2_columns(columns(spark, sf), dense=0.1)
+    """Fog starts at a liquid cover of 0.1 here. Under nearly full cover (0.999) the quotient is all rounding, so it is left out."""
+    d = lv.level2_columns(columns(spark, sf), dense=0.1, full=0.999)
     return d.select("id", "fog_cover", *OUT2, *[r6(c).alias(c) for c in LOWS], r6("low_non_obscured", 5).alias("low_non_obscured"))
 
 

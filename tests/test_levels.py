@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from seriesmith.operators import levels as lv
 from seriesmith.operators import profile as pf
+from seriesmith.plans import q_levels
+from seriesmith.plans.q_columns import columns
 
 T0 = dt.datetime(2015, 3, 1)
 SCHEMA = ("file string, site string, network string, label string, k long, time timestamp, backscatter array<double>, range array<double>, range_units string, "
@@ -80,6 +82,22 @@ def test_level2_columns_fog_and_bases(spark):
     assert r.low_all == 1.0 and r.low_ice == 0.0 and r.low_pressure == pytest.approx(1.0) and r.low_non_obscured == pytest.approx(1.0)
 
 
+def test_level2_columns_leave_nearly_full_covers_out(spark, tmp_path):
+    """Cover 0.3 at 80 m under 0.9, 0.9995 and 1 at 3560 m: the query has no quotient from 0.999 on, the operator only at 1."""
+    rows = []
+    for k, above in ((4, 0.9), (9, 0.9995), (14, 1.0)):  # ids whose surface pressure (893 hPa) makes the lowest level a low one
+        v = [0.0] * 64
+        v[0], v[58] = 0.2, above / 3 if above < 1 else 0.5
+        rows.append((k, v))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    z0 = (0.75 + 2.149 * np.cos(np.radians([-76.0, -71.0])) ** 2) * 1e3
+    want = 0.3 * (1 - np.exp(-3480.0 / z0))
+    got = {r.id: r.low_non_obscured for r in q_levels.pipe_level2_columns(spark, str(tmp_path)).collect()}
+    assert got == {4: pytest.approx(want[0], abs=1e-5), 9: None, 14: None}
+    own = {r.id: r.low_non_obscured for r in lv.level2_columns(columns(spark, str(tmp_path)), dense=0.1).collect()}
+    assert own == {4: pytest.approx(want[0], abs=1e-6), 9: pytest.approx(want[1], abs=1e-6), 14: None}
+
+
 def test_level2_layers(spark):
     rows = [(1, 4, 0.2), (1, 5, 0.6), (1, 3, 0.9), (2, 4, 0.3), (None, 4, 0.5), (None, 5, 1.0), (3, 4, 0.0), (3, 5, 1.0)]
     d = spark.createDataFrame(rows, "k long, layer int, obs double")
