@@ -33,6 +33,8 @@ ANCHOR = 24
 LAST = np.iinfo(np.uint64).max
 #: Texts of a suffix array have about so many bytes; longer pieces are cut with the overlap that windows need.
 SHARD = 600
+#: So many suffix arrays are made in step; a block's memory doesn't grow with the bytes that it has to sort.
+TOGETHER = 2000
 
 
 def ranks(ids) -> np.ndarray:
@@ -77,11 +79,12 @@ class Contexts:
         outside = lyndon.spread(offs[1:] - long, long)
         new[outside[outside < windows]] = False
         self.first = np.flatnonzero(new)
-        self.key = low[self.first]
+        # smallest hashes are small: mixed again, so that every bucket gets as many keys
+        self.key = scan.mix(low[self.first])
         self.row = np.searchsorted(offs, self.first, "right") - 1
         self.last = np.minimum(np.append(self.first[1:], n) - 1, offs[self.row + 1] - length)
 
-    def whole(self, which: np.ndarray) -> np.ndarray:
+    def whole(self, which: np.ndarray | slice) -> np.ndarray:
         """56-bit keys of whole contexts."""
         return scan.span_hash(self.pre, self.first[which], self.last[which] + self.length) >> np.uint64(8)
 
@@ -97,22 +100,22 @@ def runs(t: pa.Table, length: int, anchor: int):
         yield a, Contexts(data, offs, length, anchor)
 
 
-def grouped(keys: np.ndarray, counts: np.ndarray | None, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grouped(keys: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, their numbers and smallest values."""
-    distinct, back = np.unique(keys, return_inverse=True)
-    low = np.full(len(distinct), LAST, np.uint64)
-    np.minimum.at(low, back, least)
-    return distinct, np.bincount(back, counts, minlength=len(distinct)).astype(np.int64), low
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    head = np.flatnonzero(new)
+    return keys[head], np.diff(np.append(head, len(keys))), np.minimum.reduceat(least[order], head) if len(head) else least
 
 
 def sorted_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Representatives of the distinct windows of some spans (as places in ``data``) and the smallest value of each.
+    """56-bit keys of the distinct windows of some spans of ``data`` and the smallest value of each.
 
     The spans are cut into texts of a shard's size; every shard has its own suffix array, so a window may come once
-    per shard.
+    per shard. Shards are sorted some at a time.
     """
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     step = SHARD - length
     many = np.maximum(1, -(-(ends - starts - length + 1) // step))
     a = np.repeat(starts, many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * step
@@ -120,20 +123,31 @@ def sorted_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value
     values = np.repeat(values, many)
     size = b - a + 1  # with the mark that ends a piece
     shard = (np.cumsum(size) - size) // SHARD
+    cut = np.flatnonzero(np.diff(shard // TOGETHER, prepend=-1, append=-1)) if len(a) else []
+    keys, low = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for x, y in zip(cut[:-1], cut[1:], strict=True):
+        found = _sorted_shards(data[lyndon.spread(a[x:y], b[x:y] - a[x:y])], b[x:y] - a[x:y], values[x:y], shard[x:y], length)
+        keys.append(found[0])
+        low.append(found[1])
+    return np.concatenate(keys), np.concatenate(low)
+
+
+def _sorted_shards(data: np.ndarray, size: np.ndarray, values: np.ndarray, shard: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for pieces of these sizes, which follow each other in ``data``."""
+    a = np.cumsum(size) - size
     last = np.append(shard[1:] != shard[:-1], True)
-    total = size + last
+    total = size + 1 + last
     begin = np.cumsum(total) - total
     text = np.ones(int(total.sum()), np.int64)
     place = np.full(len(text), -1, np.int64)
-    inner = lyndon.spread(begin, b - a)
-    source = lyndon.spread(a, b - a)
-    text[inner] = data[source].astype(np.int64) + 2
+    inner = lyndon.spread(begin, size)
+    text[inner] = data.astype(np.int64) + 2
     bounds = np.concatenate([[0], (begin + total)[last]])
     text[bounds[1:] - 1] = 0
-    able = b - a - length + 1
+    able = size - length + 1
     place[lyndon.spread(begin, able)] = lyndon.spread(a, able)
     value = np.zeros(len(text), np.uint64)
-    value[inner] = np.repeat(values, b - a)
+    value[inner] = np.repeat(values, size)
     order = lyndon.suffix_order(text, bounds)
     order = order[place[order] >= 0]
     at = place[order]
@@ -144,7 +158,7 @@ def sorted_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value
         part = slice(i, min(len(at), i + (1 << 16)))
         new[part] |= (view[at[part]] != view[at[part.start - 1 : part.stop - 1]]).any(1)
     head = np.flatnonzero(new)
-    return at[head], np.minimum.reduceat(value[order], head)
+    return scan.span_hash(scan.prefix(data), at[head], at[head] + length) >> np.uint64(8), np.minimum.reduceat(value[order], head)
 
 
 def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -159,17 +173,12 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def contexts(t: pa.Table, told: rounds.Answer) -> rounds.Question:
         t = settled(t)
         rank = ranks(t.column("id"))
-        got = list(runs(t, length, anchor))
-        key = np.concatenate([np.zeros(0, np.uint64), *[c.key >> np.uint64(24) for _, c in got]])
+        got = [(c.key >> np.uint64(24), c.whole(slice(None)), rank[a + c.row]) for a, c in runs(t, length, anchor)]
+        key, whole, values = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
         times = told.counts[np.unique(key, return_inverse=True)[1]] if len(key) else np.zeros(0, np.int64)
         shared = times > 1
-        keys, values, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
-        for a, c in got:
-            which = np.flatnonzero(shared[done : done + len(c.key)])
-            done += len(c.key)
-            keys.append(c.whole(which))
-            values.append(rank[a + c.row[which]])
-        distinct, counts, least = grouped(np.concatenate(keys), None, np.concatenate(values))
+        distinct, counts, least = grouped(whole[shared], values[shared])
         flags = np.packbits(shared).tobytes()
         return rounds.Question(distinct, counts, least, 56, np.uint32([len(shared), len(flags)]).tobytes() + flags + squeeze(times[shared]))
 
@@ -185,30 +194,28 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             done += len(c.key)
             keys.append(c.whole(which))
             row.append(rank[a + c.row[which]])
-            got.append((a, c, which))
+            got.append((c.data, c.row[which], c.first[which], c.last[which] + length))
         back = np.unique(np.concatenate(keys), return_inverse=True)[1]
         same = told.counts[back] == times if len(back) else np.zeros(0, bool)
         gone = same & (told.least[back] < np.concatenate(row)) if len(back) else same
         pieces, sizes, values, done = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
-        for a, c, which in got:
-            mixed = which[~same[done : done + len(which)]]
-            done += len(which)
+        for (data, doc, first, end), ranked in zip(got, row[1:], strict=True):
+            mixed = np.flatnonzero(~same[done : done + len(first)])
+            done += len(first)
             if not mixed.size:
                 continue
             # contexts that follow each other make one span
             new = np.ones(len(mixed), bool)
-            new[1:] = (c.first[mixed[1:]] != c.last[mixed[:-1]] + 1) | (c.row[mixed[1:]] != c.row[mixed[:-1]])
+            new[1:] = (first[mixed[1:]] != end[mixed[:-1]] - length + 1) | (doc[mixed[1:]] != doc[mixed[:-1]])
             at = np.flatnonzero(new)
-            ends = c.last[mixed[np.append(at[1:], len(mixed)) - 1]] + length
-            starts = c.first[mixed[at]]
-            pieces.append(c.data[lyndon.spread(starts, ends - starts)])
+            ends = end[mixed[np.append(at[1:], len(mixed)) - 1]]
+            starts = first[mixed[at]]
+            pieces.append(data[lyndon.spread(starts, ends - starts)])
             sizes.append(ends - starts)
-            values.append(rank[a + c.row[mixed[at]]])
+            values.append(ranked[mixed[at]])
         data, size = np.concatenate(pieces), np.concatenate(sizes)
-        del got, pieces
-        places, low = sorted_windows(data, np.cumsum(size) - size, np.cumsum(size), np.concatenate(values), length)
-        pre = scan.prefix(data)
-        distinct, counts, least = grouped(scan.span_hash(pre, places, places + length) >> np.uint64(8), None, low)
+        del got, pieces, keys, row, back
+        distinct, counts, least = grouped(*sorted_windows(data, np.cumsum(size) - size, np.cumsum(size), np.concatenate(values), length))
         flags = np.zeros(n, np.uint8)
         flags[shared] = np.where(same, gone, 2)
         return rounds.Question(distinct, counts, least, 56, squeeze(flags))
@@ -223,29 +230,31 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             done += len(c.key)
             starts, k = c.windows(np.flatnonzero(flag == 2))
             keys.append(k)
-            got.append((a, c, np.flatnonzero(flag == 1), starts))
+            gone = np.flatnonzero(flag == 1)
+            got.append((a, c.data, c.offs, c.first[gone], c.last[gone] + length, starts))
         back = np.unique(np.concatenate(keys), return_inverse=True)[1]
+        del keys
         out, done = [], 0
-        for a, c, gone, starts in got:
+        for a, data, offs, first, end, starts in got:
             mine = told.least[back[done : done + len(starts)]] if len(starts) else np.zeros(0, np.uint64)
             done += len(starts)
-            row = np.searchsorted(c.offs, starts, "right") - 1
+            row = np.searchsorted(offs, starts, "right") - 1
             starts = starts[mine < rank[a + row]]
-            change = np.zeros(len(c.data) + 1, np.int64)
-            for first, end in ((c.first[gone], c.last[gone] + length), (starts, starts + length)):
-                np.add.at(change, first, 1)
-                np.add.at(change, end, -1)
+            change = np.zeros(len(data) + 1, np.int64)
+            for begin, stop in ((first, end), (starts, starts + length)):
+                np.add.at(change, begin, 1)
+                np.add.at(change, stop, -1)
             removed = np.cumsum(change[:-1]) > 0
-            n = len(c.offs) - 1
-            s, e = scan.spans(removed, c.offs)
-            at = np.searchsorted(s, c.offs)
+            n = len(offs) - 1
+            s, e = scan.spans(removed, offs)
+            at = np.searchsorted(s, offs)
             row = np.repeat(np.arange(n), np.diff(at))
-            pairs = np.stack([s - c.offs[row], e - c.offs[row]], 1).reshape(-1)
-            kept = np.concatenate([[0], np.cumsum(~removed)])[c.offs]
+            pairs = np.stack([s - offs[row], e - offs[row]], 1).reshape(-1)
+            kept = np.concatenate([[0], np.cumsum(~removed)])[offs]
             out.append(pa.table({
-                "id": t.column("id").slice(a, n), "n_bytes": np.diff(c.offs), "n_removed": np.diff(c.offs) - np.diff(kept),
+                "id": t.column("id").slice(a, n), "n_bytes": np.diff(offs), "n_removed": np.diff(offs) - np.diff(kept),
                 "spans": pa.ListArray.from_arrays(pa.array(2 * at, pa.int32()), pa.array(pairs, pa.int64())),
-                "kept": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(c.data[~removed].tobytes())])}))
+                "kept": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(data[~removed].tobytes())])}))
         return pa.concat_tables(out)
 
     told = rounds.ask_again(src, rounds.ask_again(src, rounds.ask(src, anchors), contexts), windows)

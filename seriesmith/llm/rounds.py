@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from . import scan
 from .blocks import cuts, squeeze, unsqueeze
@@ -80,16 +80,33 @@ def _answer(right: pa.Table) -> Answer:
     return Answer(whole("counts"), whole("least").astype(np.uint64), next(r["memo"] for r in rows if r["bucket"] < 0))
 
 
+def _buckets(spark: SparkSession) -> int:
+    """Half the shuffle partitions: every block writes to every bucket, and what a bucket holds is small beside a block."""
+    return -(-shuffle_partitions(spark) // 2)
+
+
+def _tidied(out: pa.Table) -> pa.Table:
+    scan.tidy()
+    return out
+
+
+def _grouped(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    return df.groupBy(key).applyInArrow(lambda t: _tidied(fn(t)), schema)
+
+
+def _paired(docs: DataFrame, answered: DataFrame, fn: Callable[[pa.Table, Answer], pa.Table], schema: str) -> DataFrame:
+    return docs.groupBy("blk").cogroup(answered.groupBy("blk")).applyInArrow(lambda t, a: _tidied(fn(t, _answer(a))), schema)
+
+
 def ask(docs: DataFrame, first: Callable[[pa.Table], Question]) -> DataFrame:
-    buckets = shuffle_partitions(docs.sparkSession)
-    return docs.groupBy("blk").applyInArrow(lambda t: _rows(t, first(t), buckets), ASKED).groupBy("bucket").applyInArrow(_answers, ANSWERED)
+    buckets = _buckets(docs.sparkSession)
+    return _grouped(_grouped(docs, "blk", lambda t: _rows(t, first(t), buckets), ASKED), "bucket", _answers, ANSWERED)
 
 
 def ask_again(docs: DataFrame, answered: DataFrame, following: Callable[[pa.Table, Answer], Question]) -> DataFrame:
-    buckets = shuffle_partitions(docs.sparkSession)
-    asked = docs.groupBy("blk").cogroup(answered.groupBy("blk")).applyInArrow(lambda t, a: _rows(t, following(t, _answer(a)), buckets), ASKED)
-    return asked.groupBy("bucket").applyInArrow(_answers, ANSWERED)
+    buckets = _buckets(docs.sparkSession)
+    return _grouped(_paired(docs, answered, lambda t, a: _rows(t, following(t, a), buckets), ASKED), "bucket", _answers, ANSWERED)
 
 
 def finish(docs: DataFrame, answered: DataFrame, last: Callable[[pa.Table, Answer], pa.Table], schema: str) -> DataFrame:
-    return docs.groupBy("blk").cogroup(answered.groupBy("blk")).applyInArrow(lambda t, a: last(t, _answer(a)), schema)
+    return _paired(docs, answered, last, schema)

@@ -2,14 +2,16 @@
 
 import base64
 import struct
+import tracemalloc
 
+import numpy as np
 import plain
 import public_tokenizers
 import pytest
 import tiktoken
 from conftest import frame
 
-from seriesmith.llm import bpe, decontaminate, language_model, licenses, line_dedup, ngram_join, quality, repeats
+from seriesmith.llm import blocks, bpe, decontaminate, language_model, licenses, line_dedup, ngram_join, quality, repeats
 
 DOCS = "doc_id long, text string"
 REPEATED = [(3, None), (None, "no id here but some words to read"), (None, "no id here but some words to read")]
@@ -48,6 +50,45 @@ def test_repeats(spark, texts):
     assert ordered(got) == ordered(plain.repeats(rows))
 
 
+def test_repeats_buckets_get_equal_shares():
+    data = np.random.default_rng(1).integers(97, 123, 200_000).astype(np.uint8)
+    keys = np.unique(repeats.Contexts(data, np.array([0, len(data)]), 50, 24).key >> np.uint64(24))
+    sizes = np.diff(blocks.cuts(keys, 40, 20))
+    assert sizes.sum() == len(keys) and sizes.max() < 1.3 * sizes.mean()
+
+
+def test_repeats_sort_in_bounded_memory():
+    """Twice the bytes to sort: the sum of the results grows, not what sorting needs beside them."""
+    rng, peaks = np.random.default_rng(2), []
+    for n in (1_500_000, 3_000_000):
+        data = rng.integers(97, 101, n).astype(np.uint8)
+        starts = np.arange(0, n, 3000)
+        tracemalloc.start()
+        out = repeats.sorted_windows(data, starts, starts + 3000, np.arange(len(starts)).astype(np.uint64), 50)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(out[0]) == len(out[1]) == (3000 - 49) * len(starts)
+    assert peaks[1] - peaks[0] < 60 * 1_500_000
+
+
+@pytest.mark.parametrize("together", [1, 2, 1000])
+def test_repeats_slices_of_shards(monkeypatch, together):
+    """Spans shorter than a window's step, longer ones, and repeats within and between them, in slices of any number of shards."""
+    monkeypatch.setattr(repeats, "TOGETHER", together)
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 6000).astype(np.uint8)
+    data[3000:4000] = data[500:1500]
+    starts, ends = np.array([0, 50, 200, 2500, 2600]), np.array([50, 200, 2500, 2600, 6000])
+    keys, low = repeats.sorted_windows(data, starts, ends, np.array([9, 4, 7, 1, 3], np.uint64), 50)
+    got = dict(zip(*repeats.grouped(keys, low)[::2], strict=True))
+    want = {}
+    for a, b, v in zip(starts, ends, (9, 4, 7, 1, 3), strict=True):
+        for s in range(a, b - 49):
+            w = data[s : s + 50].tobytes()
+            want[w] = min(want.get(w, v), v)
+    assert sorted(got.values()) == sorted(want.values())
+
+
 def test_bpe(spark, texts):
     raw = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
